@@ -1 +1,93 @@
-"""placeholder"""
+"""Vector retrieval queries over ``embeddings``.
+Every vector is a query against the whole table (itself excluded)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from helpline.operators import vector as V
+from helpline.plans.catalog import register
+from helpline.sources.tables import read_table
+
+
+def _items(spark, d):
+    return read_table(spark, d, "embeddings", ["vec_id", "embedding", "label"]).select(
+        F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
+
+
+def _requests(spark, d):
+    """Search requests: every vector asks for ``label - 2`` hits (label 9: no k)."""
+    e = read_table(spark, d, "embeddings", ["vec_id", "embedding", "label"])
+    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"),
+                    F.when(F.col("label") == 9, F.lit(None)).otherwise(F.col("label") - 2).cast("int").alias("top_k"))
+
+
+_COS = "list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[])"
+_PAIRS = f"""SELECT q.vec_id AS query_id, i.vec_id AS item_id, i.label AS item_label, q.label AS query_label, {_COS} AS score
+    FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id"""
+_RANKED = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS hit_rank
+    FROM ({_PAIRS}) p"""
+_REQ_K = "CASE WHEN label = 9 THEN NULL ELSE label - 2 END"
+
+
+@register("effective_top_k", f"""SELECT vec_id AS query_id, CAST({_REQ_K} AS INTEGER) AS requested_k,
+    CAST(CASE WHEN {_REQ_K} IS NULL OR {_REQ_K} <= 0 THEN 5 ELSE {_REQ_K} END AS INTEGER) AS effective_k FROM embeddings""")
+def q_p8(spark, d):
+    r = _requests(spark, d)
+    return r.select("query_id", F.col("top_k").alias("requested_k"), V.effective_top_k("top_k").alias("effective_k"))
+
+
+@register("vector_join", f"""SELECT query_id, item_id, CAST(hit_rank AS INTEGER) AS hit_rank, round(score, 6) AS score
+    FROM ({_RANKED}) r WHERE hit_rank <= 5""")
+def q_j5(spark, d):
+    it = _items(spark, d)
+    q = it.select(F.col("item_id").alias("query_id"), "vector")
+    h = V.vector_join(q, it, k=V.DEFAULT_TOP_K, exclude_self=True)
+    return h.select("query_id", "item_id", F.col("hit_rank").cast("int"), F.round("score", 6).alias("score"))
+
+
+@register("topk_per_query", f"""SELECT query_id, item_id, CAST(hit_rank AS INTEGER) AS hit_rank, round(score, 6) AS score,
+    item_label = query_label AS label_match FROM ({_RANKED}) r WHERE hit_rank <= 3""")
+def q_w1(spark, d):
+    it = _items(spark, d)
+    q = it.select(F.col("item_id").alias("query_id"), "vector", F.col("label").alias("query_label"))
+    h = V.vector_join(q, it, k=V.SCRIPT_TOP_K, exclude_self=True)
+    lab = it.select("item_id", F.col("label").alias("item_label"))
+    return (h.join(lab, "item_id").join(q.select("query_id", "query_label"), "query_id")
+            .select("query_id", "item_id", F.col("hit_rank").cast("int"), F.round("score", 6).alias("score"),
+                    (F.col("item_label") == F.col("query_label")).alias("label_match")))
+
+
+@register("search", f"""SELECT r.query_id, r.item_id, CAST(r.hit_rank AS INTEGER) AS hit_rank, round(r.score, 6) AS score,
+    r.item_label, k.k_eff FROM ({_RANKED}) r JOIN (SELECT vec_id AS query_id,
+      CAST(CASE WHEN {_REQ_K} IS NULL OR {_REQ_K} <= 0 THEN 5 ELSE {_REQ_K} END AS INTEGER) AS k_eff FROM embeddings) k
+    ON k.query_id = r.query_id WHERE r.hit_rank <= k.k_eff""")
+def q_x3(spark, d):
+    it = _items(spark, d)
+    h = V.search(_requests(spark, d), it, exclude_self=True)
+    return (h.join(it.select("item_id", F.col("label").alias("item_label")), "item_id")
+            .select("query_id", "item_id", F.col("hit_rank").cast("int"), F.round("score", 6).alias("score"),
+                    "item_label", F.col("k_eff").cast("int")))
+
+
+@register("global_topk", """WITH c AS (SELECT list(m ORDER BY pos) AS v FROM (
+      SELECT pos, avg(x) AS m FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings) u
+      GROUP BY pos) a)
+    SELECT item_id, CAST(hit_rank AS INTEGER) AS hit_rank, round(score, 6) AS score FROM (
+      SELECT vec_id AS item_id, s AS score, row_number() OVER (ORDER BY round(s, 9) DESC, vec_id) AS hit_rank
+      FROM (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], c.v) AS s FROM embeddings e, c) x) y
+    WHERE hit_rank <= 5""")
+def q_l1(spark, d):
+    it = _items(spark, d)
+    top = V.global_top_k(it, V.centroid(it), V.DEFAULT_TOP_K)
+    # rank within the k rows already taken (TakeOrderedAndProject output)
+    from pyspark.sql import Window
+    w = Window.orderBy(F.round("score", 9).desc(), F.col("item_id"))
+    return top.select("item_id", F.row_number().over(w).cast("int").alias("hit_rank"), F.round("score", 6).alias("score"))
+
+
+@register("index_stats", """SELECT count(*) AS n_items,
+    (SELECT string_agg(CAST(vec_id AS VARCHAR), ', ' ORDER BY vec_id) FROM (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 3) s) AS sample_ids
+    FROM embeddings""")
+def q_a8(spark, d):
+    return V.index_stats(_items(spark, d))
