@@ -193,4 +193,9 @@ SQL = {
 def with_fixtures(select_sql: str, *names: str) -> str:
     """Prefix a DuckDB query with the fixture CTEs it uses."""
     ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in names)
-    return f"WITH {ctes}\n{select_sql}" if names else select_sql
+    if not names:
+        return select_sql
+    body = select_sql.lstrip()
+    if body[:5].upper() == "WITH ":  # merge the query's own CTEs after ours
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{select_sql}"
