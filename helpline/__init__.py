@@ -12,3 +12,18 @@ Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Python workers on executors need not have this package installed: the
+    functions Spark sends them (pandas kernels, UDFs) are pickled by value."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 - older pyspark: rely on the package being installed
+        pass
+
+
+_ship_by_value()
