@@ -1 +1,74 @@
-"""placeholder"""
+"""Sessions, windowed outcomes and index-delta queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from helpline.operators import delta as D
+from helpline.operators import outcomes as O
+from helpline.operators import sessions as S
+from helpline.plans.catalog import register
+from helpline.plans.q_calls import C1_SQL
+from helpline.sources import fixtures as fx
+from helpline.sources.fixtures import with_fixtures as W
+from helpline.sources.tables import read_table
+
+GAP = S.DEFAULT_GAP_SECONDS
+
+
+@register("call_sessions", f"""SELECT user_id, min(ts) AS session_start, max(ts) + to_seconds({GAP}) AS session_end,
+    count(*) AS n_events, round(sum(value), 6) AS total_value FROM (
+      SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= to_seconds({GAP}) THEN 1 ELSE 0 END)
+        OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid
+      FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) a) b
+    GROUP BY user_id, sid""")
+def q_t3(spark, d):
+    return S.call_sessions(read_table(spark, d, "events", ["user_id", "ts", "value"]))
+
+
+@register("stream_outcomes", W(f"""SELECT time_bucket(INTERVAL 1 HOUR, c.started_at) AS window_start,
+    time_bucket(INTERVAL 1 HOUR, c.started_at) + INTERVAL 1 HOUR AS window_end, o.outcome, count(*) AS n_calls
+    FROM ({C1_SQL}) o JOIN calls c ON c.call_id = o.call_id GROUP BY 1, 2, 3""", "turns_with_closings", "calls"))
+def q_t4(spark, d):
+    o = O.call_outcome(fx.turns_with_closings(spark, d)).join(fx.calls(spark, d).select("call_id", "started_at"), "call_id")
+    return S.outcome_windows(o)
+
+
+def _stored(spark, d):
+    """The stored index: hashes of every document as loaded."""
+    docs = read_table(spark, d, "documents", ["doc_id", "text", "lang", "source"])
+    return docs.select("doc_id", F.sha2(F.concat_ws("|", "lang", "source", "text"), 256).alias("content_hash"))
+
+
+def _current(spark, d):
+    """Today's corpus: German documents removed, French ones edited, and the
+    benchmark passages added as new documents."""
+    docs = read_table(spark, d, "documents", ["doc_id", "text", "lang", "source"]).filter(F.col("lang") != "de")
+    text = F.when(F.col("lang") == "fr", F.concat(F.col("text"), F.lit("\n(rev. 2)"))).otherwise(F.col("text"))
+    cur = docs.select("doc_id", F.sha2(F.concat_ws("|", "lang", "source", text), 256).alias("content_hash"))
+    bench = read_table(spark, d, "benchmark", ["item_id", "text"]).select(
+        (F.col("item_id") + F.lit(fx.NOT_FOUND_OFFSET)).alias("doc_id"),
+        F.sha2(F.concat_ws("|", F.lit("en"), F.lit("benchmark"), F.col("text")), 256).alias("content_hash"))
+    return cur.unionByName(bench)
+
+
+STORED_SQL = "SELECT doc_id, sha256(concat_ws('|', lang, source, text)) AS content_hash FROM documents"
+CURRENT_SQL = f"""SELECT doc_id, sha256(concat_ws('|', lang, source,
+      CASE WHEN lang = 'fr' THEN text || chr(10) || '(rev. 2)' ELSE text END)) AS content_hash FROM documents WHERE lang <> 'de'
+    UNION ALL SELECT item_id + {fx.NOT_FOUND_OFFSET}, sha256(concat_ws('|', 'en', 'benchmark', text)) FROM benchmark"""
+
+
+@register("index_delta", f"""SELECT coalesce(c.doc_id, s.doc_id) AS doc_id,
+    CASE WHEN s.doc_id IS NULL THEN 'new' WHEN c.doc_id IS NULL THEN 'deleted'
+         WHEN c.content_hash = s.content_hash THEN 'unchanged' ELSE 'changed' END AS status,
+    coalesce(c.content_hash, s.content_hash) AS content_hash
+    FROM ({CURRENT_SQL}) c FULL OUTER JOIN ({STORED_SQL}) s ON s.doc_id = c.doc_id""")
+def q_s5(spark, d):
+    return D.index_delta(_current(spark, d), _stored(spark, d))
+
+
+@register("corpus_minus_index", f"""SELECT doc_id, 'not_indexed' AS side FROM ({CURRENT_SQL}) c
+      WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+    UNION ALL SELECT doc_id, 'stale_in_index' FROM documents WHERE lang = 'de'""")
+def q_u2(spark, d):
+    return D.corpus_minus_index(_current(spark, d), _stored(spark, d))
