@@ -23,6 +23,23 @@ def _micros(ts: str) -> F.Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '{EPOCH_NTZ}', CAST({ts} AS TIMESTAMP_NTZ))")
 
 
+def ntz_to_instant(c: F.Column) -> F.Column:
+    """TIMESTAMP_NTZ -> TIMESTAMP at the same wall clock read as UTC (watermarks
+    need TIMESTAMP); no session time zone is involved either way."""
+    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '{EPOCH_NTZ}', {c._jc.toString()})"))
+
+
+def instant_to_ntz(c: F.Column) -> F.Column:
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({c._jc.toString()}), TIMESTAMP_NTZ '{EPOCH_NTZ}')")
+
+
+def _event_time(df: DataFrame, ts: str) -> tuple[DataFrame, str, bool]:
+    """Streaming with an NTZ event time: add an instant column to watermark on."""
+    if df.isStreaming and dict(df.dtypes)[ts] == "timestamp_ntz":
+        return df.withColumn("_event_ts", ntz_to_instant(F.col(ts))), "_event_ts", True
+    return df, ts, False
+
+
 def call_sessions(events: DataFrame, gap_seconds: int = DEFAULT_GAP_SECONDS, key: str = "user_id",
                   ts: str = "ts", value: str = "value") -> DataFrame:
     g_us = gap_seconds * 1_000_000
@@ -46,17 +63,30 @@ def call_sessions(events: DataFrame, gap_seconds: int = DEFAULT_GAP_SECONDS, key
 def streaming_sessions(events: DataFrame, gap_seconds: int = DEFAULT_GAP_SECONDS, watermark: str = "1 day",
                        key: str = "user_id", ts: str = "ts", value: str = "value") -> DataFrame:
     """T3 on a stream: Spark's ``session_window`` behind a watermark (rows later
-    than the watermark are dropped). Works on batch DataFrames as well."""
-    src = events.withWatermark(ts, watermark) if events.isStreaming else events
-    g = src.groupBy(F.col(key), F.session_window(F.col(ts), f"{gap_seconds} seconds").alias("s")).agg(
+    than the watermark are dropped). Works on batch DataFrames as well.
+
+    ``session_window`` keeps two events exactly ``gap`` apart in one session;
+    our rule splits there. A window gap one microsecond shorter (and the end
+    moved back by that microsecond) gives the same sessions as ``call_sessions``."""
+    events, et, back = _event_time(events, ts)
+    src = events.withWatermark(et, watermark) if events.isStreaming else events
+    g = src.groupBy(F.col(key), F.session_window(F.col(et), f"{gap_seconds * 1_000_000 - 1} microseconds").alias("s")).agg(
         F.count(F.lit(1)).alias("n_events"), F.sum(value).alias("total_value"))
-    return g.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
+    one_us = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001).cast("decimal(18,6)"))
+    start, end = F.col("s.start"), F.col("s.end") + one_us
+    if back:
+        start, end = instant_to_ntz(start), instant_to_ntz(end)
+    return g.select(key, start.alias("session_start"), end.alias("session_end"),
                     F.col("n_events").cast("bigint"), F.round("total_value", 6).alias("total_value"))
 
 
 def outcome_windows(call_outcomes: DataFrame, window: str = "1 hour", ts: str = "started_at",
                     watermark: str | None = None) -> DataFrame:
     """T4: calls per outcome per tumbling window of call start (batch or stream)."""
-    src = call_outcomes.withWatermark(ts, watermark) if (watermark and call_outcomes.isStreaming) else call_outcomes
-    g = src.groupBy(F.window(F.col(ts), window).alias("w"), "outcome").agg(F.count(F.lit(1)).alias("n_calls"))
-    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "outcome", "n_calls")
+    call_outcomes, et, back = _event_time(call_outcomes, ts)
+    src = call_outcomes.withWatermark(et, watermark) if (watermark and call_outcomes.isStreaming) else call_outcomes
+    g = src.groupBy(F.window(F.col(et), window).alias("w"), "outcome").agg(F.count(F.lit(1)).alias("n_calls"))
+    start, end = F.col("w.start"), F.col("w.end")
+    if back:
+        start, end = instant_to_ntz(start), instant_to_ntz(end)
+    return g.select(start.alias("window_start"), end.alias("window_end"), "outcome", "n_calls")

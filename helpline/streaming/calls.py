@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helpline.operators.calls import format_items
-from helpline.operators.sessions import outcome_windows, streaming_sessions
+from helpline.operators.sessions import _event_time, outcome_windows, streaming_sessions
 from helpline.schemas import TRANSCRIPT
 from helpline.sources.files import TRANSCRIPT_NAME
 
@@ -32,7 +32,9 @@ def stream_transcripts(spark: SparkSession, path: str, max_files_per_trigger: in
 def register_calls(calls: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Register each room once even if its file is delivered again; the
     dedup state is kept only within the watermark."""
-    return calls.withWatermark("started_at", watermark).dropDuplicatesWithinWatermark(["room_name"])
+    df, et, back = _event_time(calls, "started_at")
+    out = df.withWatermark(et, watermark).dropDuplicatesWithinWatermark(["room_name"])
+    return out.drop("_event_ts") if back else out
 
 
 def sessions(events: DataFrame, gap_seconds: int, watermark: str = "1 day") -> DataFrame:
