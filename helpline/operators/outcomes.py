@@ -89,8 +89,9 @@ def word_limit_violations(turns: DataFrame, limit: int = WORD_LIMIT) -> DataFram
 def interruption_rate(turns: DataFrame) -> DataFrame:
     """Share of interrupted assistant turns per call."""
     a = turns.filter(F.col("role") == "assistant")
+    flag = F.col("interrupted") if "interrupted" in turns.columns else F.lit(False)  # flat turns carry none
     return a.groupBy("call_id").agg(F.count(F.lit(1)).alias("n_assistant"),
-                                    F.avg(F.coalesce(F.col("interrupted"), F.lit(False)).cast("int")).alias("interruption_rate"))
+                                    F.round(F.avg(F.coalesce(flag, F.lit(False)).cast("int")), 6).alias("interruption_rate"))
 
 
 def solution_source(turns: DataFrame) -> DataFrame:

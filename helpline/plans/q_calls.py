@@ -231,3 +231,17 @@ def q_x9(spark, d):
 def q_k6(spark, d):
     r = E.evaluate_calls(fx.eval_requests(spark, d), fx.calls(spark, d), fx.turns_with_closings(spark, d))
     return E.evaluation_report(r)
+
+
+@register("interruption_rate", W("""SELECT call_id, count(*) AS n_assistant, round(avg(0), 6) AS interruption_rate
+    FROM turns WHERE role = 'assistant' GROUP BY 1""", "turns"))
+def q_c3(spark, d):
+    return O.interruption_rate(fx.turns(spark, d))
+
+
+@register("lookup_call", W("""SELECT call_id, transcript_path FROM calls WHERE call_id = (SELECT max(call_id) FROM calls)""", "calls"))
+def q_s7(spark, d):
+    """Point lookup of the latest call (the id is one scalar aggregate)."""
+    c = fx.calls(spark, d)
+    latest = c.agg(F.max("call_id")).first()[0]
+    return C.lookup_call(c, latest)

@@ -307,3 +307,11 @@ def source_readiness(tables: dict[str, DataFrame]) -> DataFrame:
 @register("source_readiness", W(_readiness_sql(), *ALL))
 def q_s2(spark, d):
     return source_readiness(_t(spark, d))
+
+
+@register("ordered_groups", W(f"""SELECT g.company_id, g.page_no, e.Nombre AS enterprise_name, g.n_services
+    FROM ({A3_SQL}) g JOIN companies e ON e.Id = g.company_id ORDER BY g.company_id, g.page_no""", "companies", "services"))
+def q_l2(spark, d):
+    """L2: groups in ascending key order -- sorting only at presentation."""
+    g = kb.services_by_company(fx.services(spark, d), fx.companies(spark, d))
+    return g.select("company_id", "page_no", "enterprise_name", "n_services").orderBy("company_id", "page_no")
