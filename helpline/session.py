@@ -53,3 +53,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: one computation (a reliable ``checkpoint()`` of an uncached plan runs
+    it twice), lineage cut, and the result survives executor loss."""
+    import uuid
+    base = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/helpline-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
