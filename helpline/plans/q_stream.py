@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helpline.functions.columns import PAGE_SPAN
 from helpline.operators import delta as D
+from helpline.operators.calls import build_transcripts, format_items
+from helpline.plans.sqltext import page
+from helpline.streaming.calls import register_calls
 from helpline.operators import outcomes as O
 from helpline.operators import sessions as S
 from helpline.plans.catalog import register
@@ -72,3 +76,22 @@ def q_s5(spark, d):
     UNION ALL SELECT doc_id, 'stale_in_index' FROM documents WHERE lang = 'de'""")
 def q_u2(spark, d):
     return D.corpus_minus_index(_current(spark, d), _stored(spark, d))
+
+
+@register("stream_transcripts", W(f"""SELECT call_id, {page('pos', PAGE_SPAN)} AS page_no, count(*) AS n_items,
+    coalesce(string_agg(CASE WHEN text IS NOT NULL THEN
+      CASE WHEN role = 'assistant' THEN 'Assistant' ELSE 'User' END || ': ' || text END, chr(10) ORDER BY pos), '') AS transcript
+    FROM turns GROUP BY 1, 2""", "turns"))
+def q_t1(spark, d):
+    """T1, batch twin: the per-file transformation of the stream (row-local
+    formatting of nested items) applied to transcripts built from the table."""
+    t = build_transcripts(fx.turns(spark, d))
+    return t.select("call_id", "page_no", F.size("items").cast("bigint").alias("n_items"),
+                    format_items(F.col("items")).alias("transcript"))
+
+
+@register("stream_register_calls", W("""SELECT DISTINCT call_id, room_name, started_at FROM calls""", "calls"))
+def q_t2(spark, d):
+    """T2, batch twin: every call delivered twice, registered once."""
+    c = fx.calls(spark, d).select("call_id", "room_name", "started_at")
+    return register_calls(c.unionByName(c))

@@ -32,6 +32,10 @@ def stream_transcripts(spark: SparkSession, path: str, max_files_per_trigger: in
 def register_calls(calls: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Register each room once even if its file is delivered again; the
     dedup state is kept only within the watermark."""
+    if not calls.isStreaming:  # batch: keep the earliest delivery of each room
+        cols = calls.columns
+        first = calls.groupBy("room_name").agg(F.min_by(F.struct(*cols), F.struct("started_at", "call_id")).alias("r"))
+        return first.select(*[F.col("r")[c].alias(c) for c in cols])
     df, et, back = _event_time(calls, "started_at")
     out = df.withWatermark(et, watermark).dropDuplicatesWithinWatermark(["room_name"])
     return out.drop("_event_ts") if back else out
