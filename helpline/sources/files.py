@@ -18,7 +18,9 @@ def scan_document_dir(spark: SparkSession, path: str, glob: str = "*") -> DataFr
     """S3: every file of a folder as one document (whole text) with path, name,
     type, size and modification time. One row per file; files are split over
     tasks by Spark's file source."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    # wholetext must be a keyword: text() re-sets its own default (False) over
+    # an earlier .option("wholetext", True)
+    df = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
     ext = F.lower(F.regexp_extract(F.col("_metadata.file_name"), r"\.([^.]+)$", 1))
     mime = F.lit(None).cast("string")
     for e, m in MIME.items():
