@@ -71,3 +71,17 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     from pyspark.sql.functions import broadcast
     n = df.limit(max_rows + 1).count()  # stops reading after max_rows + 1 rows
     return broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a freshly read table over the cluster's cores by ``keys``
+    when its scan has fewer partitions than the default parallelism (a few
+    large files or row groups), so CPU-heavy row-local work that follows
+    (tokenising, chunking) runs on every core. A large table already scans in
+    many tasks and comes back unchanged: no extra shuffle at scale. Hash, not
+    round-robin, so a retried task rebuilds the same partitions. Call it on a
+    scan only: counting partitions of a plan with shuffles would run them."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, *keys) if keys else df.repartition(n)

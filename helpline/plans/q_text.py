@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helpline.functions.columns import spread
 from helpline.operators import chunk as CH
 from helpline.operators import kb
 from helpline.operators import lexical as L
@@ -42,7 +43,8 @@ def bm25_sql(q_sql: str, d_sql: str, k: int) -> str:
 
 
 def _docs(spark, d):
-    return read_table(spark, d, "documents", ["doc_id", "text", "lang", "source"])
+    # tokenising and chunking are CPU-heavy and row-local: spread a coarse scan
+    return spread(read_table(spark, d, "documents", ["doc_id", "text", "lang", "source"]), "doc_id")
 
 
 def _nodes(spark, d):

@@ -36,8 +36,8 @@ def clients(spark: SparkSession, d: str) -> DataFrame:
 
 
 def client_companies(spark: SparkSession, d: str) -> DataFrame:
-    o = read_table(spark, d, "orders", ["o_orderkey", "o_custkey"])
-    li = read_table(spark, d, "lineitem", ["l_orderkey", "l_suppkey"])
+    o = read_table(spark, d, "orders", ["o_orderkey", "o_custkey"], spread_by="o_orderkey")
+    li = read_table(spark, d, "lineitem", ["l_orderkey", "l_suppkey"], spread_by="l_orderkey")
     # distinct on the join output; Spark plans a partial (map-side) distinct
     # before the shuffle, so hot customers are pre-reduced per task.
     return (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
@@ -46,7 +46,7 @@ def client_companies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def services(spark: SparkSession, d: str) -> DataFrame:
-    li = read_table(spark, d, "lineitem", ["l_suppkey", "l_partkey"]).distinct()
+    li = read_table(spark, d, "lineitem", ["l_suppkey", "l_partkey"], spread_by="l_partkey").distinct()
     p = read_table(spark, d, "part", ["p_partkey", "p_name", "p_type"])
     return (li.join(p, li.l_partkey == p.p_partkey, "inner")
             .select(F.col("p_partkey").alias("Id"), F.col("p_name").alias("NombreServicio"),
@@ -63,7 +63,7 @@ def reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def protocols(spark: SparkSession, d: str) -> DataFrame:
-    o = read_table(spark, d, "orders", ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+    o = read_table(spark, d, "orders", ["o_orderkey", "o_orderstatus", "o_orderpriority"], spread_by="o_orderkey")
     return o.select(F.col("o_orderkey").alias("Id"),
                     F.concat(F.lit("Protocol "), F.col("o_orderkey").cast("string")).alias("NombreProtocolo"),
                     F.col("o_orderstatus").alias("Descripcion"),
@@ -71,7 +71,7 @@ def protocols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def protocol_steps(spark: SparkSession, d: str) -> DataFrame:
-    li = read_table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey"])
+    li = read_table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey"], spread_by="l_orderkey")
     return li.select(F.col("l_orderkey").alias("ProtocolId"),
                      F.col("l_linenumber").alias("CodigoPasoProtocolo"),
                      F.concat(F.col("l_returnflag"), F.col("l_linestatus"), F.lit(" part "),
