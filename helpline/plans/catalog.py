@@ -32,7 +32,7 @@ def register(name: str, sql: str | None):
 
 def _load_all() -> None:
     # importing the modules fills REGISTRY
-    from helpline.plans import q_kb, q_search, q_calls, q_text, q_stream  # noqa: F401
+    from helpline.plans import q_kb, q_search, q_calls, q_text, q_stream, q_io  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:

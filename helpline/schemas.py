@@ -13,6 +13,13 @@ TRANSCRIPT = T.StructType([
     T.StructField("_corrupt_record", T.StringType()),
 ])
 
+# JSON-lines layout of the transcript sink: one (call, page) per line
+TRANSCRIPT_LINE = T.StructType([
+    T.StructField("call_id", T.LongType()), T.StructField("page_no", T.LongType()),
+    T.StructField("file_name", T.StringType()), T.StructField("items", T.ArrayType(ITEM)),
+    T.StructField("_corrupt_record", T.StringType()),
+])
+
 CALLS = T.StructType([
     T.StructField("call_id", T.LongType()), T.StructField("room_name", T.StringType()),
     T.StructField("started_at", T.TimestampNTZType()), T.StructField("ended_at", T.TimestampNTZType()),

@@ -55,12 +55,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written tables under the shared checkpoint folder
+    (never a machine-local temp dir on a cluster)."""
+    import uuid
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"{base}/helpline-tables/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: one computation (a reliable ``checkpoint()`` of an uncached plan runs
     it twice), lineage cut, and the result survives executor loss."""
-    import uuid
-    base = checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/helpline-tables/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

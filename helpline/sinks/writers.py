@@ -9,19 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Part files stay small enough to be read whole (a folder scan reads one file
+# as one row): at most this many documents per file.
+MAX_DOCS_PER_FILE = 50_000
+# Pages of a Markdown part file are separated by a form feed (the plain-text
+# page break); Markdown bodies never contain one.
+PAGE_BREAK = "\f"
+
+
 def write_documents(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K1: JSON lines partitioned by kind, with ``doc_path`` as the logical name."""
     out = docs.withColumn("doc_path", F.concat(F.col("doc_id"), F.lit(".json")))
-    out.write.mode(mode).partitionBy("doc_kind").json(path)
+    (out.write.mode(mode).option("maxRecordsPerFile", MAX_DOCS_PER_FILE)
+     .option("ignoreNullFields", "false").partitionBy("doc_kind").json(path))
 
 
 def write_markdown(pages: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K2: Markdown bodies as text, one line-group per page, partitioned by kind."""
+    """K2: Markdown pages as text files, pages separated by PAGE_BREAK (so a
+    page keeps its line breaks and reads back as one row), partitioned by kind."""
     cols = ["body"] + (["doc_kind"] if "doc_kind" in pages.columns else [])
-    w = pages.select(*cols).write.mode(mode)
+    w = (pages.select(*cols).write.mode(mode).option("maxRecordsPerFile", MAX_DOCS_PER_FILE)
+         .option("lineSep", PAGE_BREAK))
     (w.partitionBy("doc_kind") if "doc_kind" in cols else w).text(path)
 
 
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """Pages written by ``write_markdown``: one row per page (``body``)."""
+    return spark.read.text(path, lineSep=PAGE_BREAK).withColumnRenamed("value", "body")
+
+
 def persist_index(nodes: DataFrame, vectors: DataFrame, base: str, version: str) -> dict:
     """K3: write nodes and vectors under a new version directory, then append a
     manifest row (the manifest is written last, so a reader never sees a
@@ -46,8 +62,11 @@ def latest_version(spark: SparkSession, base: str) -> str | None:
 
 
 def write_transcripts(transcripts: DataFrame, path: str, mode: str = "append") -> None:
-    """K4: one JSON object per (call, page) with its file name as a column."""
-    transcripts.select("call_id", "file_name", "items").write.mode(mode).json(path)
+    """K4: JSON lines, one object per (call, page) with its file name as a
+    field (read back with ``scan_transcripts(..., multi_line=False)``)."""
+    cols = [c for c in ("call_id", "page_no", "file_name", "items") if c in transcripts.columns]
+    (transcripts.select(*cols).write.mode(mode).option("maxRecordsPerFile", MAX_DOCS_PER_FILE)
+     .option("ignoreNullFields", "false").json(path))
 
 
 def append_calls(new_calls: DataFrame, register_path: str) -> int:

@@ -7,20 +7,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helpline.schemas import EVAL_REQUEST, TRANSCRIPT
+from helpline.schemas import EVAL_REQUEST, TRANSCRIPT, TRANSCRIPT_LINE
 
 # MIME type by file extension.
 MIME = {"json": "application/json", "md": "text/markdown", "txt": "text/plain", "pdf": "application/pdf"}
 TRANSCRIPT_NAME = r"transcript_(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})(?:_(\d+))?\.json$"
 
 
-def scan_document_dir(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def scan_document_dir(spark: SparkSession, path: str, glob: str = "*", recursive: bool = False) -> DataFrame:
     """S3: every file of a folder as one document (whole text) with path, name,
     type, size and modification time. One row per file; files are split over
-    tasks by Spark's file source."""
+    tasks by Spark's file source. ``recursive`` also reads sub-folders (and
+    turns partition discovery off)."""
     # wholetext must be a keyword: text() re-sets its own default (False) over
     # an earlier .option("wholetext", True)
-    df = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
+    df = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
     ext = F.lower(F.regexp_extract(F.col("_metadata.file_name"), r"\.([^.]+)$", 1))
     mime = F.lit(None).cast("string")
     for e, m in MIME.items():
@@ -31,17 +32,24 @@ def scan_document_dir(spark: SparkSession, path: str, glob: str = "*") -> DataFr
                      F.col("_metadata.file_modification_time").alias("last_modified"), F.col("value").alias("text"))
 
 
-def scan_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Transcript files ``{"items": [...]}``. Malformed files are kept with
-    ``_corrupt_record`` set; a file without ``items`` yields an empty list. The
-    call time (and id, when present) come from the file name."""
-    df = (spark.read.schema(TRANSCRIPT).option("multiLine", True).option("mode", "PERMISSIVE")
+def scan_transcripts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Transcript files ``{"items": [...]}``. ``multi_line=True`` is the
+    stored layout, one (pretty-printed) transcript per file, named
+    ``transcript_<yyyy-MM-dd_HH-mm-ss>[_<call id>].json``; ``False`` reads the
+    JSON lines of ``write_transcripts``, where each line carries its call id,
+    page and file name. Malformed records are kept with ``malformed`` set; a
+    record without ``items`` yields an empty list. The call time (and id, when
+    present) come from the file name."""
+    schema = TRANSCRIPT if multi_line else TRANSCRIPT_LINE
+    df = (spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    name = F.col("_metadata.file_name")
+    name = F.col("_metadata.file_name") if multi_line else F.col("file_name")
     stamp = F.regexp_extract(name, TRANSCRIPT_NAME, 1)
-    cid = F.regexp_extract(name, TRANSCRIPT_NAME, 2)
+    cid = F.when(F.regexp_extract(name, TRANSCRIPT_NAME, 2) != "", F.regexp_extract(name, TRANSCRIPT_NAME, 2).cast("bigint"))
+    page_no = F.lit(0).cast("bigint") if multi_line else F.coalesce(F.col("page_no"), F.lit(0).cast("bigint"))
     return df.select(
-        F.when(cid != "", cid.cast("bigint")).alias("call_id"), name.alias("file_name"),
+        (cid if multi_line else F.coalesce(F.col("call_id"), cid)).alias("call_id"), page_no.alias("page_no"),
+        name.alias("file_name"),
         F.when(stamp != "", F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd_HH-mm-ss"))).alias("started_at"),
         F.coalesce(F.col("items"), F.array()).alias("items"), F.col("_corrupt_record").isNotNull().alias("malformed"))
 

@@ -32,3 +32,28 @@ def test_scan_document_dir_metadata(spark, tmp):
     assert rows["protocol_1.md"]["file_type"] == "text/markdown"
     assert rows["protocol_1.md"]["text"].startswith("# Title\n\n## Steps")  # whole text, one row per file
     assert rows["protocol_1.md"]["file_size"] > 0
+
+
+def test_markdown_pages_read_back_whole(spark, tmp):
+    from helpline.sinks.writers import read_markdown
+    pages = spark.createDataFrame([("# A\n\n## Steps\n1. x\n", "protocol"), ("# B\n\nline\n\n\nend", "protocol")],
+                                  "body string, doc_kind string")
+    write_markdown(pages, os.path.join(tmp, "md"))
+    back = sorted(r["body"] for r in read_markdown(spark, os.path.join(tmp, "md")).collect())
+    assert back == ["# A\n\n## Steps\n1. x\n", "# B\n\nline\n\n\nend"]
+
+
+def test_transcripts_json_lines_round_trip(spark, tmp):
+    from pyspark.sql import functions as F
+
+    from helpline.operators import calls as C
+    from helpline.sinks.writers import write_transcripts
+    from helpline.sources.files import scan_transcripts
+    turns = spark.createDataFrame([(7, 0, "assistant", "Hola"), (7, 1, "user", None), (7, 2, "user", "Ana")],
+                                  "call_id long, pos long, role string, text string")
+    t = C.build_transcripts(turns).withColumn("file_name", F.lit("transcript_2024-01-02_03-04-05_7.json"))
+    write_transcripts(t, os.path.join(tmp, "tr"), mode="overwrite")
+    r = scan_transcripts(spark, os.path.join(tmp, "tr"), multi_line=False).collect()
+    assert len(r) == 1 and r[0]["call_id"] == 7 and not r[0]["malformed"]
+    assert str(r[0]["started_at"]) == "2024-01-02 03:04:05"
+    assert [i["content"] for i in r[0]["items"]] == [["Hola"], [], ["Ana"]]
