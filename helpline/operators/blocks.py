@@ -105,3 +105,43 @@ def cosine_kernel(exclude_self: bool = False):
         return pd.DataFrame({"query_id": qids[rows][ok], "item_id": iids[flat][ok],
                              "score": s[rows, flat][ok]})
     return kernel
+
+
+def bucketed_top_k(queries: DataFrame, items: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame, int], pd.DataFrame],
+                   k: int, bucket_cols: tuple[str, ...], max_buckets: int,
+                   q_block_rows: int = 1024, i_block_rows: int = 8192) -> DataFrame:
+    """Best ``k`` items per query among the items that share a bucket with it
+    (a query may sit in several buckets, e.g. one per LSH band). Every bucket
+    is cut into blocks by its own sizes, so a bucket holding a third of the
+    table becomes many bounded block pairs on many tasks; each pair emits only
+    its best ``k`` per query, never the pairs themselves. Bucket sizes are one
+    row per bucket, at most ``max_buckets`` rows, which is what allows the
+    broadcast. Result: ``query_id, item_id, score, hit_rank``."""
+    keys = list(bucket_cols)
+    nq = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"))
+    ni = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ni"))
+    sizes = nq.join(ni, keys).select(  # buckets present on both sides only
+        *keys, F.ceil(F.col("_nq") / F.lit(max(1, q_block_rows))).cast("int").alias("_n_qb"),
+        F.ceil(F.col("_ni") / F.lit(max(1, i_block_rows))).cast("int").alias("_n_ib"))
+    sizes = F.broadcast(sizes) if max_buckets <= 1_000_000 else sizes
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
+    items = items.select(*[F.col(c).alias(c) for c in items.columns])
+    q = (queries.join(sizes, keys)
+         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("_n_qb")).cast("int"))
+         .withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("_n_ib") - 1))).drop("_n_qb", "_n_ib"))
+    it = (items.join(sizes, keys)
+          .withColumn("ib", F.pmod(F.xxhash64("item_id"), F.col("_n_ib")).cast("int"))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("_n_qb") - 1))).drop("_n_qb", "_n_ib"))
+
+    def run(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(ipdf) == 0:
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "item_id": pd.Series([], dtype="int64"),
+                                 "score": pd.Series([], dtype="float64")})
+        return kernel(qpdf, ipdf, k)
+
+    grp = [*keys, "qb", "ib"]
+    hits = q.groupBy(*grp).cogroup(it.groupBy(*grp)).applyInPandas(run, HITS_SCHEMA)
+    # a pair found in several buckets has one score; keep it once
+    best = hits.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.round("score", RANK_DIGITS).desc(), F.col("item_id").asc())
+    return best.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= k)

@@ -91,3 +91,33 @@ def q_l1(spark, d):
     FROM embeddings""")
 def q_a8(spark, d):
     return V.index_stats(_items(spark, d))
+
+
+EMBED_DIM = 64  # dimension of the test table's vectors (FIXTURES.md)
+
+
+def _planes_sql(dim: int = EMBED_DIM) -> str:
+    """The LSH planes as a VALUES table ``(band, bit, h)``."""
+    h = V.hyperplanes(dim, V.LSH_BANDS * V.LSH_BITS, V.LSH_SEED)
+    rows = ", ".join(f"({j // V.LSH_BITS}, {j % V.LSH_BITS}, [{', '.join(f'{x:.3f}' for x in h[j])}])"
+                     for j in range(len(h)))
+    return f"SELECT * FROM (VALUES {rows}) p(band, bit, h)"
+
+
+@register("approx_search", f"""WITH planes AS ({_planes_sql()}),
+    keys AS (SELECT e.vec_id, p.band,
+        sum(CASE WHEN list_dot_product(e.embedding::DOUBLE[], p.h::DOUBLE[]) > 0 THEN 1 << p.bit ELSE 0 END) AS bucket
+      FROM embeddings e, planes p GROUP BY 1, 2),
+    cand AS (SELECT DISTINCT q.vec_id AS query_id, i.vec_id AS item_id FROM keys q JOIN keys i
+      ON q.band = i.band AND q.bucket = i.bucket AND q.vec_id <> i.vec_id),
+    scored AS (SELECT c.query_id, c.item_id, {_COS.replace('q.', 'a.').replace('i.', 'b.')} AS score
+      FROM cand c JOIN embeddings a ON a.vec_id = c.query_id JOIN embeddings b ON b.vec_id = c.item_id)
+    SELECT query_id, item_id, CAST(hit_rank AS INTEGER) AS hit_rank, round(score, 6) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS hit_rank FROM scored) r
+    WHERE hit_rank <= 5""")
+def q_x4(spark, d):
+    """Every vector against the whole table through LSH buckets."""
+    it = _items(spark, d)
+    q = it.select(F.col("item_id").alias("query_id"), "vector")
+    h = V.approx_search(q, it, k=V.DEFAULT_TOP_K, exclude_self=True)
+    return h.select("query_id", "item_id", F.col("hit_rank").cast("int"), F.round("score", 6).alias("score"))
