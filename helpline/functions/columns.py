@@ -77,10 +77,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition a freshly read table over the cluster's cores by ``keys``
     when its scan has fewer partitions than the default parallelism (a few
     large files or row groups), so CPU-heavy row-local work that follows
-    (tokenising, chunking) runs on every core. A large table already scans in
-    many tasks and comes back unchanged: no extra shuffle at scale. Hash, not
-    round-robin, so a retried task rebuilds the same partitions. Call it on a
-    scan only: counting partitions of a plan with shuffles would run them."""
+    (tokenising, chunking, fact-table joins) runs on every core. Spark already
+    splits files down to bytes-per-core, so the test only fires for a table
+    that is small next to the cluster -- where the shuffle is cheap -- or whose
+    files hold one huge row group each; a large table scans in many more tasks
+    than there are cores and comes back unchanged: no extra shuffle at scale.
+    Hash, not round-robin, so a retried task rebuilds the same partitions. Call
+    it on a scan only: counting partitions of a plan with shuffles runs them."""
     n = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= n:
         return df
