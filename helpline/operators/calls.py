@@ -31,6 +31,14 @@ def build_transcripts(turns: DataFrame, page_span: int = PAGE_SPAN) -> DataFrame
     return g.select("call_id", "page_no", F.transform("ps", lambda x: x["item"]).alias("items"))
 
 
+def transcript_file_name(call_id: Column | str, started_at: Column | str) -> Column:
+    """K4 file name: ``transcript_<yyyy-MM-dd_HH-mm-ss>_<call id>.json``."""
+    cid = F.col(call_id) if isinstance(call_id, str) else call_id
+    ts = F.col(started_at) if isinstance(started_at, str) else started_at
+    return F.concat(F.lit("transcript_"), F.date_format(ts, "yyyy-MM-dd_HH-mm-ss"), F.lit("_"),
+                    cid.cast("string"), F.lit(".json"))
+
+
 def turn_sequence(transcripts: DataFrame, page_span: int = PAGE_SPAN) -> DataFrame:
     """Nested items -> one row per item with its position (posexplode keeps
     list order; pages continue the numbering)."""

@@ -52,10 +52,8 @@ def q_s4(spark, d):
     and read back by the transcript reader; formatting runs on what was read."""
     t = C.build_transcripts(fx.turns(spark, d))
     c = fx.calls(spark, d).select("call_id", "started_at")
-    files = t.join(c, "call_id").select(
-        "call_id", "page_no", "items",
-        F.concat(F.lit("transcript_"), F.date_format("started_at", "yyyy-MM-dd_HH-mm-ss"), F.lit("_"),
-                 F.col("call_id").cast("string"), F.lit(".json")).alias("file_name"))
+    files = t.join(c, "call_id").select("call_id", "page_no", "items",
+                                        C.transcript_file_name("call_id", "started_at").alias("file_name"))
     path = scratch_path(spark, "transcripts")
     K.write_transcripts(files, path, mode="overwrite")
     back = S.scan_transcripts(spark, path, multi_line=False)

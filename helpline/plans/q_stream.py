@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from helpline.functions.columns import PAGE_SPAN
 from helpline.operators import delta as D
-from helpline.operators.calls import build_transcripts, format_items
+from helpline.operators.calls import build_transcripts, transcript_file_name
 from helpline.plans.sqltext import page
-from helpline.streaming.calls import register_calls
+from helpline.session import scratch_path
+from helpline.sinks.writers import write_transcripts
+from helpline.streaming import calls as ST
 from helpline.operators import outcomes as O
 from helpline.operators import sessions as S
 from helpline.plans.catalog import register
@@ -34,8 +36,17 @@ def q_t3(spark, d):
     time_bucket(INTERVAL 1 HOUR, c.started_at) + INTERVAL 1 HOUR AS window_end, o.outcome, count(*) AS n_calls
     FROM ({C1_SQL}) o JOIN calls c ON c.call_id = o.call_id GROUP BY 1, 2, 3""", "turns_with_closings", "calls"))
 def q_t4(spark, d):
+    """T4 as a stream: per-call outcomes (C1 over the conversations) arrive as
+    files; the windowed count runs in Structured Streaming (complete mode: the
+    table is small, windows x outcomes) and the sink's last state is read."""
     o = O.call_outcome(fx.turns_with_closings(spark, d)).join(fx.calls(spark, d).select("call_id", "started_at"), "call_id")
-    return S.outcome_windows(o)
+    base = scratch_path(spark, "stream-outcomes")
+    o.select("call_id", "started_at", "outcome").write.mode("overwrite").json(f"{base}/in")
+    src = spark.readStream.schema("call_id long, started_at timestamp_ntz, outcome string").json(f"{base}/in")
+    ST.run_available_now(ST.outcomes(src, watermark="1 hour"),
+                         lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out"), f"{base}/ck",
+                         output_mode="complete")
+    return spark.read.parquet(f"{base}/out")
 
 
 def _stored(spark, d):
@@ -83,15 +94,29 @@ def q_u2(spark, d):
       CASE WHEN role = 'assistant' THEN 'Assistant' ELSE 'User' END || ': ' || text END, chr(10) ORDER BY pos), '') AS transcript
     FROM turns GROUP BY 1, 2""", "turns"))
 def q_t1(spark, d):
-    """T1, batch twin: the per-file transformation of the stream (row-local
-    formatting of nested items) applied to transcripts built from the table."""
+    """T1 as a stream: transcripts built from the conversations are written by
+    the sink (K4) and picked up by the file stream (trigger availableNow, its
+    checkpoint in the shared folder); the formatted rows are read back."""
     t = build_transcripts(fx.turns(spark, d))
-    return t.select("call_id", "page_no", F.size("items").cast("bigint").alias("n_items"),
-                    format_items(F.col("items")).alias("transcript"))
+    c = fx.calls(spark, d).select("call_id", "started_at")
+    base = scratch_path(spark, "stream-transcripts")
+    write_transcripts(t.join(c, "call_id").select("call_id", "page_no", "items",
+                                                 transcript_file_name("call_id", "started_at").alias("file_name")),
+                      f"{base}/in", mode="overwrite")
+    ST.run_available_now(ST.stream_transcripts(spark, f"{base}/in", multi_line=False),
+                         lambda df, _: df.write.mode("append").parquet(f"{base}/out"), f"{base}/ck")
+    return spark.read.parquet(f"{base}/out").select("call_id", "page_no", "n_items", "transcript")
 
 
 @register("stream_register_calls", W("""SELECT DISTINCT call_id, room_name, started_at FROM calls""", "calls"))
 def q_t2(spark, d):
-    """T2, batch twin: every call delivered twice, registered once."""
+    """T2 as a stream: every call is delivered twice (two sets of files); the
+    stream registers each room once (dedup within the watermark)."""
     c = fx.calls(spark, d).select("call_id", "room_name", "started_at")
-    return register_calls(c.unionByName(c))
+    base = scratch_path(spark, "stream-calls")
+    c.write.mode("append").json(f"{base}/in")
+    c.write.mode("append").json(f"{base}/in")  # redelivery
+    src = spark.readStream.schema("call_id long, room_name string, started_at timestamp_ntz").json(f"{base}/in")
+    ST.run_available_now(ST.register_calls(src), lambda df, _: df.write.mode("append").parquet(f"{base}/out"),
+                         f"{base}/ck")
+    return spark.read.parquet(f"{base}/out").select("call_id", "room_name", "started_at")

@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 
 from helpline.operators.calls import format_items
 from helpline.operators.sessions import _event_time, outcome_windows, streaming_sessions
-from helpline.schemas import TRANSCRIPT
+from helpline.schemas import TRANSCRIPT, TRANSCRIPT_LINE
 from helpline.sources.files import TRANSCRIPT_NAME
 
 
-def stream_transcripts(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """New transcript files -> one row per file with the formatted text
-    (row-local higher-order functions; no state, no shuffle)."""
-    df = (spark.readStream.schema(TRANSCRIPT).option("multiLine", True).option("mode", "PERMISSIVE")
+def stream_transcripts(spark: SparkSession, path: str, max_files_per_trigger: int = 1000,
+                       multi_line: bool = True) -> DataFrame:
+    """New transcript files -> one row per transcript with the formatted
+    text (row-local higher-order functions; no state, no shuffle). Layouts as
+    in ``scan_transcripts``: one transcript per file, or the sink's JSON lines."""
+    schema = TRANSCRIPT if multi_line else TRANSCRIPT_LINE
+    df = (spark.readStream.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").option("maxFilesPerTrigger", max_files_per_trigger)
           .json(path))
-    name = F.col("_metadata.file_name")
+    name = F.col("_metadata.file_name") if multi_line else F.col("file_name")
     stamp = F.regexp_extract(name, TRANSCRIPT_NAME, 1)
-    cid = F.regexp_extract(name, TRANSCRIPT_NAME, 2)
+    cid = F.when(F.regexp_extract(name, TRANSCRIPT_NAME, 2) != "", F.regexp_extract(name, TRANSCRIPT_NAME, 2).cast("bigint"))
+    page_no = F.lit(0).cast("bigint") if multi_line else F.coalesce(F.col("page_no"), F.lit(0).cast("bigint"))
     items = F.coalesce(F.col("items"), F.array())
-    return df.select(F.when(cid != "", cid.cast("bigint")).alias("call_id"), name.alias("file_name"),
+    return df.select((cid if multi_line else F.coalesce(F.col("call_id"), cid)).alias("call_id"), page_no.alias("page_no"),
+                     name.alias("file_name"),
                      F.when(stamp != "", F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd_HH-mm-ss"))).alias("started_at"),
                      F.size(items).cast("bigint").alias("n_items"), format_items(items).alias("transcript"))
 
