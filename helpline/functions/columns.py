@@ -73,18 +73,31 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return broadcast(df) if n <= max_rows else df
 
 
+_BUSY_SPLITS: dict[tuple, int] = {}
+
+
+def _busy_splits(df: DataFrame) -> int:
+    """Scan splits that hold rows. A Parquet row group is never split, so a
+    file of one large row group leaves all its splits but one empty. Counted
+    by a job that reads no column (row counts come from the footers); the
+    answer is kept per input-file set, so a repeated query does not ask again."""
+    key = tuple(sorted(df.inputFiles()))
+    if key not in _BUSY_SPLITS:
+        _BUSY_SPLITS[key] = df.select(F.spark_partition_id().alias("_split")).distinct().count()
+    return _BUSY_SPLITS[key]
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition a freshly read table over the cluster's cores by ``keys``
-    when its scan has fewer partitions than the default parallelism (a few
-    large files or row groups), so CPU-heavy row-local work that follows
-    (tokenising, chunking, fact-table joins) runs on every core. Spark already
-    splits files down to bytes-per-core, so the test only fires for a table
-    that is small next to the cluster -- where the shuffle is cheap -- or whose
-    files hold one huge row group each; a large table scans in many more tasks
-    than there are cores and comes back unchanged: no extra shuffle at scale.
-    Hash, not round-robin, so a retried task rebuilds the same partitions. Call
-    it on a scan only: counting partitions of a plan with shuffles runs them."""
+    when fewer of its scan splits hold rows than there are cores (a few large
+    files or row groups), so CPU-heavy row-local work that follows
+    (tokenising, chunking, fact-table joins) runs on every core. A table with
+    many more splits than cores is used as read without asking -- no extra
+    shuffle at scale; only a scan of at most ``4 x`` the default parallelism
+    splits is checked (a small job over footers). Hash, not round-robin, so a
+    retried task rebuilds the same partitions. Call it on a scan only:
+    inspecting a plan with shuffles would run them."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
+    if df.rdd.getNumPartitions() > 4 * n or _busy_splits(df) >= n:
         return df
     return df.repartition(n, *keys) if keys else df.repartition(n)

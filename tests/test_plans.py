@@ -51,5 +51,5 @@ def test_spread_leaves_fine_scans_alone(spark):
     n = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < n:
         assert "Exchange hashpartitioning(l_orderkey" in _plan(spread(df, "l_orderkey"))
-    many = df.repartition(n * 2)  # already finer than the cluster: left as is
+    many = df.repartition(n * 5)  # far finer than the cluster: left as is, nothing counted
     assert spread(many, "l_orderkey") is many
