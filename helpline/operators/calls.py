@@ -55,17 +55,25 @@ def nonempty(content: Column) -> Column:
     return F.coalesce(F.size(content) > 0, F.lit(False))
 
 
-def format_items(items: Column) -> Column:
+def format_items(items: Column, keep_system: bool = True) -> Column:
     """X7 on the nested shape: ``Role: content[0]`` lines joined by newline.
-    Row-local higher-order functions: no shuffle, no Python."""
-    kept = F.filter(F.coalesce(items, F.array()), lambda i: nonempty(i["content"]))
+    Row-local higher-order functions: no shuffle, no Python. By default every
+    role but ``assistant`` prints as ``User`` (system turns included, as the
+    source does); ``keep_system=False`` leaves system turns out."""
+    if keep_system:
+        kept = F.filter(F.coalesce(items, F.array()), lambda i: nonempty(i["content"]))
+    else:
+        kept = F.filter(F.coalesce(items, F.array()),
+                        lambda i: nonempty(i["content"]) & F.coalesce(i["role"] != F.lit("system"), F.lit(True)))
     return F.array_join(F.transform(kept, lambda i: F.concat(role_label(i["role"]), F.lit(": "),
                                                                F.coalesce(F.get(i["content"], 0), F.lit("")))), "\n")
 
 
-def format_transcripts(turns: DataFrame, page_span: int = PAGE_SPAN) -> DataFrame:
+def format_transcripts(turns: DataFrame, page_span: int = PAGE_SPAN, keep_system: bool = True) -> DataFrame:
     """X7 over flat turns: non-empty turns, ``Role: text`` per line, ordered by
-    position, one text per (call, page)."""
+    position, one text per (call, page). ``keep_system=False`` drops system turns."""
+    if not keep_system:
+        turns = turns.filter(F.coalesce(F.col("role") != F.lit("system"), F.lit(True)))
     lines = (turns.filter(F.col("text").isNotNull())
              .select("call_id", "pos", F.concat(role_label("role"), F.lit(": "), F.col("text")).alias("line")))
     g = (lines.groupBy("call_id", page_of("pos", page_span).alias("page_no"))

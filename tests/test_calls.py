@@ -32,6 +32,9 @@ def test_scan_and_format_transcripts(spark, tmp):
     assert r["call_id"] == 7 and str(r["started_at"]) == "2025-05-28 01:42:27"
     assert r["text"] == "Assistant: Hola, ¿su nombre y empresa?\nUser: Ana, Acme\nAssistant: \nUser: rules"
     assert rows["transcript_2025-05-28_01-45-17.json"]["text"] == ""  # items missing -> empty
+    no_sys = t.select("file_name", C.format_items(F.col("items"), keep_system=False).alias("x")).collect()
+    assert {r["file_name"]: r["x"] for r in no_sys}["transcript_2025-05-28_01-42-27_7.json"] == \
+        "Assistant: Hola, ¿su nombre y empresa?\nUser: Ana, Acme\nAssistant: "
     assert rows["transcript_2025-05-28_02-30-36_9.json"]["malformed"]
     seq = C.turn_sequence(t.select("call_id", "items")).filter(F.col("call_id") == 7)
     assert [x["pos"] for x in seq.orderBy("pos").collect()] == list(range(6))
@@ -92,3 +95,11 @@ def test_custom_scorer_runs_in_pandas(spark):
         return pd.DataFrame({"call_id": p["call_id"], "score": 1.0, "verdict": "pass", "result_text": "fine"})
     r = E.evaluate_calls(req, calls, turns, scorer=E.pandas_scorer(model)).first()
     assert r["result_text"] == "fine"
+
+
+def test_format_transcripts_can_drop_system_turns(spark):
+    t = _turns(spark)
+    keep = {r["call_id"]: r["transcript"] for r in C.format_transcripts(t).collect()}
+    drop = {r["call_id"]: r["transcript"] for r in C.format_transcripts(t, keep_system=False).collect()}
+    assert keep[3] == "User: rules" and 3 not in drop
+    assert keep[1] == drop[1]
