@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 
 # Part files stay small enough to be read whole (a folder scan reads one file
-# as one row): at most this many documents per file.
-MAX_DOCS_PER_FILE = 50_000
+# as one row): at most this many documents per file -- about 10 MB for
+# documents of a kilobyte; a document itself is bounded by PAGE_SPAN members.
+MAX_DOCS_PER_FILE = 10_000
 # Pages of a Markdown part file are separated by a form feed (the plain-text
 # page break); Markdown bodies never contain one.
 PAGE_BREAK = "\f"
