@@ -96,15 +96,15 @@ def q_u2(spark, d):
 def q_t1(spark, d):
     """T1 as a stream: transcripts built from the conversations are written by
     the sink (K4) and picked up by the file stream (trigger availableNow, its
-    checkpoint in the shared folder); the formatted rows are read back."""
+    checkpoint in the shared folder) into an exactly-once file sink; the
+    formatted rows are read back."""
     t = build_transcripts(fx.turns(spark, d))
     c = fx.calls(spark, d).select("call_id", "started_at")
     base = scratch_path(spark, "stream-transcripts")
     write_transcripts(t.join(c, "call_id").select("call_id", "page_no", "items",
                                                  transcript_file_name("call_id", "started_at").alias("file_name")),
                       f"{base}/in", mode="overwrite")
-    ST.run_available_now(ST.stream_transcripts(spark, f"{base}/in", multi_line=False),
-                         lambda df, _: df.write.mode("append").parquet(f"{base}/out"), f"{base}/ck")
+    ST.run_to_files(ST.stream_transcripts(spark, f"{base}/in", multi_line=False), f"{base}/out", f"{base}/ck")
     return spark.read.parquet(f"{base}/out").select("call_id", "page_no", "n_items", "transcript")
 
 
@@ -117,6 +117,5 @@ def q_t2(spark, d):
     c.write.mode("append").json(f"{base}/in")
     c.write.mode("append").json(f"{base}/in")  # redelivery
     src = spark.readStream.schema("call_id long, room_name string, started_at timestamp_ntz").json(f"{base}/in")
-    ST.run_available_now(ST.register_calls(src), lambda df, _: df.write.mode("append").parquet(f"{base}/out"),
-                         f"{base}/ck")
+    ST.run_to_files(ST.register_calls(src), f"{base}/out", f"{base}/ck")
     return spark.read.parquet(f"{base}/out").select("call_id", "room_name", "started_at")

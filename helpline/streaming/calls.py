@@ -63,3 +63,13 @@ def run_available_now(df: DataFrame, sink: Callable[[DataFrame, int], None], che
     q = (df.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def run_to_files(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> None:
+    """Process everything available into a file sink, then stop. The file sink
+    is exactly-once: readers of ``path`` list only the files committed in its
+    ``_spark_metadata`` log, so a batch retried after an executor loss or a
+    restart is never seen twice. Append mode only."""
+    q = (df.writeStream.format(fmt).outputMode("append").option("path", path)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()

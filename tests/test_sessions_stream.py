@@ -98,3 +98,16 @@ def test_register_calls_dedup_within_watermark(spark, tmp):
     ST.run_available_now(ST.register_calls(spark.readStream.schema(schema).json(src)),
                          lambda df, _: df.write.mode("append").parquet(out), os.path.join(tmp, "ck3"))
     assert sorted(r["room_name"] for r in spark.read.parquet(out).collect()) == ["r1", "r2"]
+
+
+def test_file_sink_resumes_without_duplicates(spark, tmp):
+    src, out, ck = os.path.join(tmp, "s"), os.path.join(tmp, "o"), os.path.join(tmp, "ck")
+    os.makedirs(src)
+    schema = "call_id long, room_name string, started_at timestamp_ntz"
+    with open(os.path.join(src, "a.json"), "w") as f:
+        f.write(json.dumps({"call_id": 1, "room_name": "r1", "started_at": "2024-01-01 00:00:00"}))
+    ST.run_to_files(ST.register_calls(spark.readStream.schema(schema).json(src)), out, ck)
+    with open(os.path.join(src, "b.json"), "w") as f:
+        f.write(json.dumps({"call_id": 2, "room_name": "r2", "started_at": "2024-01-01 00:03:00"}))
+    ST.run_to_files(ST.register_calls(spark.readStream.schema(schema).json(src)), out, ck)  # restart: resumes
+    assert sorted(r["call_id"] for r in spark.read.parquet(out).collect()) == [1, 2]
