@@ -92,3 +92,17 @@ def test_validate_client_company(spark):
                                    "claim_id string, client_name string, company_name string")
     got = {r["claim_id"]: (r["valid_strict"], r["valid_relaxed"]) for r in M.validate_client_company(claims, clients, comp, cc).collect()}
     assert got == {"a": (True, True), "b": (False, True), "c": (False, False), "d": (False, False)}
+
+
+def test_pluggable_answerer_runs_on_prompt_rows(spark):
+    import pandas as pd
+    q = spark.createDataFrame([(1, "red car"), (2, "nothing here")], "query_id long, text string")
+    docs = spark.createDataFrame([(10, "a red car on a road"), (11, "blue sky")], "doc_id long, text string")
+    hits = L.lexical_join(q, docs, k=1)
+    prompts = M.rag_prompt(q, hits, docs)
+
+    def model(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": p["query_id"], "status": ["ok" if n else "error" for n in p["n_hits"]],
+                             "answer": [s.splitlines()[-1] for s in p["prompt"]]})
+    got = {r["query_id"]: (r["status"], r["answer"]) for r in M.pandas_answerer(model)(prompts).collect()}
+    assert got == {1: ("ok", "[1] 10: a red car on a road"), 2: ("error", "Context:")}
