@@ -1,6 +1,5 @@
 import json
 
-
 from helpline.operators import kb
 
 
