@@ -4,8 +4,6 @@ query (L1), index stats (A8)."""
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,7 +50,6 @@ def search(requests: DataFrame, items: DataFrame, exclude_self: bool = False) ->
             .filter(F.col("hit_rank") <= F.col("k_eff")))
 
 
-@functools.lru_cache(maxsize=8)
 def hyperplanes(dim: int, n_planes: int, seed: int = LSH_SEED) -> np.ndarray:
     """``n_planes x dim`` random hyperplanes from a seed, rounded to three
     decimals (the nearest double of each decimal), so SQL can replay them."""
@@ -69,13 +66,16 @@ def lsh_buckets(vectors: DataFrame, n_bands: int = LSH_BANDS, n_bits: int = LSH_
     worker, nothing is shipped from the driver."""
     n_planes = n_bands * n_bits
     weights = (1 << np.arange(n_bits)).astype(np.int64)
+    planes: dict[int, np.ndarray] = {}  # per worker, by dimension (travels empty, by value)
 
     @F.pandas_udf("array<int>")
     def keys(v: pd.Series) -> pd.Series:
         if len(v) == 0:
             return pd.Series([], dtype=object)
         m = stack(v)
-        bits = (m @ hyperplanes(m.shape[1], n_planes, seed).T > 0).reshape(len(m), n_bands, n_bits)
+        if m.shape[1] not in planes:
+            planes[m.shape[1]] = hyperplanes(m.shape[1], n_planes, seed)
+        bits = (m @ planes[m.shape[1]].T > 0).reshape(len(m), n_bands, n_bits)
         return pd.Series(list((bits * weights).sum(axis=2).astype(np.int32)))
 
     return vectors.select("*", F.posexplode(keys(F.col("vector"))).alias("band", "bucket"))
