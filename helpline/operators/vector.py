@@ -117,10 +117,11 @@ def centroid(items: DataFrame) -> list[float]:
 
 def index_stats(items: DataFrame, n_samples: int = 3) -> DataFrame:
     """Item count and the first ids (by id) as samples, one row. Samples come
-    from a distributed top-n (TakeOrderedAndProject), never from a full list."""
-    n = items.agg(F.count(F.lit(1)).alias("n_items")).withColumn("_one", F.lit(1))
-    s = (items.select("item_id").orderBy("item_id").limit(n_samples)
-         .agg(F.array_sort(F.collect_list("item_id")).alias("s"))
-         .select(F.array_join(F.transform("s", lambda x: x.cast("string")), ", ").alias("sample_ids"))
-         .withColumn("_one", F.lit(1)))
-    return n.join(s, "_one").drop("_one")
+    from a distributed top-n (TakeOrderedAndProject), never from a full list;
+    count and samples meet in one aggregate (no join): every item adds to the
+    count, only the ``n_samples`` sample rows carry an id to collect."""
+    counted = items.select(F.lit(1).alias("_c"), F.lit(None).cast("long").alias("_s"))
+    samples = (items.select("item_id").orderBy("item_id").limit(n_samples)
+               .select(F.lit(None).cast("int").alias("_c"), F.col("item_id").cast("long").alias("_s")))
+    g = counted.unionByName(samples).agg(F.count("_c").alias("n_items"), F.array_sort(F.collect_list("_s")).alias("s"))
+    return g.select("n_items", F.array_join(F.transform("s", lambda x: x.cast("string")), ", ").alias("sample_ids"))
