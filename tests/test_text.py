@@ -106,3 +106,15 @@ def test_pluggable_answerer_runs_on_prompt_rows(spark):
                              "answer": [s.splitlines()[-1] for s in p["prompt"]]})
     got = {r["query_id"]: (r["status"], r["answer"]) for r in M.pandas_answerer(model)(prompts).collect()}
     assert got == {1: ("ok", "[1] 10: a red car on a road"), 2: ("error", "Context:")}
+
+
+def test_lexical_join_same_with_and_without_spread(spark):
+    from helpline.functions.columns import spread
+    from helpline.sources.tables import read_table
+    from tests.conftest import SF
+    docs = read_table(spark, SF, "documents", ["doc_id", "text"])
+    q = read_table(spark, SF, "benchmark", ["item_id", "text"]).withColumnRenamed("item_id", "query_id")
+    a = {tuple(r) for r in L.lexical_join(q, docs, k=3).select("query_id", "item_id", "hit_rank").collect()}
+    b = {tuple(r) for r in L.lexical_join(q, spread(docs, "doc_id").repartition(5), k=3)
+         .select("query_id", "item_id", "hit_rank").collect()}
+    assert a == b and len(a) > 0

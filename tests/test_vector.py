@@ -95,3 +95,9 @@ def test_approx_search_recall(spark):
     a = V.approx_search(q, it, k=5, exclude_self=True).select("query_id", "item_id")
     x = V.vector_join(q, it, k=5, exclude_self=True).select("query_id", "item_id")
     assert a.join(x, ["query_id", "item_id"]).count() / x.count() > 0.6
+
+
+def test_index_stats_single_aggregate(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in [42, 7, 19, 3, 88]], "item_id long, vector array<float>")
+    r = V.index_stats(df.repartition(3)).collect()
+    assert [(x["n_items"], x["sample_ids"]) for x in r] == [(5, "3, 7, 19")]
