@@ -102,9 +102,10 @@ def q_s3(spark, d):
     every file whole, with its path, type and size, and counts the documents
     each file holds (JSON lines, or pages between page breaks)."""
     base = scratch_path(spark, "kb")
-    docs = corpus(spark, d)
-    K.write_documents(docs, f"{base}/json")
-    K.write_markdown(docs.filter(F.col("doc_kind") == "protocol"), f"{base}/md")
+    K.write_documents(corpus(spark, d), f"{base}/json")
+    # the pages come from what the document sink wrote: the export runs once
+    written = spark.read.schema(DOC_FILE_SCHEMA + ", doc_kind string").json(f"{base}/json")
+    K.write_markdown(written.filter(F.col("doc_kind") == "protocol"), f"{base}/md")
     files = S.scan_document_dir(spark, base, recursive=True)
     kind = F.regexp_extract("file_path", r"/doc_kind=([^/]+)/", 1)
     sep = F.when(F.col("file_type") == "application/json", F.lit("\n")).otherwise(F.lit(K.PAGE_BREAK))
