@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from helpline.llm import bpe, chat, fingerprint, lengths, mixing, pii
+from helpline.llm import bpe, chat, fingerprint, lengths, lm, mixing, pii, toxicity
 from helpline.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,10 @@ def coder(spark: SparkSession) -> bpe.Bpe:
     return bpe.Bpe(spark, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -47,6 +51,11 @@ FROM e GROUP BY conv_id
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = coder(spark)
     x = c.decode(c.encode(table(spark, sf_dir, "documents")))
@@ -109,6 +118,6 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
                     fingerprint.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
 
 
-QUERIES = {"op2_chat": op2_chat, "op4_bpe": op4_bpe, "op5_token_counts": op5_token_counts, "op6_pii": op6_pii,
+QUERIES = {"op1_lm": op1_lm, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_token_counts": op5_token_counts, "op6_pii": op6_pii,
            "op8_mixing": op8_mixing, "op10_fingerprint": op10_fingerprint}
 ORACLE_SQL = {"op2_chat": OP2_SQL, "op8_mixing": OP8_SQL}
