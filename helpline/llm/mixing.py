@@ -10,8 +10,8 @@ Repetitions: a source with target r times its size takes every document
 floor(r) times; the fractional rest is a seeded sample: documents are ordered
 by a keyed md5 and the first ones up to the rest are taken, so a source's words
 miss its target by at most half a document. The order is resolved by hash
-bucket: whole buckets below or above the cut are decided by their sums, and
-only the one bucket per source that holds the cut is sorted.
+bucket: buckets before or after the one that holds the cut are decided whole, and
+only that one bucket per source is sorted.
 
 Edge cases: a null text has size 0; null sources are one source, ordered last;
 a source of size 0 has target 0; repeated rows are separate documents (equal
@@ -58,27 +58,48 @@ def fill(sources: DataFrame, weights: tuple[int, ...], budget: float, max_epochs
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0,
-        seed: str = "mix") -> DataFrame:
-    """``(doc_id, size, source_size, target, copies, taken, key)`` per row of
-    ``docs``: ``copies`` is how often the mix takes the document."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", word_size(F.col("text")).alias("size"),
-                       order_key(seed).alias("key"))
-    rows = materialize(rows, "mix-sizes").withColumn("bucket", F.substring("key", 1, BUCKET_HEX))
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+def copies(rows: DataFrame, sizes: DataFrame, weights: tuple[int, ...], budget: float, max_epochs: float) -> DataFrame:
+    """Adds ``_source_size``, ``_target`` and ``_copies`` to ``rows``, which have
+    ``source``, ``_size`` and ``_key``; ``sizes``: the same rows' ``(source,
+    size, key)``. The plan joined to the rows has one row per source."""
+    buckets = materialize(sizes.groupBy("source", F.substring("key", 1, BUCKET_HEX).alias("bucket")).agg(F.sum("size").alias("words")),
+                          "mix-buckets")
     targets = fill(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, max_epochs)
     run = Window.partitionBy("source").orderBy("bucket")
-    plan = (buckets.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-            .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint"))
-            .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-            .withColumn("end", F.sum("words").over(run)).withColumn("begin", F.col("end") - F.col("words")))
-    plan = materialize(plan, "mix-plan").withColumnsRenamed({"source": "s", "bucket": "b"})
-    x = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    # middle of the document at or before the cut: taken; buckets wholly on one side need no order
-    sure = x.where("end <= rest or begin > rest").withColumn("extra", (F.col("end") <= F.col("rest")).cast("bigint"))
-    at = Window.partitionBy("s").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    cut = x.where("end > rest and begin <= rest").withColumn(
-        "extra", (F.col("begin") + F.sum("size").over(at) - F.col("size") / 2 <= F.col("rest")).cast("bigint"))
-    copies = F.col("whole") + F.col("extra")
-    return sure.unionByName(cut).select("doc_id", "size", "source_size", "target", copies.alias("copies"),
-                                        (copies * F.col("size")).alias("taken"), "key")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
+    ends = (buckets.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+            .withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+            .withColumn("end", F.sum("words").over(run)))
+    # the bucket that holds the cut: the first to end beyond the rest (none if there are no words)
+    plan = ends.groupBy(F.col("source").alias("_s")).agg(
+        F.first("source_size").alias("_source_size"), F.first("target").alias("_target"), F.first("whole").alias("_whole"),
+        F.first("rest").alias("_rest"), F.coalesce(F.min(F.when(F.col("end") > F.col("rest"), F.struct(
+            "bucket", (F.col("end") - F.col("words")).alias("begin")))), F.struct(F.lit("~").alias("bucket"), F.lit(0).cast("bigint")
+                                                                                  .alias("begin"))).alias("_cut"))
+    plan = materialize(plan, "mix-plan")
+    x = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_bucket", F.substring("_key", 1, BUCKET_HEX))
+    sure = x.where("_bucket <> _cut.bucket").withColumn("_extra", (F.col("_bucket") < F.col("_cut.bucket")).cast("bigint"))
+    upto = F.sum("_size").over(Window.partitionBy("_s").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, 0))
+    cut = x.where("_bucket = _cut.bucket").withColumn(  # taken if the middle of the document lies before the cut
+        "_extra", (F.col("_cut.begin") + upto - F.col("_size") / 2 <= F.col("_rest")).cast("bigint"))
+    return sure.unionByName(cut).withColumn("_copies", F.col("_whole") + F.col("_extra")).drop(
+        "_s", "_whole", "_rest", "_cut", "_bucket", "_extra")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0,
+        seed: str = "mix") -> DataFrame:
+    """``(doc_id, size, source_size, target, taken)`` per row of ``docs``:
+    ``taken`` counts the words that the mix takes, repeats included."""
+    rows = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", word_size(F.col("text")).alias("_size"),
+                                   order_key(seed).alias("_key")), "mix-sizes")
+    x = copies(rows, rows.select("source", F.col("_size").alias("size"), F.col("_key").alias("key")), weights, budget, max_epochs)
+    return x.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+                    F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0,
+              seed: str = "mix") -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    rows = docs.withColumn("_size", word_size(F.col("text"))).withColumn("_key", order_key(seed))
+    x = copies(rows, rows.select("source", F.col("_size").alias("size"), F.col("_key").alias("key")), weights, budget, max_epochs)
+    return x.where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*docs.columns)

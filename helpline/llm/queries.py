@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from helpline.llm import bpe, chat, fingerprint, lengths, lm, mixing, pii, toxicity
+from helpline.llm import bagminhash, bpe, chat, collisions, fingerprint, lengths, lm, mixing, pii, toxicity
 from helpline.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -73,6 +73,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op7_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -106,6 +110,10 @@ FROM x
 """
 
 
+def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = fingerprint.with_next(table(spark, sf_dir, "documents"), parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = F.length("text")
@@ -119,5 +127,6 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_lm": op1_lm, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_token_counts": op5_token_counts, "op6_pii": op6_pii,
-           "op8_mixing": op8_mixing, "op10_fingerprint": op10_fingerprint}
+           "op7_collisions": op7_collisions, "op8_mixing": op8_mixing, "op9_bagminhash": op9_bagminhash,
+           "op10_fingerprint": op10_fingerprint}
 ORACLE_SQL = {"op2_chat": OP2_SQL, "op8_mixing": OP8_SQL}

@@ -304,3 +304,17 @@ def score_texts(docs: DataFrame, model: Model | None, batch: int = 500) -> DataF
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "held_out": part["held_out"].to_numpy(),
                                     "score": p, "predicted": (p >= 0.5).astype("int32")})
     return docs.mapInPandas(run, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, text: str, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below 0.5."""
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def toxic(texts: pd.Series) -> pd.Series:
+        parts = [texts.iloc[i:i + 500].fillna("") for i in range(0, len(texts), 500)]
+        return pd.Series(np.concatenate([sent.value.probability(sent.value.documents(x)) >= 0.5 for x in parts])
+                         if parts else np.zeros(0, bool))
+    return docs.where(~toxic(F.col(text)))
