@@ -193,9 +193,29 @@ def variants(word: str) -> list[str]:
     return [word[:i] + c + word[i:] for i in (len(word) // 3, 2 * len(word) // 3) for c in (word[i], "x")]
 
 
+def diverse(lists: list[list[str]], words: set[str]) -> set[str]:
+    """Those of the words whose commonest neighbour, on either side, stands at
+    no more than half of their occurrences."""
+    beside: list[dict[str, dict[str, int]]] = [{}, {}]
+    for line in lists:
+        for i, w in enumerate(line):
+            if w in words:
+                for side, n in ((0, line[i - 1] if i else ""), (1, line[i + 1] if i + 1 < len(line) else "")):
+                    seen = beside[side].setdefault(w, {})
+                    seen[n] = seen.get(n, 0) + 1
+    return {w for w in words if all(2 * max(b[w].values()) <= sum(b[w].values()) for b in beside)}
+
+
 def train(sentences: list[tuple[int, str]]) -> Model:
-    """``(label, sentence)`` -> folded machine (without the logistic curve)."""
-    bags = [(y, sorted(set(words_of(s)))) for y, s in sentences]
+    """``(label, sentence)`` -> folded machine (without the logistic curve).
+
+    A toxic document with many copies would lend all its rare words the counts of
+    an insult. So equal sentences train once, and only a word that stands among
+    changing neighbours can be a landmark or a first witness."""
+    clean = {s for y, s in sentences if not y}
+    lists = [(y, [w for w in (re.sub(r"[^\w@$]+", "", w) for w in words_of(s)) if w])
+             for y, part in ((0, clean), (1, {s for y, s in sentences if y} - clean)) for s in sorted(part)]
+    bags = [(y, sorted(set(words))) for y, words in lists]
     pos: dict[str, int] = {}
     neg: dict[str, int] = {}
     for y, bag in bags:
@@ -204,8 +224,15 @@ def train(sentences: list[tuple[int, str]]) -> Model:
             seen[w] = seen.get(w, 0) + 1
     n_pos, n_neg = sum(y for y, _ in bags) + 1, sum(1 - y for y, _ in bags) + 1
     lift = {w: np.log((c + 0.1) / n_pos) - np.log((neg.get(w, 0) + 0.5) / n_neg) for w, c in pos.items()}
-    ranked = sorted((w for w in pos if pos[w] > 1 and lift[w] > 1), key=lambda w: (-pos[w] * lift[w], w))
-    others = sorted(neg, key=lambda w: (-neg[w], w))
+    share = n_pos / (n_pos + n_neg)
+
+    def surprise(w):
+        """Nats by which a word's share of toxic sentences exceeds chance."""
+        a, b = pos[w], neg.get(w, 0)
+        return a * np.log(a / (a + b) / share) + (b * np.log(b / (a + b) / (1 - share)) if b else 0.0)
+    free = diverse([words for y, words in lists if y], {w for w in pos if lift[w] > 1 and surprise(w) > np.log(len(pos))})
+    ranked = sorted(free, key=lambda w: (-pos[w] * lift[w], w))
+    others = sorted(set(neg) - free, key=lambda w: (-neg[w], w))
     marks = ranked[:LANDMARKS_TOXIC] + others[:LANDMARKS_OTHER]
     kmm = kernel(marks, marks)
     val, vec = np.linalg.eigh(kmm)
@@ -214,15 +241,15 @@ def train(sentences: list[tuple[int, str]]) -> Model:
     def coordinates(words):
         return np.vstack([kernel(words[i:i + 5000], marks) @ root for i in range(0, len(words), 5000)])
     # witnesses: the word of a toxic sentence that its documents have most above the others
-    witness = [max(bag, key=lambda w: (lift[w], w)) for y, bag in bags if y and bag]
-    witness = [w for w in witness if lift[w] > 1 and pos[w] > 1]
+    witness = [max(bag, key=lambda w: (w in free, lift[w], w)) for y, bag in bags if y and bag]
+    witness = [w for w in witness if w in free]
     hard = others[:4000]
     table, bias = np.zeros(1 << 18), -1.0
-    every = list(neg)
+    every = others
     for _ in range(ROUNDS):
         p, counts = np.unique(np.array(witness, dtype=object).astype(str), return_counts=True)
         often = p[np.argsort(-counts, kind="stable")][:VARIED]
-        varied = sorted({v for w in often for v in variants(w)} - set(neg) - set(p))
+        varied = sorted({v for w in often for v in variants(w)} - set(others) - set(p))
         words = list(p) + varied + hard
         y = np.array([1.0] * (len(p) + len(varied)) + [-1.0] * len(hard))
         cost = np.concatenate([20.0 * np.minimum(counts, 50) / 50 + 2, np.full(len(varied), 4.0), np.full(len(hard), 10.0)])
@@ -238,7 +265,7 @@ def train(sentences: list[tuple[int, str]]) -> Model:
         names = list(score)
         score = dict(zip(names, bias + kernel_sum(names, table)))
         best = [max(bag, key=lambda x: (score[x], x)) for yb, bag in bags if yb and bag]
-        witness = [x for x in best if score[x] > 0 and neg.get(x, 0) == 0] or witness
+        witness = [x for x in best if x in free or score[x] > 0.5 and x not in neg] or witness
     return Model(table, bias)
 
 
