@@ -7,10 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Groups that feed one document (companies of a client, services of a company,
-# steps of a protocol, turns of a call) are split into pages of key range
-# PAGE_SPAN, so no single group -- and no single task -- holds more than
-# PAGE_SPAN members even when one key owns a third of the table.
+# Turns of a call are split into pages of PAGE_SPAN positions, so no transcript
+# row holds more turns, however long the call.
 PAGE_SPAN = 100_000
 
 
@@ -20,7 +18,10 @@ def opt(df: DataFrame, name: str, default: str = "") -> Column:
     return F.col(name) if name in df.columns else F.lit(default)
 
 
-def page_of(key: Column | str, span: int = PAGE_SPAN) -> Column:
+def page_of(key: Column | str, span: int | None = PAGE_SPAN) -> Column:
+    """Page number by ranges of ``span`` keys; no span: one page."""
+    if span is None:
+        return F.lit(0).cast("bigint")
     k = F.col(key) if isinstance(key, str) else key
     return F.floor(k / F.lit(span)).cast("bigint")
 

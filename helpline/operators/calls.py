@@ -8,7 +8,7 @@ row-local (no shuffle, works in streaming); the flat shape is grouped per
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helpline.functions.columns import PAGE_SPAN, page_of, role_label, word_count
@@ -83,14 +83,13 @@ def format_transcripts(turns: DataFrame, page_span: int = PAGE_SPAN, keep_system
 
 
 def reply_pairs(turns: DataFrame) -> DataFrame:
-    """A user turn and the assistant turn right after it. Positions are a
-    dense sequence (as W2 yields), so "next" is an equi-join on (call, pos + 1):
-    hashed on both columns, a very long call spreads over many tasks."""
-    u = turns.filter(F.col("role") == "user").select("call_id", F.col("pos").alias("user_pos"),
-                                                     F.col("text").alias("user_text"))
-    a = turns.filter(F.col("role") == "assistant").select("call_id", (F.col("pos") - 1).alias("user_pos"),
-                                                          F.col("pos").alias("reply_pos"), F.col("text").alias("reply_text"))
-    return u.join(a, ["call_id", "user_pos"]).select("call_id", "user_pos", "reply_pos", "user_text", "reply_text")
+    """A user turn and the assistant turn right after it, also where
+    positions have gaps. One call's turns are sorted together (with spill)."""
+    w = Window.partitionBy("call_id").orderBy("pos")
+    x = turns.select("call_id", "role", F.col("pos").alias("user_pos"), F.col("text").alias("user_text"),
+                     F.lead(F.struct("pos", "role", "text")).over(w).alias("n"))
+    return x.filter((F.col("role") == "user") & (F.col("n.role") == "assistant")).select(
+        "call_id", "user_pos", F.col("n.pos").alias("reply_pos"), "user_text", F.col("n.text").alias("reply_text"))
 
 
 def call_metrics(turns: DataFrame) -> DataFrame:

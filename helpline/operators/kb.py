@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helpline.functions.columns import PAGE_SPAN, content_hash, nullif_empty, opt, ordered_join, page_of
+from helpline.functions.columns import content_hash, nullif_empty, opt, ordered_join, page_of
 
 # Default texts of the protocol page (line breaks are real here).
 WHEN_TO_USE_DEFAULT = "This protocol should be used when a customer calls about this specific issue."
@@ -65,7 +65,7 @@ def protocols_steps_left_join(protocols: DataFrame, steps: DataFrame) -> DataFra
 
 
 # ----------------------------------------------------------- aggregates A1-A5
-def client_company_lists(client_companies: DataFrame, companies: DataFrame, page_span: int = PAGE_SPAN) -> DataFrame:
+def client_company_lists(client_companies: DataFrame, companies: DataFrame, page_span: int | None = None) -> DataFrame:
     """A1: per client (and page), company ids and names joined by ', ', both in
     company-id order so the two lists align."""
     e = companies.select(F.col("Id").alias("EmpresaId"), F.col("Nombre"))
@@ -78,7 +78,7 @@ def client_company_lists(client_companies: DataFrame, companies: DataFrame, page
                     F.size("cs").cast("bigint").alias("n_companies"))
 
 
-def protocol_steps_text(steps: DataFrame, page_span: int = PAGE_SPAN) -> DataFrame:
+def protocol_steps_text(steps: DataFrame, page_span: int | None = None) -> DataFrame:
     """A2: ordered ``code. text`` lines per protocol, ties broken by the rendered
     line. A step whose code or text is NULL renders NULL and is skipped."""
     line = F.concat(F.col("CodigoPasoProtocolo").cast("string"), F.lit(". "), F.col("PasoProtocolo"))
@@ -90,7 +90,7 @@ def protocol_steps_text(steps: DataFrame, page_span: int = PAGE_SPAN) -> DataFra
                     F.size("ls").cast("bigint").alias("n_steps"))
 
 
-def services_by_company(services: DataFrame, companies: DataFrame, page_span: int = PAGE_SPAN) -> DataFrame:
+def services_by_company(services: DataFrame, companies: DataFrame, page_span: int | None = None) -> DataFrame:
     """One document per company with its services, ascending id."""
     s = services.select(F.col("CompanyId"), F.struct(
         F.col("Id").cast("string").alias("service_id"), F.col("NombreServicio").alias("name"),
@@ -106,7 +106,7 @@ def services_by_company(services: DataFrame, companies: DataFrame, page_span: in
 
 
 def clients_by_company(clients: DataFrame, client_companies: DataFrame, companies: DataFrame,
-                       page_span: int = PAGE_SPAN) -> DataFrame:
+                       page_span: int | None = None) -> DataFrame:
     """The intent of the large-client layout -- exploded client-company
     pairs grouped by company, clients ascending by id."""
     c = clients.select(F.col("Id").alias("ClienteId"), F.struct(
@@ -146,7 +146,7 @@ def company_docs(companies: DataFrame) -> DataFrame:
 
 
 def client_docs(clients: DataFrame, client_companies: DataFrame, companies: DataFrame,
-                page_span: int = PAGE_SPAN) -> DataFrame:
+                page_span: int | None = None) -> DataFrame:
     """P2 = J1 + A1: one document per client listing its companies. The list is
     aggregated from the bridge first, then joined to the client row."""
     lists = client_company_lists(client_companies, companies, page_span)
@@ -163,7 +163,7 @@ def client_docs(clients: DataFrame, client_companies: DataFrame, companies: Data
 
 
 def client_docs_by_company(clients: DataFrame, client_companies: DataFrame, companies: DataFrame,
-                           page_span: int = PAGE_SPAN) -> DataFrame:
+                           page_span: int | None = None) -> DataFrame:
     """Above the threshold, one document per company with nested clients."""
     g = clients_by_company(clients, client_companies, companies, page_span)
     doc = F.struct(F.col("company_id").cast("string").alias("enterprise_ids"),
@@ -173,7 +173,7 @@ def client_docs_by_company(clients: DataFrame, client_companies: DataFrame, comp
                     "n_clients", F.to_json(doc, _JSON).alias("body"))
 
 
-def service_docs(services: DataFrame, companies: DataFrame, page_span: int = PAGE_SPAN) -> DataFrame:
+def service_docs(services: DataFrame, companies: DataFrame, page_span: int | None = None) -> DataFrame:
     """Services of a company as one JSON document."""
     g = services_by_company(services, companies, page_span)
     doc = F.struct(F.col("company_id").cast("string").alias("enterprise_id"), F.col("enterprise_name"),
@@ -183,7 +183,7 @@ def service_docs(services: DataFrame, companies: DataFrame, page_span: int = PAG
                     "n_services", F.to_json(doc, _JSON).alias("body"))
 
 
-def protocol_docs(protocols: DataFrame, reasons: DataFrame, steps: DataFrame, page_span: int = PAGE_SPAN) -> DataFrame:
+def protocol_docs(protocols: DataFrame, reasons: DataFrame, steps: DataFrame, page_span: int | None = None) -> DataFrame:
     """P5 = J3 + J4 + A2: Markdown page per protocol. Steps are aggregated before
     the left join; NULL steps take the default text and are flagged."""
     st = protocol_steps_text(steps, page_span).withColumnRenamed("protocol_id", "Id")
@@ -218,10 +218,12 @@ def client_layout(client_lists: DataFrame, threshold: int = CLIENT_LAYOUT_THRESH
 
 def corpus(companies: DataFrame, clients: DataFrame, client_companies: DataFrame, services: DataFrame,
            protocols: DataFrame, reasons: DataFrame, steps: DataFrame,
-           threshold: int = CLIENT_LAYOUT_THRESHOLD, page_span: int = PAGE_SPAN) -> DataFrame:
-    """Every document kind in one DataFrame with a content hash. The client
-    layout is chosen by A7 (one scalar count; no rows reach the driver)."""
-    layout = client_layout(client_company_lists(client_companies, companies, page_span), threshold).first()["layout"]
+           layout: str = "per_client", page_span: int | None = None) -> DataFrame:
+    """Every document kind in one DataFrame with a content hash. ``layout``:
+    'per_client' or 'by_company'; A7 reports which one a client count suggests,
+    but a growing table never changes the layout of an export by itself."""
+    if layout not in ("per_client", "by_company"):
+        raise ValueError(f"unknown layout {layout!r}")
     if layout == "by_company":
         cl = client_docs_by_company(clients, client_companies, companies, page_span).withColumn("doc_kind", F.lit("clients"))
     else:

@@ -6,7 +6,7 @@ accent-folded text with built-in string functions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helpline.functions.columns import fold_accents, word_count
@@ -121,21 +121,18 @@ def answered_before_identified(turns: DataFrame) -> DataFrame:
     return g.select("call_id", "first_user_pos", "first_solution_pos", flag.alias("answered_before_identified"))
 
 
-def stop_words(spark: SparkSession) -> DataFrame:
-    rows = [(w, lang, LANG_PRIORITY[lang]) for lang, ws in STOP_WORDS.items() for w in ws]
-    return spark.createDataFrame(rows, "token string, lang string, prio int")
-
-
 def language_policy(turns: DataFrame) -> DataFrame:
     """Per assistant turn, the language with most stop-word hits (ties to the
-    higher priority; no hit -> 'unknown') and whether it breaks the policy. The
-    stop-word table is a fixed ~50-row constant, so broadcasting it is bounded."""
-    a = turns.filter(F.col("role") == "assistant").select("call_id", "pos", "text")
-    toks = a.select("call_id", "pos", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("token"))
-    sw = F.broadcast(stop_words(turns.sparkSession))
-    votes = (toks.join(sw, "token").groupBy("call_id", "pos", "lang", "prio").agg(F.count(F.lit(1)).alias("v"))
-             .groupBy("call_id", "pos").agg(F.max_by("lang", F.col("v") * 10 + F.col("prio")).alias("lang")))
-    out = a.select("call_id", "pos").join(votes, ["call_id", "pos"], "left")
-    lang = F.coalesce("lang", F.lit("unknown"))
-    return out.select("call_id", "pos", lang.alias("detected_lang"),
+    higher priority; no hit -> 'unknown') and whether it breaks the policy.
+    Row-local: the hits of each language are counted in the turn's token array."""
+    a = turns.filter(F.col("role") == "assistant").select(
+        "call_id", "pos", F.split(F.lower("text"), r"[^\p{L}]+").alias("tokens"))
+
+    def score(lang: str) -> Column:
+        n = F.size(F.filter("tokens", lambda t: t.isin(*STOP_WORDS[lang])))
+        return F.struct((n * 10 + LANG_PRIORITY[lang]).alias("v"), F.lit(lang).alias("lang"))
+    hits = F.array(*[score(lang) for lang in STOP_WORDS])
+    best = F.array_max(F.filter(hits, lambda h: h["v"] >= 10))
+    lang = F.coalesce(best["lang"], F.lit("unknown"))
+    return a.select("call_id", "pos", lang.alias("detected_lang"),
                       ((lang != POLICY_LANGUAGE) & (lang != "unknown")).alias("violation"))

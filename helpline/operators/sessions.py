@@ -26,11 +26,11 @@ def _micros(ts: str) -> F.Column:
 def ntz_to_instant(c: F.Column) -> F.Column:
     """TIMESTAMP_NTZ -> TIMESTAMP at the same wall clock read as UTC (watermarks
     need TIMESTAMP); no session time zone is involved either way."""
-    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '{EPOCH_NTZ}', {c._jc.toString()})"))
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(f"TIMESTAMP_NTZ '{EPOCH_NTZ}'"), c))
 
 
 def instant_to_ntz(c: F.Column) -> F.Column:
-    return F.expr(f"timestampadd(MICROSECOND, unix_micros({c._jc.toString()}), TIMESTAMP_NTZ '{EPOCH_NTZ}')")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.expr(f"TIMESTAMP_NTZ '{EPOCH_NTZ}'"))
 
 
 def _event_time(df: DataFrame, ts: str) -> tuple[DataFrame, str, bool]:
@@ -48,10 +48,10 @@ def call_sessions(events: DataFrame, gap_seconds: int = DEFAULT_GAP_SECONDS, key
          .groupBy("k", "bucket").agg(F.min("us").alias("min_us"), F.max("us").alias("max_us"),
                                      F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
                                      F.count(F.lit(1)).alias("n"), F.sum("v").alias("v")))
-    prev = b.select("k", (F.col("bucket") + 1).alias("bucket"), F.col("max_us").alias("prev_max_us"))
-    linked = b.join(prev, ["k", "bucket"], "left").withColumn(
-        "starts", (F.col("prev_max_us").isNull() | ((F.col("min_us") - F.col("prev_max_us")) >= F.lit(g_us))).cast("int"))
-    w = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("k").orderBy("bucket")
+    before = F.lag("max_us").over(order)
+    linked = b.withColumn("starts", F.coalesce(F.col("min_us") - before >= F.lit(g_us), F.lit(True)).cast("int"))
+    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = linked.withColumn("session_no", F.sum("starts").over(w))
     out = s.groupBy("k", "session_no").agg(F.min("min_ts").alias("session_start"), F.max("max_ts").alias("last_event"),
                                            F.sum("n").alias("n_events"), F.sum("v").alias("total_value"))

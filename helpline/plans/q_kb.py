@@ -7,10 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helpline.functions.columns import PAGE_SPAN
 from helpline.operators import kb
 from helpline.plans.catalog import register
-from helpline.plans.sqltext import doc_id, lit, page
+from helpline.plans.sqltext import doc_id, lit
 from helpline.sources import fixtures as fx
 from helpline.sources.fixtures import with_fixtures as W
 
@@ -22,7 +21,7 @@ def _t(spark, d):
 
 
 # ---------------------------------------------------------------- SQL pieces
-A1_SQL = f"""SELECT cc.ClienteId AS client_id, {page('cc.EmpresaId', PAGE_SPAN)} AS page_no,
+A1_SQL = f"""SELECT cc.ClienteId AS client_id, CAST(0 AS BIGINT) AS page_no,
     string_agg(CAST(e.Id AS VARCHAR), ', ' ORDER BY e.Id) AS enterprise_ids,
     string_agg(e.Nombre, ', ' ORDER BY e.Id) AS enterprise_names, count(*) AS n_companies
     FROM client_companies cc JOIN companies e ON e.Id = cc.EmpresaId GROUP BY 1, 2"""
@@ -38,7 +37,7 @@ P2_SQL = f"""SELECT {doc_id('client_', 'c.Id', 'l.page_no')} AS doc_id, c.Id AS
       'phoneNumber': '', 'address': ''}}) AS body
     FROM ({A1_SQL}) l JOIN clients c ON c.Id = l.client_id"""
 
-A4_SQL = f"""SELECT cc.EmpresaId AS company_id, {page('cc.ClienteId', PAGE_SPAN)} AS page_no,
+A4_SQL = f"""SELECT cc.EmpresaId AS company_id, CAST(0 AS BIGINT) AS page_no,
     list({{'client_id': CAST(c.Id AS VARCHAR), 'name': c.NombreCompleto, 'type': 'client', 'carnetIdentidad': '',
       'email': '', 'phoneNumber': '', 'address': ''}} ORDER BY c.Id) AS clients,
     string_agg(CAST(c.Id AS VARCHAR), ', ' ORDER BY c.Id) AS client_ids, count(*) AS n_clients
@@ -49,7 +48,7 @@ P3_SQL = f"""SELECT {doc_id('clients_enterprise_', 'g.company_id', 'g.page_no')}
     to_json({{'enterprise_ids': CAST(g.company_id AS VARCHAR), 'enterprises_names': e.Nombre, 'clients': g.clients}}) AS body
     FROM ({A4_SQL}) g JOIN companies e ON e.Id = g.company_id"""
 
-A3_SQL = f"""SELECT CompanyId AS company_id, {page('Id', PAGE_SPAN)} AS page_no,
+A3_SQL = f"""SELECT CompanyId AS company_id, CAST(0 AS BIGINT) AS page_no,
     list({{'service_id': CAST(Id AS VARCHAR), 'name': NombreServicio, 'description': Descripcion, 'type': 'service'}} ORDER BY Id) AS services,
     string_agg(CAST(Id AS VARCHAR), ', ' ORDER BY Id) AS service_ids, count(*) AS n_services
     FROM services GROUP BY 1, 2"""
@@ -60,7 +59,7 @@ P4_SQL = f"""SELECT {doc_id('services_enterprise_', 'g.company_id', 'g.page_no')
     FROM ({A3_SQL}) g JOIN companies e ON e.Id = g.company_id"""
 
 _LINE = "CAST(CodigoPasoProtocolo AS VARCHAR) || '. ' || PasoProtocolo"
-A2_SQL = f"""SELECT ProtocolId AS protocol_id, {page('coalesce(CodigoPasoProtocolo, 0)', PAGE_SPAN)} AS page_no,
+A2_SQL = f"""SELECT ProtocolId AS protocol_id, CAST(0 AS BIGINT) AS page_no,
     string_agg({_LINE}, chr(10) ORDER BY CodigoPasoProtocolo, {_LINE}) AS steps, count({_LINE}) AS n_steps
     FROM protocol_steps GROUP BY 1, 2"""
 
@@ -78,9 +77,6 @@ A7_SQL = f"""SELECT count(*) AS n_clients, CASE WHEN count(*) > {kb.CLIENT_LAYOU
 CORPUS_SQL = f"""SELECT *, sha256(concat_ws('|', doc_kind, doc_id, body)) AS content_hash FROM (
     SELECT doc_id, 'company' AS doc_kind, entity_id, page_no, title, CAST(body AS VARCHAR) AS body FROM ({P1_SQL}) a
     UNION ALL SELECT doc_id, 'client', entity_id, page_no, title, CAST(body AS VARCHAR) AS body FROM ({P2_SQL}) b
-      WHERE (SELECT layout FROM ({A7_SQL}) l) = 'per_client'
-    UNION ALL SELECT doc_id, 'clients', entity_id, page_no, title, CAST(body AS VARCHAR) AS body FROM ({P3_SQL}) c
-      WHERE (SELECT layout FROM ({A7_SQL}) l) = 'by_company'
     UNION ALL SELECT doc_id, 'services', entity_id, page_no, title, CAST(body AS VARCHAR) AS body FROM ({P4_SQL}) d
     UNION ALL SELECT doc_id, 'protocol', entity_id, page_no, title, CAST(body AS VARCHAR) AS body FROM ({P5_SQL}) e) u"""
 

@@ -5,6 +5,7 @@ have had as a column."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +54,19 @@ def persist_index(nodes: DataFrame, vectors: DataFrame, base: str, version: str)
     return {"version": version, "n_nodes": n_nodes, "n_vectors": n_vec}
 
 
-def latest_version(spark: SparkSession, base: str) -> str | None:
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table, or None if the path does not exist; other errors rise."""
     try:
-        m = spark.read.parquet(f"{base}/_manifest")
-    except Exception:  # noqa: BLE001 - no manifest yet
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def latest_version(spark: SparkSession, base: str) -> str | None:
+    m = _read_if_there(spark, f"{base}/_manifest")
+    if m is None:
         return None
     r = m.orderBy(F.col("created_at").desc(), F.col("version").desc()).select("version").first()
     return r[0] if r else None
@@ -75,11 +85,9 @@ def append_calls(new_calls: DataFrame, register_path: str) -> int:
     already registered (or repeated in the batch) are skipped."""
     spark = new_calls.sparkSession
     batch = new_calls.dropDuplicates(["room_name"])
-    try:
-        existing = spark.read.parquet(register_path).select("room_name")
-        batch = batch.join(existing, "room_name", "left_anti")
-    except Exception:  # noqa: BLE001 - first write creates the register
-        pass
+    existing = _read_if_there(spark, register_path)  # the first write creates the register
+    if existing is not None:
+        batch = batch.join(existing.select("room_name"), "room_name", "left_anti")
     # the batch reads the register it appends to: cut lineage first with a
     # reliable checkpoint in the shared spark.checkpoint.dir
     from helpline.session import cut_lineage

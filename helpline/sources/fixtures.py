@@ -58,7 +58,7 @@ def reasons(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("o_orderpriority")
     return o.select(F.substring(p, 1, 1).cast("bigint").alias("Id"),
                     F.concat(F.lit("R"), F.substring(p, 1, 1)).alias("CodigoMotivo"),
-                    F.substring(p, 3, 100).alias("NombreMotivo"),
+                    F.substr(p, F.lit(3)).alias("NombreMotivo"),
                     F.concat(F.lit("Orders with priority "), p).alias("Descripcion"))
 
 
@@ -155,7 +155,7 @@ SQL = {
     "services": """SELECT p_partkey AS Id, p_name AS NombreServicio, p_type AS Descripcion, l_suppkey AS CompanyId
         FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) li JOIN part ON l_partkey = p_partkey""",
     "reasons": """SELECT CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS Id, 'R' || substr(o_orderpriority, 1, 1) AS CodigoMotivo,
-        substr(o_orderpriority, 3, 100) AS NombreMotivo, 'Orders with priority ' || o_orderpriority AS Descripcion
+        substr(o_orderpriority, 3) AS NombreMotivo, 'Orders with priority ' || o_orderpriority AS Descripcion
         FROM (SELECT DISTINCT o_orderpriority FROM orders) o""",
     "protocols": """SELECT o_orderkey AS Id, 'Protocol ' || CAST(o_orderkey AS VARCHAR) AS NombreProtocolo,
         o_orderstatus AS Descripcion, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS ReasonId FROM orders""",
