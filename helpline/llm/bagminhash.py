@@ -243,7 +243,10 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one per class, with all their columns."""
     keep = classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).where("kept")
-    keep = materialize(keep.select(F.col("doc_id").alias("_keep_id"), F.col("key").alias("_keep_key")), "bag-kept")
-    own = docs.withColumn("_text_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    left = own.join(keep, (F.col("_text_key") == F.col("_keep_key")) & F.col(doc_id).cast("bigint").eqNullSafe(F.col("_keep_id")))
-    return left.dropDuplicates(["_keep_id", "_keep_key"]).drop("_keep_id", "_keep_key", "_text_key")
+
+    def row(id_, key):
+        return F.md5(F.concat_ws(":", id_.cast("bigint"), key)).alias("_keep_row")
+    keep = materialize(keep.select(row(F.col("doc_id"), F.col("key"))), "bag-kept")
+    # texts move once: repeated rows meet by the same key as the rows that stay
+    own = docs.select("*", row(F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit(""))))).dropDuplicates(["_keep_row"])
+    return own.join(keep, "_keep_row", "left_semi").drop("_keep_row")
