@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from helpline.llm.common import connected_components, id_and_text
 from helpline.session import materialize
@@ -164,7 +165,7 @@ def similarity(a, b) -> float:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """``(uid, doc_id, key, bands, sig, bag)`` per row; ``key`` tells equal texts.
+    """``(uid, doc_id, key, bands, sig)`` per row; ``key`` tells equal texts.
     ``uid`` numbers the rows of this result; write it before using it twice."""
     def run(batches):
         part, n = TaskContext.get().partitionId() << 33, 0
@@ -173,16 +174,29 @@ def sign(docs: DataFrame) -> DataFrame:
                 x = b.iloc[at:at + BATCH]
                 own, key, count = shingles(list(x["text"]))
                 sig = signatures(own, key, count, len(x))
-                cut = np.searchsorted(own, np.arange(len(x) + 1))
-                some = np.diff(cut) > 0
+                some = np.bincount(own, minlength=len(x)) > 0
                 bands = band_keys(sig)
                 yield pd.DataFrame({
                     "uid": part + n + np.arange(len(x)), "doc_id": x["doc_id"].astype("Int64").array, "key": x["key"].to_numpy(),
-                    "bands": [list(r) if s else [] for r, s in zip(bands, some)], "sig": [r.tobytes() for r in sig],
-                    "bag": [pack(key[i:j], count[i:j]) for i, j in zip(cut[:-1], cut[1:])]})
+                    "bands": [list(r) if s else [] for r, s in zip(bands, some)], "sig": [r.tobytes() for r in sig]})
                 n += len(x)
     texts = id_and_text(docs).select("doc_id", F.md5("text").alias("key"), "text")
-    return texts.mapInPandas(run, "uid bigint, doc_id bigint, key string, bands array<bigint>, sig binary, bag binary")
+    return texts.mapInPandas(run, "uid bigint, doc_id bigint, key string, bands array<bigint>, sig binary")
+
+
+def bags(texts: DataFrame) -> DataFrame:
+    """The ``text`` of every row replaced by its packed multiset ``bag``."""
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), BATCH):
+                x = b.iloc[at:at + BATCH]
+                own, key, count = shingles(list(x["text"]))
+                cut = np.searchsorted(own, np.arange(len(x) + 1))
+                yield x.drop(columns="text").assign(
+                    bag=[pack(key[i:j], count[i:j]) for i, j in zip(cut[:-1], cut[1:])])
+    rest = [f for f in texts.schema.fields if f.name != "text"]
+    return texts.select(*(f.name for f in rest), "text").mapInPandas(
+        run, StructType(rest + [StructField("bag", BinaryType())]))
 
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -225,7 +239,10 @@ def classes(docs: DataFrame) -> DataFrame:
     near = connected_components(pairs, "bag-candidates")
     sized = near.join(near.groupBy("component").agg(F.count("*").alias("members")), "component")
     blocks = F.greatest(F.lit(1), F.when(F.col("members") > GROUP, F.ceil(F.col("members") / SPLIT)).otherwise(1)).cast("int")
-    x = reps.select("uid", "sig", "bag").join(sized, F.col("uid") == F.col("id")).withColumn("blocks", blocks)
+    x = rows.select("uid", "key", "sig").join(sized.withColumn("blocks", blocks), F.col("uid") == F.col("id"))
+    # only candidates need a multiset: made from their texts, of which copies are combined before they move
+    whole = id_and_text(docs).select(F.md5("text").alias("key"), "text").dropDuplicates(["key"])
+    x = bags(x.select("uid", "key", "sig", "component", "blocks").join(whole, "key"))
     x = x.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     links = x.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
