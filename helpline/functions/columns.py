@@ -102,3 +102,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() > 4 * n or _busy_splits(df) >= n:
         return df
     return df.repartition(n, *keys) if keys else df.repartition(n)
+
+
+def request_key(call_id: Column | str, prompt: Column | str) -> Column:
+    """Id of an evaluation request without one of its own: a hash of its body
+    (a missing field differs from an empty one)."""
+    c, p = (F.col(x) if isinstance(x, str) else x for x in (call_id, prompt))
+    return F.md5(F.concat(F.coalesce(c.cast("string"), F.lit("-")), F.lit("|"),
+                          F.coalesce(F.concat(F.lit("="), p), F.lit("-"))))

@@ -16,11 +16,12 @@ from helpline.functions.columns import PAGE_SPAN, page_of, role_label, word_coun
 
 def turns_to_items(turns: DataFrame) -> DataFrame:
     """Flat turns -> item struct per row: content is ``[text]`` (empty when NULL)."""
+    interrupted = F.coalesce("interrupted", F.lit(False)) if "interrupted" in turns.columns else F.lit(False)
     content = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("text")))
     return turns.select("call_id", "pos", F.struct(
         F.concat(F.lit("item_"), F.col("call_id").cast("string"), F.lit("_"), F.col("pos").cast("string")).alias("id"),
         F.lit("message").alias("type"), F.col("role"), content.alias("content"),
-        F.lit(False).alias("interrupted")).alias("item"))
+        interrupted.alias("interrupted")).alias("item"))
 
 
 def build_transcripts(turns: DataFrame, page_span: int = PAGE_SPAN) -> DataFrame:

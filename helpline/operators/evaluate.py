@@ -8,9 +8,10 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helpline.functions.columns import request_key
 from helpline.operators import calls as C
 from helpline.operators import outcomes as O
 
@@ -20,60 +21,97 @@ REPORT_TITLE = "Reporte de Evaluacion de Llamadas"
 CALL_LINE = "Id de Llamada: "
 CRITERIA_HEADING = "Criterios de Evaluacion:"
 RESULTS_HEADING = "Evaluation Results:"
+PROMPT_HEAD = "Evaluation instructions: "
+TRANSCRIPT_HEAD = "\n\nConversation transcript:\n"
 MISSING_FIELDS = "Missing required fields: call_id and evaluation_prompt"
 
 
+def with_request_ids(requests: DataFrame) -> DataFrame:
+    """``(request_id, call_id, evaluation_prompt)``: the request's own id, or the
+    hash of its body where it has none. Rows of equal id are one request sent
+    again: it is scored once and answered on every row."""
+    own = request_key("call_id", "evaluation_prompt")
+    if "request_id" in requests.columns:
+        own = F.coalesce(F.col("request_id").cast("string"), own)
+    return requests.select(own.alias("request_id"), "call_id", "evaluation_prompt")
+
+
 def valid_requests(requests: DataFrame) -> DataFrame:
     """Presence check only (an empty prompt is accepted)."""
     ok = F.col("call_id").isNotNull() & F.col("evaluation_prompt").isNotNull()
-    return requests.select("call_id", "evaluation_prompt",
-                           F.when(ok, F.lit("valid")).otherwise(F.lit("invalid")).alias("status"),
-                           F.when(ok, F.lit(None).cast("string")).otherwise(F.lit(MISSING_FIELDS)).alias("reason"))
+    return with_request_ids(requests).select(
+        "request_id", "call_id", "evaluation_prompt",
+        F.when(ok, F.lit("valid")).otherwise(F.lit("invalid")).alias("status"),
+        F.when(ok, F.lit(None).cast("string")).otherwise(F.lit(MISSING_FIELDS)).alias("reason"))
 
 
 def requests_calls_join(requests: DataFrame, calls: DataFrame) -> DataFrame:
     """Valid requests joined to their call's transcript path."""
-    v = valid_requests(requests).filter(F.col("status") == "valid").select("call_id", "evaluation_prompt")
-    return v.join(calls.select("call_id", "transcript_path"), "call_id")
+    v = valid_requests(requests).filter(F.col("status") == "valid")
+    return v.join(calls.select("call_id", "transcript_path"), "call_id").select(
+        "request_id", "call_id", "evaluation_prompt", "transcript_path")
+
+
+def _not_found(call_id: str = "call_id") -> Column:
+    return F.concat(F.lit("Call with ID "), F.col(call_id).cast("string"), F.lit(" not found"))
 
 
 def missing_calls(requests: DataFrame, calls: DataFrame) -> DataFrame:
-    """Valid requests whose call id is unknown -> not-found rows."""
-    v = valid_requests(requests).filter(F.col("status") == "valid").select("call_id")
+    """Valid requests whose call id is unknown -> one not-found row each."""
+    v = valid_requests(requests).filter(F.col("status") == "valid")
     return (v.join(calls.select("call_id"), "call_id", "left_anti")
-            .select("call_id", F.lit("not_found").alias("status"),
-                    F.concat(F.lit("Call with ID "), F.col("call_id").cast("string"), F.lit(" not found")).alias("message")))
+            .select("request_id", "call_id", F.lit("not_found").alias("status"), _not_found().alias("message")))
+
+
+def stored_turns(transcripts: DataFrame, calls: DataFrame) -> DataFrame:
+    """Flat turns of stored transcripts (``scan_transcripts``), given to the call
+    whose ``transcript_path`` names their file. Malformed files have no turns."""
+    named = calls.select("call_id", F.element_at(F.split("transcript_path", "/"), -1).alias("file_name"))
+    t = transcripts.select("file_name", "page_no", "items").join(named, "file_name")
+    return C.turn_sequence(t).select("call_id", "pos", "role", F.get("content", 0).alias("text"), "interrupted")
 
 
 def eval_prompts(requests: DataFrame, calls: DataFrame, turns: DataFrame) -> DataFrame:
-    """One evaluator prompt per found request and transcript page."""
-    found = requests_calls_join(requests, calls)
-    text = C.format_transcripts(turns)
-    j = found.join(text, "call_id")
-    prompt = F.concat(F.lit("Evaluation instructions: "), F.col("evaluation_prompt"),
-                      F.lit("\n\nConversation transcript:\n"), F.col("transcript"))
-    return j.select("call_id", "page_no", "evaluation_prompt", F.lit(SYSTEM_TEXT).alias("system_text"),
-                    prompt.alias("user_text"))
+    """One evaluator prompt per found request and transcript page. A call
+    without text has one page with an empty transcript."""
+    j = requests_calls_join(requests, calls).join(C.format_transcripts(turns), "call_id", "left")
+    prompt = F.concat(F.lit(PROMPT_HEAD), F.col("evaluation_prompt"), F.lit(TRANSCRIPT_HEAD),
+                      F.coalesce("transcript", F.lit("")))
+    return j.select("request_id", "call_id", F.coalesce("page_no", F.lit(0)).alias("page_no"), "evaluation_prompt",
+                    F.lit(SYSTEM_TEXT).alias("system_text"), prompt.alias("user_text"))
 
 
 def call_facts(turns: DataFrame) -> DataFrame:
-    """Per-call results of the rules, each aggregated before joining (no fan-out)."""
-    wl = O.word_limit_violations(turns).groupBy("call_id").agg(F.count(F.lit(1)).alias("n_long_turns"))
-    lang = (O.language_policy(turns).groupBy("call_id")
-            .agg(F.count_if(F.col("violation")).alias("n_language_violations")))
-    return (O.call_outcome(turns).select("call_id", "outcome")
-            .join(O.greeting_check(turns).select("call_id", "greeted"), "call_id", "left")
-            .join(O.answered_before_identified(turns).select("call_id", "answered_before_identified"), "call_id", "left")
-            .join(wl, "call_id", "left").join(lang, "call_id", "left")
-            .select("call_id", "outcome", "greeted", "answered_before_identified",
-                    F.coalesce("n_long_turns", F.lit(0)).cast("bigint").alias("n_long_turns"),
-                    F.coalesce("n_language_violations", F.lit(0)).cast("bigint").alias("n_language_violations")))
+    """Per-call results of the rules: each rule is a column of the turn, and one
+    grouping with partial aggregates (a long call is one row per task) combines
+    them."""
+    spoken = F.col("role") == "assistant"
+    x = turns.select(
+        "call_id", "pos", "role", "text",
+        F.when(spoken, O.outcome_of("text")).alias("o"),
+        F.when(spoken & (O.solution_source_of("text") != "none"), F.col("pos")).alias("solved_at"),
+        (spoken & O.is_long_turn("text")).alias("long"),
+        F.when(spoken, O.word_tokens("text")).alias("tokens"))
+    x = x.withColumn("foreign", O.breaks_language_policy(O.language_of(F.col("tokens"))))
+    g = x.groupBy("call_id").agg(
+        F.max_by("o", F.when(F.col("o").isNotNull(), F.col("pos"))).alias("o"),
+        F.min_by(F.struct("role", "text"), "pos").alias("f"),
+        F.min(F.when(F.col("role") == "user", F.col("pos"))).alias("user_at"), F.min("solved_at").alias("solved_at"),
+        F.count_if("long").alias("n_long_turns"), F.count_if("foreign").alias("n_language_violations"))
+    early = F.col("solved_at").isNotNull() & (F.col("user_at").isNull() | (F.col("solved_at") < F.col("user_at")))
+    return g.select("call_id", F.coalesce("o", F.lit(O.OPEN_OUTCOME)).alias("outcome"),
+                    F.coalesce((F.col("f.role") == "assistant") & O.asks_identity(F.col("f.text")), F.lit(False)).alias("greeted"),
+                    early.alias("answered_before_identified"), "n_long_turns", "n_language_violations")
 
 
 def rule_scorer(prompts: DataFrame, turns: DataFrame) -> DataFrame:
     """Default deterministic scorer: five pass/fail criteria from the rules,
-    written as paragraphs separated by a blank line."""
-    f = call_facts(turns)
+    written as paragraphs separated by a blank line. A call without turns is
+    open, without greeting and without violations."""
+    f = prompts.select("request_id", "call_id").distinct().join(call_facts(turns), "call_id", "left").select(
+        "request_id", F.coalesce("outcome", F.lit(O.OPEN_OUTCOME)).alias("outcome"),
+        *[F.coalesce(c, F.lit(False)).alias(c) for c in ("greeted", "answered_before_identified")],
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_long_turns", "n_language_violations")])
     passes = [F.col("outcome").isin("verified_resolved", "ai_resolved"), F.col("greeted"),
               ~F.col("answered_before_identified"), F.col("n_long_turns") == 0, F.col("n_language_violations") == 0]
     score = reduce(lambda a, b: a + b, [p.cast("int") for p in passes]) / F.lit(float(len(passes)))
@@ -85,52 +123,63 @@ def rule_scorer(prompts: DataFrame, turns: DataFrame) -> DataFrame:
                  F.when(F.col("answered_before_identified"), F.lit("violated")).otherwise(F.lit("ok"))),
         F.concat(F.lit("Word limit: "), F.col("n_long_turns").cast("string"), F.lit(" long turns without a solution")),
         F.concat(F.lit("Language: "), F.col("n_language_violations").cast("string"), F.lit(" assistant turns not in Spanish")))
-    ids = prompts.select("call_id").distinct()
-    return ids.join(f, "call_id").select("call_id", F.round(score, 6).alias("score"),
-                                         F.when(score >= 0.6, F.lit("pass")).otherwise(F.lit("fail")).alias("verdict"),
-                                         text.alias("result_text"))
+    return f.select("request_id", F.lit(0).cast("bigint").alias("page_no"), F.round(score, 6).alias("score"),
+                    F.when(score >= 0.6, F.lit("pass")).otherwise(F.lit("fail")).alias("verdict"),
+                    text.alias("result_text"))
 
 
 def pandas_scorer(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Wrap a model call ``fn(prompts_pdf) -> pdf(call_id, score, verdict,
-    result_text)`` as an Arrow-batched ``mapInPandas`` over the prompt rows."""
+    """Wrap a model call as an Arrow-batched ``mapInPandas`` over the prompt rows:
+    ``fn`` gets a batch of prompts and returns ``score``, ``verdict`` and
+    ``result_text`` for each of its rows, in their order."""
+    def run(batches):
+        for p in batches:
+            r = fn(p)
+            if len(r) != len(p):
+                raise ValueError(f"the scorer returned {len(r)} rows for {len(p)} prompts")
+            yield pd.DataFrame({c: x[c].to_numpy() for x, names in (
+                (p, ("request_id", "page_no")), (r, ("score", "verdict", "result_text"))) for c in names})
+
     def scorer(prompts: DataFrame, turns: DataFrame) -> DataFrame:  # noqa: ARG001
-        return prompts.mapInPandas(lambda it: (fn(p) for p in it),
-                                   "call_id long, score double, verdict string, result_text string")
+        return prompts.mapInPandas(run, "request_id string, page_no bigint, score double, verdict string, result_text string")
     return scorer
 
 
 def evaluate_calls(requests: DataFrame, calls: DataFrame, turns: DataFrame,
                    scorer: Callable[[DataFrame, DataFrame], DataFrame] = rule_scorer) -> DataFrame:
-    """One result row per request: invalid, not found, or evaluated."""
+    """One result row per request: invalid, not found, or evaluated.
+    ``turns`` are flat turns or stored transcripts (with ``items``), which are
+    found by the call's ``transcript_path``. Results of a transcript's pages are
+    put together: mean score, passed if all pages pass, texts in page order."""
+    if "items" in turns.columns:
+        turns = stored_turns(turns, calls)
     v = valid_requests(requests)
-    invalid = v.filter(F.col("status") == "invalid").select(
-        "call_id", "evaluation_prompt", F.lit("error").alias("status"), F.col("reason").alias("message"))
-    missing = (missing_calls(requests, calls).join(v.select("call_id", "evaluation_prompt").dropDuplicates(["call_id"]), "call_id")
-               .select("call_id", "evaluation_prompt", F.lit("error").alias("status"), "message"))
-    prompts = eval_prompts(requests, calls, turns)
-    scored = scorer(prompts, turns)
-    found = (requests_calls_join(requests, calls).join(scored, "call_id")
-             .select("call_id", "evaluation_prompt", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("message"),
-                     "score", "verdict", "result_text"))
-    errors = invalid.unionByName(missing).select(
-        "*", F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("verdict"),
-        F.lit(None).cast("string").alias("result_text"))
-    return found.unionByName(errors)
+    once = v.filter(F.col("status") == "valid").dropDuplicates(["request_id"])
+    scored = scorer(eval_prompts(once, calls, turns), turns).groupBy("request_id").agg(
+        F.avg("score").alias("score"), F.min(F.col("verdict") == "pass").alias("passed"),
+        F.array_sort(F.collect_list(F.struct("page_no", "result_text"))).alias("pages"))
+    scored = scored.select("request_id", "score", F.when(F.col("passed"), F.lit("pass")).otherwise(F.lit("fail")).alias("verdict"),
+                           F.array_join(F.transform("pages", lambda p: p["result_text"]), "\n\n").alias("result_text"))
+    known = calls.select("call_id").distinct().withColumn("known", F.lit(True))
+    ok = (F.col("status") == "valid") & F.col("known").isNotNull()
+    message = F.when(F.col("status") == "invalid", F.col("reason")).when(F.col("known").isNull(), _not_found())
+    return v.join(known, "call_id", "left").join(scored, "request_id", "left").select(
+        "request_id", "call_id", "evaluation_prompt", F.when(ok, F.lit("ok")).otherwise(F.lit("error")).alias("status"),
+        message.alias("message"), "score", "verdict", "result_text")
 
 
 def evaluation_report(results: DataFrame) -> DataFrame:
-    """K6: report rows ``(call_id, section, para_no, text)`` in reading order;
-    results are split into paragraphs at blank lines."""
+    """K6: report rows ``(request_id, call_id, section, para_no, text)`` in reading
+    order; results are split into paragraphs at blank lines."""
     ok = results.filter(F.col("status") == "ok")
-    head = ok.select("call_id", F.explode(F.array(
+    head = ok.select("request_id", "call_id", F.explode(F.array(
         F.struct(F.lit("title").alias("section"), F.lit(0).alias("para_no"), F.lit(REPORT_TITLE).alias("text")),
         F.struct(F.lit("call").alias("section"), F.lit(0).alias("para_no"),
                  F.concat(F.lit(CALL_LINE), F.col("call_id").cast("string")).alias("text")),
         F.struct(F.lit("criteria").alias("section"), F.lit(0).alias("para_no"), F.lit(CRITERIA_HEADING).alias("text")),
         F.struct(F.lit("criteria").alias("section"), F.lit(1).alias("para_no"), F.col("evaluation_prompt").alias("text")),
         F.struct(F.lit("results").alias("section"), F.lit(0).alias("para_no"), F.lit(RESULTS_HEADING).alias("text")),
-    )).alias("r")).select("call_id", "r.section", "r.para_no", "r.text")
-    paras = ok.select("call_id", F.posexplode(F.split("result_text", "\n\n")).alias("p", "text")).select(
-        "call_id", F.lit("results").alias("section"), (F.col("p") + 1).alias("para_no"), "text")
+    )).alias("r")).select("request_id", "call_id", "r.section", "r.para_no", "r.text")
+    paras = ok.select("request_id", "call_id", F.posexplode(F.split("result_text", "\n\n")).alias("p", "text")).select(
+        "request_id", "call_id", F.lit("results").alias("section"), (F.col("p") + 1).alias("para_no"), "text")
     return head.unionByName(paras).withColumn("para_no", F.col("para_no").cast("int"))

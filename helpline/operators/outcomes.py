@@ -6,6 +6,8 @@ accent-folded text with built-in string functions."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,36 @@ def solution_source_of(text: Column | str) -> Column:
             .when(f.contains(VERIFIED_SOLUTION_PHRASE), F.lit("verified")).otherwise(F.lit("none")))
 
 
+def is_long_turn(text: Column | str, limit: int = WORD_LIMIT) -> Column:
+    """More than ``limit`` words and no solution presented."""
+    return (word_count(text) > limit) & ~folded(text).contains(SOLUTION_WORD)
+
+
+def language_of(tokens: Column) -> Column:
+    """Language with most stop-word hits in a token array (ties to the higher
+    priority), 'unknown' without a hit."""
+    def score(lang: str) -> Column:
+        n = F.size(F.filter(tokens, lambda t: t.isin(*STOP_WORDS[lang])))
+        return F.struct((n * 10 + LANG_PRIORITY[lang]).alias("v"), F.lit(lang).alias("lang"))
+    hits = F.array(*[score(lang) for lang in STOP_WORDS])
+    best = F.array_max(F.filter(hits, lambda h: h["v"] >= 10))
+    return F.coalesce(best["lang"], F.lit("unknown"))
+
+
+def breaks_language_policy(lang: Column) -> Column:
+    return (lang != POLICY_LANGUAGE) & (lang != "unknown")
+
+
+def word_tokens(text: Column | str) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}]+")
+
+
+def asks_identity(text: Column | str) -> Column:
+    """The greeting that asks for name and company."""
+    f = folded(text)
+    return reduce(lambda a, b: a & b, [f.contains(w) for w in GREETING_WORDS])
+
+
 def call_outcome(turns: DataFrame) -> DataFrame:
     """Outcome of the last assistant turn carrying a closing phrase; calls
     without one are 'open'. ``max_by`` is a partial aggregate."""
@@ -81,9 +113,8 @@ def outcome_summary(outcomes: DataFrame) -> DataFrame:
 
 def word_limit_violations(turns: DataFrame, limit: int = WORD_LIMIT) -> DataFrame:
     """Assistant turns longer than ``limit`` words that present no solution."""
-    a = turns.filter(F.col("role") == "assistant").select("call_id", "pos", "text", word_count("text").alias("n_words"))
-    return (a.filter((F.col("n_words") > limit) & ~folded("text").contains(SOLUTION_WORD))
-            .select("call_id", "pos", "n_words"))
+    return (turns.filter((F.col("role") == "assistant") & is_long_turn("text", limit))
+            .select("call_id", "pos", word_count("text").alias("n_words")))
 
 
 def interruption_rate(turns: DataFrame) -> DataFrame:
@@ -103,12 +134,8 @@ def solution_source(turns: DataFrame) -> DataFrame:
 def greeting_check(turns: DataFrame) -> DataFrame:
     """The call opens with the assistant asking for name and company."""
     first = turns.groupBy("call_id").agg(F.min_by(F.struct("role", "text"), "pos").alias("f"))
-    f = folded(F.col("f.text"))
-    asks = None
-    for w in GREETING_WORDS:
-        asks = f.contains(w) if asks is None else (asks & f.contains(w))
     return first.select("call_id", F.col("f.role").alias("first_role"),
-                        F.coalesce((F.col("f.role") == "assistant") & asks, F.lit(False)).alias("greeted"))
+                        F.coalesce((F.col("f.role") == "assistant") & asks_identity(F.col("f.text")), F.lit(False)).alias("greeted"))
 
 
 def answered_before_identified(turns: DataFrame) -> DataFrame:
@@ -126,13 +153,7 @@ def language_policy(turns: DataFrame) -> DataFrame:
     higher priority; no hit -> 'unknown') and whether it breaks the policy.
     Row-local: the hits of each language are counted in the turn's token array."""
     a = turns.filter(F.col("role") == "assistant").select(
-        "call_id", "pos", F.split(F.lower("text"), r"[^\p{L}]+").alias("tokens"))
-
-    def score(lang: str) -> Column:
-        n = F.size(F.filter("tokens", lambda t: t.isin(*STOP_WORDS[lang])))
-        return F.struct((n * 10 + LANG_PRIORITY[lang]).alias("v"), F.lit(lang).alias("lang"))
-    hits = F.array(*[score(lang) for lang in STOP_WORDS])
-    best = F.array_max(F.filter(hits, lambda h: h["v"] >= 10))
-    lang = F.coalesce(best["lang"], F.lit("unknown"))
+        "call_id", "pos", word_tokens("text").alias("tokens"))
+    lang = language_of(F.col("tokens"))
     return a.select("call_id", "pos", lang.alias("detected_lang"),
-                      ((lang != POLICY_LANGUAGE) & (lang != "unknown")).alias("violation"))
+                    breaks_language_policy(lang).alias("violation"))

@@ -11,7 +11,10 @@ from helpline.operators import evaluate as E
 from helpline.operators import outcomes as O
 from helpline.plans.catalog import register
 from helpline.plans.sqltext import lit, page
+from helpline.session import scratch_path
+from helpline.sinks.writers import write_transcripts
 from helpline.sources import fixtures as fx
+from helpline.sources.files import scan_transcripts
 from helpline.sources.fixtures import with_fixtures as W
 
 ROLE = "CASE WHEN role = 'assistant' THEN 'Assistant' ELSE 'User' END"
@@ -60,17 +63,19 @@ C7_SQL = f"""SELECT a.call_id, a.pos, coalesce(b.lang, 'unknown') AS detected_la
         JOIN (VALUES {_SW}) sw(token, lang, prio) ON sw.token = t.token GROUP BY 1, 2, 3, 4) v
       GROUP BY 1, 2) b ON a.call_id = b.call_id AND a.pos = b.pos"""
 
-P7_SQL = f"""SELECT call_id, evaluation_prompt,
+REQUEST_ID = "md5(coalesce(CAST(call_id AS VARCHAR), '-') || '|' || coalesce('=' || evaluation_prompt, '-'))"
+P7_SQL = f"""SELECT {REQUEST_ID} AS request_id, call_id, evaluation_prompt,
     CASE WHEN call_id IS NOT NULL AND evaluation_prompt IS NOT NULL THEN 'valid' ELSE 'invalid' END AS status,
     CASE WHEN call_id IS NOT NULL AND evaluation_prompt IS NOT NULL THEN NULL ELSE '{E.MISSING_FIELDS}' END AS reason
     FROM eval_requests"""
-J7_SQL = f"""SELECT r.call_id, r.evaluation_prompt, c.transcript_path FROM ({P7_SQL}) r JOIN calls c ON c.call_id = r.call_id
-    WHERE r.status = 'valid'"""
-J8_SQL = f"""SELECT r.call_id, 'not_found' AS status, 'Call with ID ' || CAST(r.call_id AS VARCHAR) || ' not found' AS message
+J7_SQL = f"""SELECT r.request_id, r.call_id, r.evaluation_prompt, c.transcript_path FROM ({P7_SQL}) r
+    JOIN calls c ON c.call_id = r.call_id WHERE r.status = 'valid'"""
+J8_SQL = f"""SELECT r.request_id, r.call_id, 'not_found' AS status,
+    'Call with ID ' || CAST(r.call_id AS VARCHAR) || ' not found' AS message
     FROM ({P7_SQL}) r WHERE r.status = 'valid' AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.call_id = r.call_id)"""
-X8_SQL = f"""SELECT j.call_id, t.page_no, j.evaluation_prompt, {lit(E.SYSTEM_TEXT)} AS system_text,
-    'Evaluation instructions: ' || j.evaluation_prompt || chr(10) || chr(10) || 'Conversation transcript:' || chr(10) || t.transcript AS user_text
-    FROM ({J7_SQL}) j JOIN ({FORMAT_SQL.replace('FROM turns', 'FROM {src}')}) t ON t.call_id = j.call_id"""
+X8_SQL = f"""SELECT j.request_id, j.call_id, coalesce(t.page_no, 0) AS page_no, j.evaluation_prompt, {lit(E.SYSTEM_TEXT)} AS system_text,
+    {lit(E.PROMPT_HEAD)} || j.evaluation_prompt || {lit(E.TRANSCRIPT_HEAD)} || coalesce(t.transcript, '') AS user_text
+    FROM ({J7_SQL}) j LEFT JOIN ({FORMAT_SQL.replace('FROM turns', 'FROM {src}')}) t ON t.call_id = j.call_id"""
 
 FACTS_SQL = f"""SELECT o.call_id, o.outcome, g.greeted, b.answered_before_identified,
     CAST(coalesce(w.n, 0) AS BIGINT) AS n_long_turns, CAST(coalesce(l.n, 0) AS BIGINT) AS n_language_violations
@@ -82,27 +87,27 @@ FACTS_SQL = f"""SELECT o.call_id, o.outcome, g.greeted, b.answered_before_identi
 _PASS = ("(CAST(outcome IN ('verified_resolved', 'ai_resolved') AS INTEGER) + CAST(greeted AS INTEGER) + "
          "CAST(NOT answered_before_identified AS INTEGER) + CAST(n_long_turns = 0 AS INTEGER) + "
          "CAST(n_language_violations = 0 AS INTEGER)) / 5.0")
-SCORED_SQL = f"""SELECT call_id, round({_PASS}, 6) AS score, CASE WHEN {_PASS} >= 0.6 THEN 'pass' ELSE 'fail' END AS verdict,
+SCORED_SQL = f"""SELECT request_id, round({_PASS}, 6) AS score, CASE WHEN {_PASS} >= 0.6 THEN 'pass' ELSE 'fail' END AS verdict,
     concat_ws(chr(10) || chr(10), 'Outcome: ' || outcome,
       'Greeting: ' || CASE WHEN greeted THEN 'ok' ELSE 'missing' END,
       'Identification before solution: ' || CASE WHEN answered_before_identified THEN 'violated' ELSE 'ok' END,
       'Word limit: ' || CAST(n_long_turns AS VARCHAR) || ' long turns without a solution',
       'Language: ' || CAST(n_language_violations AS VARCHAR) || ' assistant turns not in Spanish') AS result_text
-    FROM ({FACTS_SQL}) f WHERE call_id IN (SELECT call_id FROM ({X8_SQL}) p)"""
-X9_SQL = f"""SELECT j.call_id, j.evaluation_prompt, 'ok' AS status, CAST(NULL AS VARCHAR) AS message, s.score, s.verdict, s.result_text
-    FROM ({J7_SQL}) j JOIN ({SCORED_SQL}) s ON s.call_id = j.call_id
-    UNION ALL SELECT call_id, evaluation_prompt, 'error', reason, NULL, NULL, NULL FROM ({P7_SQL}) r WHERE status = 'invalid'
-    UNION ALL SELECT m.call_id, r.evaluation_prompt, 'error', m.message, NULL, NULL, NULL
-      FROM ({J8_SQL}) m JOIN (SELECT DISTINCT ON (call_id) call_id, evaluation_prompt FROM ({P7_SQL}) q) r ON r.call_id = m.call_id"""
+    FROM (SELECT DISTINCT request_id, call_id FROM ({J7_SQL}) j) p JOIN ({FACTS_SQL}) f ON f.call_id = p.call_id"""
+X9_SQL = f"""SELECT r.request_id, r.call_id, r.evaluation_prompt,
+    CASE WHEN r.status = 'valid' AND c.call_id IS NOT NULL THEN 'ok' ELSE 'error' END AS status,
+    CASE WHEN r.status = 'invalid' THEN r.reason WHEN c.call_id IS NULL
+      THEN 'Call with ID ' || CAST(r.call_id AS VARCHAR) || ' not found' END AS message, s.score, s.verdict, s.result_text
+    FROM ({P7_SQL}) r LEFT JOIN calls c ON c.call_id = r.call_id LEFT JOIN ({SCORED_SQL}) s ON s.request_id = r.request_id"""
 K6_SQL = f"""WITH res AS (SELECT * FROM ({X9_SQL}) x WHERE status = 'ok')
-    SELECT call_id, 'title' AS section, 0 AS para_no, {lit(E.REPORT_TITLE)} AS text FROM res
-    UNION ALL SELECT call_id, 'call', 0, '{E.CALL_LINE}' || CAST(call_id AS VARCHAR) FROM res
-    UNION ALL SELECT call_id, 'criteria', 0, '{E.CRITERIA_HEADING}' FROM res
-    UNION ALL SELECT call_id, 'criteria', 1, evaluation_prompt FROM res
-    UNION ALL SELECT call_id, 'results', 0, '{E.RESULTS_HEADING}' FROM res
-    UNION ALL SELECT call_id, 'results', CAST(i AS INTEGER), text FROM (
-      SELECT call_id, unnest(p) AS text, generate_subscripts(p, 1) AS i FROM (
-        SELECT call_id, string_split(result_text, chr(10) || chr(10)) AS p FROM res) a) b"""
+    SELECT request_id, call_id, 'title' AS section, 0 AS para_no, {lit(E.REPORT_TITLE)} AS text FROM res
+    UNION ALL SELECT request_id, call_id, 'call', 0, '{E.CALL_LINE}' || CAST(call_id AS VARCHAR) FROM res
+    UNION ALL SELECT request_id, call_id, 'criteria', 0, '{E.CRITERIA_HEADING}' FROM res
+    UNION ALL SELECT request_id, call_id, 'criteria', 1, evaluation_prompt FROM res
+    UNION ALL SELECT request_id, call_id, 'results', 0, '{E.RESULTS_HEADING}' FROM res
+    UNION ALL SELECT request_id, call_id, 'results', CAST(i AS INTEGER), text FROM (
+      SELECT request_id, call_id, unnest(p) AS text, generate_subscripts(p, 1) AS i FROM (
+        SELECT request_id, call_id, string_split(result_text, chr(10) || chr(10)) AS p FROM res) a) b"""
 
 ITEM_JSON = ("{'id': 'item_' || CAST(call_id AS VARCHAR) || '_' || CAST(pos AS VARCHAR), 'type': 'message', 'role': role, "
              "'content': CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE [text] END, 'interrupted': false}")
@@ -142,9 +147,11 @@ def q_w2(spark, d):
                     "interrupted")
 
 
-@register("nonempty_turns", W("SELECT call_id, pos, role, text AS first_content FROM turns WHERE text IS NOT NULL", "turns"))
+@register("nonempty_turns", W("""SELECT call_id, pos, role, text AS first_content FROM (
+    SELECT call_id, role, text, row_number() OVER (PARTITION BY call_id ORDER BY pos) - 1 AS pos FROM call_turns) t
+    WHERE text IS NOT NULL""", "turns_with_closings", "call_turns"))
 def q_p6(spark, d):
-    s = C.turn_sequence(C.build_transcripts(fx.turns(spark, d)))
+    s = C.turn_sequence(C.build_transcripts(fx.call_turns(spark, d)))
     return s.filter(C.nonempty(F.col("content"))).select("call_id", "pos", "role", F.get("content", 0).alias("first_content"))
 
 
@@ -157,12 +164,12 @@ def q_w3(spark, d):
 
 @register("call_metrics", W(f"""SELECT call_id, count(*) AS n_items, count(*) FILTER (WHERE role = 'user') AS n_user,
     count(*) FILTER (WHERE role = 'assistant') AS n_assistant, count(*) FILTER (WHERE role NOT IN ('user', 'assistant')) AS n_other,
-    CAST(0 AS BIGINT) AS n_interrupted, CAST(coalesce(sum({WORDS}), 0) AS BIGINT) AS n_words,
+    count(*) FILTER (WHERE interrupted) AS n_interrupted, CAST(coalesce(sum({WORDS}), 0) AS BIGINT) AS n_words,
     CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN {WORDS} END), 0) AS BIGINT) AS n_assistant_words,
     min(pos) AS first_pos, max(pos) AS last_pos, arg_min(role, pos) AS first_role, arg_max(role, pos) AS last_role
-    FROM turns GROUP BY call_id""", "turns"))
+    FROM call_turns GROUP BY call_id""", "turns_with_closings", "call_turns"))
 def q_a10(spark, d):
-    return C.call_metrics(fx.turns(spark, d))
+    return C.call_metrics(fx.call_turns(spark, d))
 
 
 @register("call_outcome", W(C1_SQL, "turns_with_closings"))
@@ -187,14 +194,14 @@ def q_c4(spark, d):
     return O.solution_source(fx.turns_with_closings(spark, d))
 
 
-@register("greeting_check", W(_src(C5_SQL, "turns"), "turns"))
+@register("greeting_check", W(_src(C5_SQL, "call_turns"), "turns_with_closings", "call_turns"))
 def q_c5(spark, d):
-    return O.greeting_check(fx.turns(spark, d))
+    return O.greeting_check(fx.call_turns(spark, d))
 
 
-@register("answered_before_identified", W(_src(C6_SQL, "turns_with_closings"), "turns_with_closings"))
+@register("answered_before_identified", W(_src(C6_SQL, "call_turns"), "turns_with_closings", "call_turns"))
 def q_c6(spark, d):
-    return O.answered_before_identified(fx.turns_with_closings(spark, d))
+    return O.answered_before_identified(fx.call_turns(spark, d))
 
 
 @register("language_policy", W(_src(C7_SQL, "turns"), "turns"))
@@ -217,26 +224,34 @@ def q_j8(spark, d):
     return E.missing_calls(fx.eval_requests(spark, d), fx.calls(spark, d))
 
 
-@register("eval_prompt", W(_src(X8_SQL, "turns_with_closings"), "eval_requests", "calls", "turns_with_closings"))
+@register("eval_prompt", W(_src(X8_SQL, "call_turns"), "eval_requests", "calls", "turns_with_closings", "call_turns"))
 def q_x8(spark, d):
-    return E.eval_prompts(fx.eval_requests(spark, d), fx.calls(spark, d), fx.turns_with_closings(spark, d))
+    return E.eval_prompts(fx.eval_requests(spark, d), fx.calls(spark, d), fx.call_turns(spark, d))
+
+
+def _evaluated(spark, d):
+    """Requests evaluated from stored transcripts: written by the sink, read by
+    the source and found by the path in the calls register."""
+    path, calls = scratch_path(spark, "evaluated-calls"), fx.calls(spark, d)
+    stored = C.build_transcripts(fx.call_turns(spark, d)).join(calls, "call_id")
+    write_transcripts(stored.withColumn("file_name", C.transcript_file_name("call_id", "started_at")), path)
+    return E.evaluate_calls(fx.eval_requests(spark, d), calls, scan_transcripts(spark, path, multi_line=False))
 
 
-@register("evaluate_calls", W(_src(X9_SQL, "turns_with_closings"), "eval_requests", "calls", "turns_with_closings"))
+@register("evaluate_calls", W(_src(X9_SQL, "call_turns"), "eval_requests", "calls", "turns_with_closings", "call_turns"))
 def q_x9(spark, d):
-    return E.evaluate_calls(fx.eval_requests(spark, d), fx.calls(spark, d), fx.turns_with_closings(spark, d))
+    return _evaluated(spark, d)
 
 
-@register("evaluation_report", W(_src(K6_SQL, "turns_with_closings"), "eval_requests", "calls", "turns_with_closings"))
+@register("evaluation_report", W(_src(K6_SQL, "call_turns"), "eval_requests", "calls", "turns_with_closings", "call_turns"))
 def q_k6(spark, d):
-    r = E.evaluate_calls(fx.eval_requests(spark, d), fx.calls(spark, d), fx.turns_with_closings(spark, d))
-    return E.evaluation_report(r)
+    return E.evaluation_report(_evaluated(spark, d))
 
 
-@register("interruption_rate", W("""SELECT call_id, count(*) AS n_assistant, round(avg(0), 6) AS interruption_rate
-    FROM turns WHERE role = 'assistant' GROUP BY 1""", "turns"))
+@register("interruption_rate", W("""SELECT call_id, count(*) AS n_assistant, round(avg(CAST(interrupted AS INTEGER)), 6) AS interruption_rate
+    FROM call_turns WHERE role = 'assistant' GROUP BY 1""", "turns_with_closings", "call_turns"))
 def q_c3(spark, d):
-    return O.interruption_rate(fx.turns(spark, d))
+    return O.interruption_rate(fx.call_turns(spark, d))
 
 
 @register("lookup_call", W("""SELECT call_id, transcript_path FROM calls WHERE call_id = (SELECT max(call_id) FROM calls)""", "calls"))

@@ -17,6 +17,7 @@ from helpline.operators import chunk as CH
 from helpline.operators import kb
 from helpline.operators.embed import DEFAULT_DIM, hashing_embedder, with_norm
 from helpline.plans.catalog import register
+from helpline.plans.q_calls import REQUEST_ID
 from helpline.plans.q_kb import ALL, CORPUS_SQL, P5_SQL, corpus
 from helpline.plans.q_kb import _t as kb_tables
 from helpline.plans.q_text import CHUNK_SQL, STEP
@@ -63,7 +64,7 @@ def q_s4(spark, d):
 
 
 # ---------------------------------------------------------------- S8 requests
-@register("scan_requests", W("SELECT call_id, evaluation_prompt FROM eval_requests", "eval_requests"))
+@register("scan_requests", W(f"SELECT {REQUEST_ID} AS request_id, call_id, evaluation_prompt FROM eval_requests", "eval_requests"))
 def q_s8(spark, d):
     """Request bodies as JSON lines; a body without ``evaluation_prompt`` reads
     back with a NULL prompt (it is rejected later by P7)."""

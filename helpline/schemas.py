@@ -27,6 +27,7 @@ CALLS = T.StructType([
 ])
 
 EVAL_REQUEST = T.StructType([
+    T.StructField("request_id", T.StringType()),
     T.StructField("call_id", T.LongType()), T.StructField("evaluation_prompt", T.StringType()),
 ])
 

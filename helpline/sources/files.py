@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helpline.functions.columns import request_key
 from helpline.schemas import EVAL_REQUEST, TRANSCRIPT, TRANSCRIPT_LINE
 
 # MIME type by file extension.
@@ -55,9 +56,11 @@ def scan_transcripts(spark: SparkSession, path: str, multi_line: bool = True) ->
 
 
 def scan_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation requests as JSON lines (one request body per line)."""
+    """Evaluation requests as JSON lines (one request body per line); a body
+    without ``request_id`` is known by the hash of its fields."""
     return (spark.read.schema(EVAL_REQUEST).option("mode", "PERMISSIVE").json(path)
-            .select("call_id", "evaluation_prompt"))
+            .select(F.coalesce("request_id", request_key("call_id", "evaluation_prompt")).alias("request_id"),
+                    "call_id", "evaluation_prompt"))
 
 
 def load_index(spark: SparkSession, base: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:

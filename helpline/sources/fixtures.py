@@ -15,7 +15,11 @@ from helpline.sources.tables import read_table
 # The canned evaluation prompt and the closing phrases appended to
 # the last assistant turn of each call so outcome rules have something to find.
 EVAL_PROMPT = "Check the greeting, the identification of the client and the resolution offered."
+SECOND_PROMPT = "Check that the agent kept to Spanish."
 NOT_FOUND_OFFSET = 1_000_000_000
+# Openings put before some calls.
+GREETING = "Buenos días, dígame su nombre y su empresa, por favor."
+EARLY_SOLUTION = "Tengo una solución verificada para usted."
 
 
 def companies(spark: SparkSession, d: str) -> DataFrame:
@@ -102,6 +106,23 @@ def turns_with_closings(spark: SparkSession, d: str) -> DataFrame:
             .drop("last_pos"))
 
 
+def call_turns(spark: SparkSession, d: str) -> DataFrame:
+    """``turns_with_closings`` in every shape the call rules tell apart: some
+    calls without any text, some opened by a greeting or by a solution before
+    the client spoke, some turns interrupted (FIXTURES.md)."""
+    t = turns_with_closings(spark, d)
+    mute = F.col("call_id") % 11 == 5
+    spoken = t.select("call_id", (F.col("pos") + 2).alias("pos"), "role", F.when(~mute, F.col("text")).alias("text"),
+                      ((F.col("role") == "assistant") & ((F.col("call_id") + F.col("pos")) % 3 == 0)).alias("interrupted"))
+    ids = t.filter(~mute).select("call_id").distinct()
+
+    def opening(keep, pos: int, text: str) -> DataFrame:
+        return ids.filter(keep).select("call_id", F.lit(pos).alias("pos"), F.lit("assistant").alias("role"),
+                                       F.lit(text).alias("text"), F.lit(False).alias("interrupted"))
+    return (spoken.unionByName(opening(F.col("call_id") % 6 == 2, 0, EARLY_SOLUTION))
+            .unionByName(opening(F.col("call_id") % 4 == 1, 1, GREETING)))
+
+
 def calls(spark: SparkSession, d: str) -> DataFrame:
     """Calls register: one row per conversation. Start is a fixed origin plus
     the call id in minutes; end adds 30 seconds per item."""
@@ -114,19 +135,24 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("room-"), F.col("call_id").cast("string")).alias("room_name"),
         start.alias("started_at"),
         (start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("n_items") * 30).cast("decimal(18,6)"))).alias("ended_at"),
-        F.concat(F.lit("transcripts/call_"), F.col("call_id").cast("string"), F.lit(".json")).alias("transcript_path"))
+        F.concat(F.lit("transcripts/transcript_"), F.date_format(start, "yyyy-MM-dd_HH-mm-ss"), F.lit("_"),
+                 F.col("call_id").cast("string"), F.lit(".json")).alias("transcript_path"))
 
 
 def eval_requests(spark: SparkSession, d: str) -> DataFrame:
-    """One request per call (prompt missing when ``call_id % 7 == 3``) plus one
-    request per call for an id that does not exist."""
+    """One request per call (prompt missing when ``call_id % 7 == 3``), a second
+    one with another prompt for every third call, and one per call for an id that
+    does not exist, sent twice for every fifth."""
     ids = read_table(spark, d, "conversations", ["conv_id"]).distinct()
     known = ids.select(F.col("conv_id").alias("call_id"),
                        F.when(F.col("conv_id") % 7 == 3, F.lit(None).cast("string"))
                        .otherwise(F.lit(EVAL_PROMPT)).alias("evaluation_prompt"))
     unknown = ids.select((F.col("conv_id") + F.lit(NOT_FOUND_OFFSET)).alias("call_id"),
                          F.lit(EVAL_PROMPT).alias("evaluation_prompt"))
-    return known.unionByName(unknown)
+    second = ids.filter(F.col("conv_id") % 3 == 1).select(F.col("conv_id").alias("call_id"),
+                                                           F.lit(SECOND_PROMPT).alias("evaluation_prompt"))
+    again = unknown.filter((F.col("call_id") - F.lit(NOT_FOUND_OFFSET)) % 5 == 0)
+    return known.unionByName(second).unionByName(unknown).unionByName(again)
 
 
 def people(spark: SparkSession, d: str) -> DataFrame:
@@ -172,15 +198,24 @@ SQL = {
         FROM (SELECT conv_id AS call_id, turn AS pos, role, text FROM conversations) t
         LEFT JOIN (SELECT conv_id AS call_id, max(turn) AS last_pos FROM conversations WHERE role = 'assistant' GROUP BY 1) l
         ON t.call_id = l.call_id""",
+    "call_turns": f"""SELECT call_id, pos + 2 AS pos, role, CASE WHEN call_id % 11 <> 5 THEN text END AS text,
+        role = 'assistant' AND (call_id + pos) % 3 = 0 AS interrupted FROM turns_with_closings
+        UNION ALL SELECT DISTINCT call_id, 0, 'assistant', '{EARLY_SOLUTION}', false FROM turns_with_closings
+        WHERE call_id % 6 = 2 AND call_id % 11 <> 5
+        UNION ALL SELECT DISTINCT call_id, 1, 'assistant', '{GREETING}', false FROM turns_with_closings
+        WHERE call_id % 4 = 1 AND call_id % 11 <> 5""",
     "calls": """SELECT conv_id AS call_id, 'room-' || CAST(conv_id AS VARCHAR) AS room_name,
         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(conv_id AS INTEGER)) AS started_at,
         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(conv_id AS INTEGER)) + to_seconds(count(*) * 30) AS ended_at,
-        'transcripts/call_' || CAST(conv_id AS VARCHAR) || '.json' AS transcript_path
+        'transcripts/transcript_' || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(conv_id AS INTEGER)), '%Y-%m-%d_%H-%M-%S')
+          || '_' || CAST(conv_id AS VARCHAR) || '.json' AS transcript_path
         FROM conversations GROUP BY conv_id""",
     "eval_requests": f"""SELECT conv_id AS call_id, CASE WHEN conv_id % 7 = 3 THEN NULL ELSE '{EVAL_PROMPT}' END AS evaluation_prompt
         FROM (SELECT DISTINCT conv_id FROM conversations) c
-        UNION ALL SELECT conv_id + {NOT_FOUND_OFFSET} AS call_id, '{EVAL_PROMPT}' AS evaluation_prompt
-        FROM (SELECT DISTINCT conv_id FROM conversations) c""",
+        UNION ALL SELECT conv_id, '{SECOND_PROMPT}' FROM (SELECT DISTINCT conv_id FROM conversations) c WHERE conv_id % 3 = 1
+        UNION ALL SELECT conv_id + {NOT_FOUND_OFFSET}, '{EVAL_PROMPT}' FROM (SELECT DISTINCT conv_id FROM conversations) c
+        UNION ALL SELECT conv_id + {NOT_FOUND_OFFSET}, '{EVAL_PROMPT}' FROM (SELECT DISTINCT conv_id FROM conversations) c
+        WHERE conv_id % 5 = 0""",
     "people": """SELECT doc_id AS person_id,
         array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:2], ' ') AS full_name
         FROM documents WHERE lang = 'en'""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from helpline.operators import calls as C
 from helpline.operators import evaluate as E
 from helpline.operators import outcomes as O
+from helpline.sinks import writers
 from helpline.sources.files import scan_requests, scan_transcripts
 
 
@@ -23,19 +24,19 @@ def test_scan_and_format_transcripts(spark, tmp):
         {"id": "5", "type": "message", "role": "system", "content": ["rules"], "interrupted": False},
         {"id": "6", "type": "message", "role": "user", "content": [], "interrupted": False},
     ]
-    _write(tmp, "transcript_2025-05-28_01-42-27_7.json", {"items": items})
-    _write(tmp, "transcript_2025-05-28_01-45-17.json", {"other": 1})
-    _write(tmp, "transcript_2025-05-28_02-30-36_9.json", "{not json")
+    _write(tmp, "transcript_2031-04-05_06-07-08_7.json", {"items": items})
+    _write(tmp, "transcript_2031-04-05_09-10-11.json", {"other": 1})
+    _write(tmp, "transcript_2031-04-06_12-13-14_9.json", "{not json")
     t = scan_transcripts(spark, tmp).withColumn("text", C.format_items(F.col("items")))
     rows = {r["file_name"]: r for r in t.collect()}
-    r = rows["transcript_2025-05-28_01-42-27_7.json"]
-    assert r["call_id"] == 7 and str(r["started_at"]) == "2025-05-28 01:42:27"
+    r = rows["transcript_2031-04-05_06-07-08_7.json"]
+    assert r["call_id"] == 7 and str(r["started_at"]) == "2031-04-05 06:07:08"
     assert r["text"] == "Assistant: Hola, ¿su nombre y empresa?\nUser: Ana, Acme\nAssistant: \nUser: rules"
-    assert rows["transcript_2025-05-28_01-45-17.json"]["text"] == ""  # items missing -> empty
+    assert rows["transcript_2031-04-05_09-10-11.json"]["text"] == ""  # items missing -> empty
     no_sys = t.select("file_name", C.format_items(F.col("items"), keep_system=False).alias("x")).collect()
-    assert {r["file_name"]: r["x"] for r in no_sys}["transcript_2025-05-28_01-42-27_7.json"] == \
+    assert {r["file_name"]: r["x"] for r in no_sys}["transcript_2031-04-05_06-07-08_7.json"] == \
         "Assistant: Hola, ¿su nombre y empresa?\nUser: Ana, Acme\nAssistant: "
-    assert rows["transcript_2025-05-28_02-30-36_9.json"]["malformed"]
+    assert rows["transcript_2031-04-06_12-13-14_9.json"]["malformed"]
     seq = C.turn_sequence(t.select("call_id", "items")).filter(F.col("call_id") == 7)
     assert [x["pos"] for x in seq.orderBy("pos").collect()] == list(range(6))
 
@@ -92,11 +93,64 @@ def test_custom_scorer_runs_in_pandas(spark):
     req = spark.createDataFrame([(1, "check")], "call_id long, evaluation_prompt string")
 
     def model(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"call_id": p["call_id"], "score": 1.0, "verdict": "pass", "result_text": "fine"})
+        return pd.DataFrame({"score": [1.0] * len(p), "verdict": "pass", "result_text": "fine"})
     r = E.evaluate_calls(req, calls, turns, scorer=E.pandas_scorer(model)).first()
     assert r["result_text"] == "fine"
 
 
+CALL = "call_id long, started_at timestamp_ntz, transcript_path string"
+
+
+def test_every_request_gets_its_own_answer(spark):
+    import datetime as dt
+
+    import pandas as pd
+    at = dt.datetime(2031, 4, 5, 6, 7, 8)
+    calls = spark.createDataFrame([(1, at, "x/a.json"), (3, at, "x/c.json"), (8, at, "x/h.json")], CALL)
+    rows = [(1, "first"), (1, "second"), (1, "second"), (8, "no text"), (99, "m1"), (99, "m2"), (99, None), (None, "x"), (1, "")]
+    req = spark.createDataFrame(rows, "call_id long, evaluation_prompt string")
+
+    def model(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"score": [0.5] * len(p), "verdict": "fail", "result_text": "for " + p["user_text"].str.split("\n").str[0]})
+    res = [r.asDict() for r in E.evaluate_calls(req, calls, _turns(spark), scorer=E.pandas_scorer(model)).collect()]
+    assert sorted((r["call_id"] or 0, r["evaluation_prompt"] or "-") for r in res) == sorted((c or 0, p or "-") for c, p in rows)
+    for r in res:
+        if r["status"] == "ok":
+            assert r["result_text"] == "for " + E.PROMPT_HEAD + r["evaluation_prompt"]
+        else:
+            assert r["score"] is None and r["call_id"] in (99, None)
+    assert sorted(r["evaluation_prompt"] for r in res if r["message"] == "Call with ID 99 not found") == ["m1", "m2"]
+    assert len({r["request_id"] for r in res}) == len(set(rows))
+    rep = E.evaluation_report(E.evaluate_calls(req, calls, _turns(spark)))
+    heads = rep.filter("section = 'criteria' AND para_no = 1 AND call_id = 1").select("request_id", "text").distinct().collect()
+    assert {r["text"] for r in heads} == {"first", "second", ""} and len(heads) == 3
+
+
+def test_evaluation_reads_the_transcript_that_the_register_names(spark, tmp):
+    import datetime as dt
+    t = C.build_transcripts(_turns(spark)).withColumn("file_name", F.concat(F.lit("kept-"), (F.col("call_id") + 100).cast("string")))
+    writers.write_transcripts(t.drop("call_id"), os.path.join(tmp, "t"))
+    stored = scan_transcripts(spark, os.path.join(tmp, "t"), multi_line=False)
+    at = dt.datetime(2031, 4, 5, 6, 7, 8)
+    # call 2's register row names the file of call 1, call 5's a file that is not there
+    calls = spark.createDataFrame([(2, at, "x/kept-101"), (5, at, "x/none.json")], CALL)
+    req = spark.createDataFrame([("r", 2, "check"), ("s", 5, "check")], "request_id string, call_id long, evaluation_prompt string")
+    got = {r["request_id"]: r for r in E.evaluate_calls(req, calls, stored).collect()}
+    flat = E.evaluate_calls(req.withColumn("call_id", F.lit(1)), calls.withColumn("call_id", F.lit(1)), _turns(spark)).first()
+    assert got["r"]["result_text"] == flat["result_text"] and got["r"]["score"] == flat["score"]
+    assert got["s"]["status"] == "ok" and got["s"]["result_text"].startswith("Outcome: open")
+
+
+def test_one_grouping_gives_what_the_single_rules_give(spark):
+    from helpline.operators import outcomes as O
+    t = _turns(spark)
+    facts = {r["call_id"]: r for r in E.call_facts(t).collect()}
+    for rule, name in ((O.call_outcome, "outcome"), (O.greeting_check, "greeted"), (O.answered_before_identified, "answered_before_identified")):
+        assert {r["call_id"]: r[name] for r in rule(t).collect()} == {k: f[name] for k, f in facts.items()}
+    assert {r["call_id"]: r["n"] for r in O.language_policy(t).filter("violation").groupBy("call_id").agg(F.count("*").alias("n")).collect()} \
+        == {k: f["n_language_violations"] for k, f in facts.items() if f["n_language_violations"]}
+
+
 def test_format_transcripts_can_drop_system_turns(spark):
     t = _turns(spark)
     keep = {r["call_id"]: r["transcript"] for r in C.format_transcripts(t).collect()}

@@ -74,7 +74,7 @@ def test_stream_transcripts_equals_batch(spark, tmp):
     src = os.path.join(tmp, "t")
     os.makedirs(src)
     for i in range(3):
-        with open(os.path.join(src, f"transcript_2025-05-28_01-0{i}-00_{i}.json"), "w") as f:
+        with open(os.path.join(src, f"transcript_2031-04-05_01-0{i}-00_{i}.json"), "w") as f:
             json.dump({"items": [{"id": "a", "type": "message", "role": "user", "content": [f"hi {i}"]},
                                  {"id": "b", "type": "message", "role": "assistant", "content": ["ok"]}]}, f)
     out = os.path.join(tmp, "o")
