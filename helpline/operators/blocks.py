@@ -20,10 +20,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HITS_SCHEMA = "query_id long, item_id long, score double"
 RANK_DIGITS = 9  # scores are ranked on round(score, 9), then item id
 
 
+def hits_schema(queries: DataFrame, items: DataFrame) -> str:
+    """``query_id, item_id, score`` with the ids' own types (text or integer)."""
+    def kind(df: DataFrame, c: str) -> str:
+        return "string" if df.schema[c].dataType.simpleString() == "string" else "bigint"
+    return f"query_id {kind(queries, 'query_id')}, item_id {kind(items, 'item_id')}, score double"
+
+
+def id_array(ids: pd.Series) -> np.ndarray:
+    """Ids as integers or as text, in an array that numpy can sort (text by code
+    point, as Spark does)."""
+    return ids.to_numpy(np.int64) if pd.api.types.is_numeric_dtype(ids) else ids.to_numpy(dtype=str)
+
+
 def _blocks(n: int, rows: int) -> int:
     return max(1, math.ceil(n / max(1, rows)))
 
@@ -57,8 +69,8 @@ def blocked_top_k(queries: DataFrame, items: DataFrame, kernel: Callable[[pd.Dat
                   k: int, q_block_rows: int = 1024, i_block_rows: int = 8192,
                   n_queries: int | None = None, n_items: int | None = None) -> DataFrame:
     """Best ``k`` items per query. ``queries`` needs ``query_id``, ``items``
-    needs ``item_id``; the kernel gets both blocks and returns HITS_SCHEMA rows
-    (at most k per query). Result: ``query_id, item_id, score, hit_rank``."""
+    needs ``item_id``; the kernel gets both blocks and returns rows of
+    ``hits_schema`` (at most k per query, or the query's own ``k`` if it has one). Result: ``query_id, item_id, score, hit_rank``."""
     nq = n_queries if n_queries is not None else queries.count()
     ni = n_items if n_items is not None else items.count()
     n_qb, n_ib = _blocks(nq, q_block_rows), _blocks(ni, i_block_rows)
@@ -73,11 +85,11 @@ def blocked_top_k(queries: DataFrame, items: DataFrame, kernel: Callable[[pd.Dat
 
     def run(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(ipdf) == 0:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "item_id": pd.Series([], dtype="int64"),
+            return pd.DataFrame({"query_id": qpdf["query_id"].iloc[:0], "item_id": ipdf["item_id"].iloc[:0],
                                  "score": pd.Series([], dtype="float64")})
         return kernel(qpdf, ipdf, k)
 
-    hits = q.groupBy("qb", "ib").cogroup(it.groupBy("qb", "ib")).applyInPandas(run, HITS_SCHEMA)
+    hits = q.groupBy("qb", "ib").cogroup(it.groupBy("qb", "ib")).applyInPandas(run, hits_schema(queries, items))
     w = Window.partitionBy("query_id").orderBy(F.round("score", RANK_DIGITS).desc(), F.col("item_id").asc())
     return hits.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= k)
 
@@ -95,11 +107,12 @@ def cosine_kernel(exclude_self: bool = False):
         with np.errstate(divide="ignore", invalid="ignore"):
             s = (qm @ im.T) / np.outer(qn, inn)
         s[~np.isfinite(s)] = -np.inf  # zero vectors have no cosine
-        qids = qpdf["query_id"].to_numpy(np.int64)
-        iids = ipdf["item_id"].to_numpy(np.int64)
+        qids, iids = id_array(qpdf["query_id"]), id_array(ipdf["item_id"])
         if exclude_self:
             s[qids[:, None] == iids[None, :]] = -np.inf
         idx, valid = top_k_rows(s, iids, k)
+        if "k" in qpdf:  # each query's own k
+            valid &= np.arange(idx.shape[1]) < qpdf["k"].to_numpy()[:, None]
         rows = np.repeat(np.arange(len(qids)), idx.shape[1])
         flat, ok = idx.ravel(), valid.ravel()
         return pd.DataFrame({"query_id": qids[rows][ok], "item_id": iids[flat][ok],
@@ -135,12 +148,12 @@ def bucketed_top_k(queries: DataFrame, items: DataFrame, kernel: Callable[[pd.Da
 
     def run(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(ipdf) == 0:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "item_id": pd.Series([], dtype="int64"),
+            return pd.DataFrame({"query_id": qpdf["query_id"].iloc[:0], "item_id": ipdf["item_id"].iloc[:0],
                                  "score": pd.Series([], dtype="float64")})
         return kernel(qpdf, ipdf, k)
 
     grp = [*keys, "qb", "ib"]
-    hits = q.groupBy(*grp).cogroup(it.groupBy(*grp)).applyInPandas(run, HITS_SCHEMA)
+    hits = q.groupBy(*grp).cogroup(it.groupBy(*grp)).applyInPandas(run, hits_schema(queries, items))
     # a pair found in several buckets has one score; keep it once
     best = hits.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", RANK_DIGITS).desc(), F.col("item_id").asc())

@@ -35,17 +35,19 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_join(queries: DataFrame, items: DataFrame, k: int = DEFAULT_TOP_K, exclude_self: bool = False,
                 q_block_rows: int = 1024, i_block_rows: int = 8192) -> DataFrame:
     """J5 + W1: best k items per query by cosine. ``queries(query_id, vector)``,
-    ``items(item_id, vector)``. Exact; see ``blocks.blocked_top_k``."""
-    return blocked_top_k(queries.select("query_id", "vector"), items.select("item_id", "vector"),
+    ``items(item_id, vector)``; ids are integers or texts; a column ``k`` of the
+    queries holds a lower k of their own. Exact; see ``blocks.blocked_top_k``."""
+    return blocked_top_k(queries.select(*[c for c in ("query_id", "vector", "k") if c in queries.columns]), items.select("item_id", "vector"),
                          cosine_kernel(exclude_self), k, q_block_rows, i_block_rows)
 
 
 def search(requests: DataFrame, items: DataFrame, exclude_self: bool = False) -> DataFrame:
     """``requests(query_id, vector, top_k)``; each request gets its own
-    effective k. Hits are ranked once with the largest k, then cut per query."""
+    effective k, which the kernel keeps to as well, so one request for many
+    hits does not make the blocks emit many for the others."""
     req = requests.withColumn("k_eff", effective_top_k("top_k"))
     k_max = req.agg(F.max("k_eff")).first()[0] or DEFAULT_TOP_K  # one scalar
-    hits = vector_join(req, items, int(k_max), exclude_self)
+    hits = vector_join(req.select("query_id", "vector", F.col("k_eff").alias("k")), items, int(k_max), exclude_self)
     return (hits.join(req.select("query_id", "k_eff"), "query_id")
             .filter(F.col("hit_rank") <= F.col("k_eff")))
 

@@ -21,7 +21,7 @@ from helpline.plans.q_calls import REQUEST_ID
 from helpline.plans.q_kb import ALL, CORPUS_SQL, P5_SQL, corpus
 from helpline.plans.q_kb import _t as kb_tables
 from helpline.plans.q_text import CHUNK_SQL, STEP
-from helpline.plans.rebuild import rebuild_index
+from helpline.plans.rebuild import ask, rebuild_index
 from helpline.plans.sqltext import page
 from helpline.schemas import CALLS
 from helpline.session import scratch_path
@@ -188,6 +188,19 @@ def q_s6(spark, d):
     return _index_rows(nodes, vectors)
 
 
+# ------------------------------------------------------------- ask the index
+@register("ask_index", None)
+def q_ask(spark, d):
+    """Every benchmark passage asked of an index of all documents that was
+    written and loaded: node, source document and score of its best hits (rows
+    only: the token hash of the embedder has no SQL form)."""
+    base = scratch_path(spark, "index")
+    _persist(spark, base, "v1", read_table(spark, d, "documents", ["doc_id", "text"]))
+    q = read_table(spark, d, "benchmark", ["item_id", "text"]).withColumnRenamed("item_id", "query_id")
+    hits = ask(q, *S.load_index(spark, base))
+    return hits.select("query_id", "hit_rank", "item_id", "ref_doc_id", F.round("score", 6).alias("score"))
+
+
 # ------------------------------------------------------------ X10 rebuild
 @register("rebuild_index", W(f"""SELECT node_id, ref_doc_id, chunk_no, sha256(text) AS node_hash, doc_hash,
     CAST({DEFAULT_DIM} AS INTEGER) AS dim FROM (
