@@ -103,6 +103,14 @@ def call_outcome(turns: DataFrame) -> DataFrame:
             .select("call_id", F.coalesce("outcome", F.lit(OPEN_OUTCOME)).alias("outcome"), "outcome_pos"))
 
 
+def outcome_of_items(items: Column) -> Column:
+    """C1 on a stored transcript, row-local: the closing phrase of the last
+    assistant item that has one, else 'open'."""
+    said = F.transform(F.filter(F.coalesce(items, F.array()), lambda i: i["role"] == "assistant"),
+                       lambda i: outcome_of(F.get(i["content"], 0)))
+    return F.coalesce(F.get(F.reverse(F.filter(said, lambda o: o.isNotNull())), 0), F.lit(OPEN_OUTCOME))
+
+
 def outcome_summary(outcomes: DataFrame) -> DataFrame:
     """Calls and share per outcome (share over an unpartitioned window of
     one row per outcome -- a handful of rows)."""

@@ -82,7 +82,8 @@ def streaming_sessions(events: DataFrame, gap_seconds: int = DEFAULT_GAP_SECONDS
 
 def outcome_windows(call_outcomes: DataFrame, window: str = "1 hour", ts: str = "started_at",
                     watermark: str | None = None) -> DataFrame:
-    """T4: calls per outcome per tumbling window of call start (batch or stream)."""
+    """T4: calls per outcome per tumbling window of call start (batch or stream;
+    a stream needs a watermark to write a window and drop its state)."""
     call_outcomes, et, back = _event_time(call_outcomes, ts)
     src = call_outcomes.withWatermark(et, watermark) if (watermark and call_outcomes.isStreaming) else call_outcomes
     g = src.groupBy(F.window(F.col(et), window).alias("w"), "outcome").agg(F.count(F.lit(1)).alias("n_calls"))

@@ -11,7 +11,6 @@ from helpline.plans.sqltext import page
 from helpline.session import scratch_path
 from helpline.sinks.writers import write_transcripts
 from helpline.streaming import calls as ST
-from helpline.operators import outcomes as O
 from helpline.operators import sessions as S
 from helpline.plans.catalog import register
 from helpline.plans.q_calls import C1_SQL
@@ -22,30 +21,46 @@ from helpline.sources.tables import read_table
 GAP = S.DEFAULT_GAP_SECONDS
 
 
-@register("call_sessions", f"""SELECT user_id, min(ts) AS session_start, max(ts) + to_seconds({GAP}) AS session_end,
+SESSIONS_SQL = f"""SELECT user_id, min(ts) AS session_start, max(ts) + to_seconds({GAP}) AS session_end,
     count(*) AS n_events, round(sum(value), 6) AS total_value FROM (
       SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= to_seconds({GAP}) THEN 1 ELSE 0 END)
         OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid
       FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) a) b
-    GROUP BY user_id, sid""")
+    GROUP BY user_id, sid"""
+
+
+@register("call_sessions", SESSIONS_SQL)
 def q_t3(spark, d):
     return S.call_sessions(read_table(spark, d, "events", ["user_id", "ts", "value"]))
 
 
-@register("stream_outcomes", W(f"""SELECT time_bucket(INTERVAL 1 HOUR, c.started_at) AS window_start,
-    time_bucket(INTERVAL 1 HOUR, c.started_at) + INTERVAL 1 HOUR AS window_end, o.outcome, count(*) AS n_calls
-    FROM ({C1_SQL}) o JOIN calls c ON c.call_id = o.call_id GROUP BY 1, 2, 3""", "turns_with_closings", "calls"))
+@register("stream_sessions", f"""SELECT * FROM ({SESSIONS_SQL}) s
+    WHERE session_end - to_microseconds(1) <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def q_t3_stream(spark, d):
+    """T3 as a stream over the events (append mode): a session is written once,
+    when the watermark (an hour behind the latest event) has passed its end;
+    those still open stay in the state."""
+    base = scratch_path(spark, "stream-sessions")
+    read_table(spark, d, "events", ["user_id", "ts", "value"]).write.parquet(f"{base}/in")
+    src = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
+    ST.run_to_files(ST.sessions(src, GAP, watermark="1 hour"), f"{base}/out", f"{base}/ck")
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("stream_outcomes", W(f"""SELECT time_bucket(INTERVAL 15 MINUTE, c.started_at) AS window_start,
+    time_bucket(INTERVAL 15 MINUTE, c.started_at) + INTERVAL 15 MINUTE AS window_end, o.outcome, count(*) AS n_calls
+    FROM ({C1_SQL}) o JOIN calls c ON c.call_id = o.call_id GROUP BY 1, 2, 3
+    HAVING time_bucket(INTERVAL 15 MINUTE, c.started_at) + INTERVAL 15 MINUTE <= (SELECT max(started_at) FROM calls) - INTERVAL 10 MINUTE""",
+    "turns_with_closings", "calls"))
 def q_t4(spark, d):
-    """T4 as a stream: per-call outcomes (C1 over the conversations) arrive as
-    files; the windowed count runs in Structured Streaming (complete mode: the
-    table is small, windows x outcomes) and the sink's last state is read."""
-    o = O.call_outcome(fx.turns_with_closings(spark, d)).join(fx.calls(spark, d).select("call_id", "started_at"), "call_id")
+    """T4 as a stream: transcripts arrive as files, the stream takes the outcome
+    of each (C1) and counts them per window in append mode: a window is written
+    once, when the watermark (ten minutes) has passed its end."""
+    t = build_transcripts(fx.turns_with_closings(spark, d)).join(fx.calls(spark, d), "call_id")
     base = scratch_path(spark, "stream-outcomes")
-    o.select("call_id", "started_at", "outcome").write.mode("overwrite").json(f"{base}/in")
-    src = spark.readStream.schema("call_id long, started_at timestamp_ntz, outcome string").json(f"{base}/in")
-    ST.run_available_now(ST.outcomes(src, watermark="1 hour"),
-                         lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out"), f"{base}/ck",
-                         output_mode="complete")
+    write_transcripts(t.withColumn("file_name", transcript_file_name("call_id", "started_at")), f"{base}/in")
+    src = ST.stream_transcripts(spark, f"{base}/in", multi_line=False)
+    ST.run_to_files(ST.outcomes(src, window="15 minutes", watermark="10 minutes"), f"{base}/out", f"{base}/ck")
     return spark.read.parquet(f"{base}/out")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helpline.operators.calls import format_items
+from helpline.operators.outcomes import outcome_of_items
 from helpline.operators.sessions import _event_time, outcome_windows, streaming_sessions
 from helpline.schemas import TRANSCRIPT, TRANSCRIPT_LINE
 from helpline.sources.files import TRANSCRIPT_NAME
@@ -17,7 +18,8 @@ from helpline.sources.files import TRANSCRIPT_NAME
 def stream_transcripts(spark: SparkSession, path: str, max_files_per_trigger: int = 1000,
                        multi_line: bool = True) -> DataFrame:
     """New transcript files -> one row per transcript with the formatted
-    text (row-local higher-order functions; no state, no shuffle). Layouts as
+    text and its outcome (row-local higher-order functions; no state, no shuffle;
+    a call of several pages has an outcome for each). Layouts as
     in ``scan_transcripts``: one transcript per file, or the sink's JSON lines."""
     schema = TRANSCRIPT if multi_line else TRANSCRIPT_LINE
     df = (spark.readStream.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE")
@@ -31,7 +33,8 @@ def stream_transcripts(spark: SparkSession, path: str, max_files_per_trigger: in
     return df.select((cid if multi_line else F.coalesce(F.col("call_id"), cid)).alias("call_id"), page_no.alias("page_no"),
                      name.alias("file_name"),
                      F.when(stamp != "", F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd_HH-mm-ss"))).alias("started_at"),
-                     F.size(items).cast("bigint").alias("n_items"), format_items(items).alias("transcript"))
+                     F.size(items).cast("bigint").alias("n_items"), format_items(items).alias("transcript"),
+                     outcome_of_items(items).alias("outcome"))
 
 
 def register_calls(calls: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -52,7 +55,9 @@ def sessions(events: DataFrame, gap_seconds: int, watermark: str = "1 day") -> D
 
 
 def outcomes(call_outcomes: DataFrame, window: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
-    """T4: running outcome counts per tumbling window of call start."""
+    """T4: outcome counts per tumbling window of call start. In append mode a
+    window is written once, when the watermark has passed its end; later rows of
+    it are dropped and its state goes."""
     return outcome_windows(call_outcomes, window, watermark=watermark)
 
 

@@ -111,3 +111,38 @@ def test_file_sink_resumes_without_duplicates(spark, tmp):
         f.write(json.dumps({"call_id": 2, "room_name": "r2", "started_at": "2024-01-01 00:03:00"}))
     ST.run_to_files(ST.register_calls(spark.readStream.schema(schema).json(src)), out, ck)  # restart: resumes
     assert sorted(r["call_id"] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def _deliver(spark, path, rows):
+    spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, value double").write.mode("append").parquet(path)
+
+
+def test_streamed_sessions_drop_what_is_behind_the_watermark(spark, tmp):
+    base = dt.datetime(2024, 1, 1)
+
+    def at(hours):
+        return base + dt.timedelta(hours=hours)
+    src, out, ck = (os.path.join(tmp, x) for x in ("in", "out", "ck"))
+
+    def run():
+        stream = spark.readStream.schema("user_id long, ts timestamp_ntz, value double").parquet(src)
+        ST.run_to_files(ST.sessions(stream, 3600, watermark="2 hours"), out, ck)
+        return sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    _deliver(spark, src, [(1, at(0), 1.0), (1, at(0.5), 1.0), (2, at(9), 1.0), (3, at(10), 1.0)])
+    closed = [(1, at(0), at(1.5), 2, 2.0)]  # the watermark is at hour 8: users 2 and 3 are open
+    assert run() == closed
+    # behind the watermark: dropped; late but ahead of it: joins the open session
+    _deliver(spark, src, [(1, at(1), 5.0), (2, at(8.5), 3.0), (3, at(20), 1.0)])
+    assert run() == closed + [(2, at(8.5), at(10), 2, 4.0), (3, at(10), at(11), 1, 1.0)]
+
+
+def test_outcome_of_stored_items_is_the_rule_over_turns(spark):
+    from helpline.operators import calls as C
+    from helpline.operators import outcomes as O
+    rows = [(1, 0, "assistant", "Desea ser transferido a una persona real"), (1, 1, "user", "Qué bueno haberle ayudado"),
+            (1, 2, "assistant", "Qué bueno haberle ayudado."), (1, 3, "assistant", "Adiós"), (2, 0, "user", "hola"),
+            (3, 0, "assistant", None), (4, 0, None, "No pudo ser identificado")]
+    t = spark.createDataFrame(rows, "call_id long, pos long, role string, text string")
+    got = {r["call_id"]: r["o"] for r in C.build_transcripts(t).select("call_id", O.outcome_of_items(F.col("items")).alias("o")).collect()}
+    assert got == {r["call_id"]: r["outcome"] for r in O.call_outcome(t).collect()}
+    assert got == {1: "verified_resolved", 2: "open", 3: "open", 4: "open"}
