@@ -180,12 +180,14 @@ def q_j6(spark, d):
 
 
 def issues(spark, d):
-    """The issue of each call: its first user turn."""
-    t = fx.turns(spark, d).filter(F.col("role") == "user")
-    return t.groupBy("call_id").agg(F.min_by("text", "pos").alias("text"))
+    """The issue of each call: everything its client said, in order (the first
+    turn alone would be the identification)."""
+    t = fx.turns(spark, d).filter((F.col("role") == "user") & F.col("text").isNotNull())
+    said = t.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("said"))
+    return said.select("call_id", F.array_join(F.transform("said", lambda x: x["text"]), "\n").alias("text"))
 
 
-ISSUES_SQL = "SELECT call_id, arg_min(text, pos) AS text FROM turns WHERE role = 'user' GROUP BY 1"
+ISSUES_SQL = "SELECT call_id, string_agg(text, chr(10) ORDER BY pos) AS text FROM turns WHERE role = 'user' AND text IS NOT NULL GROUP BY 1"
 
 
 @register("protocol_match", W(f"""SELECT i.call_id, h.item_id AS protocol_id, round(h.score, 6) AS score,
