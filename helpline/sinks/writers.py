@@ -82,9 +82,12 @@ def write_transcripts(transcripts: DataFrame, path: str, mode: str = "append") -
 
 def append_calls(new_calls: DataFrame, register_path: str) -> int:
     """K5: idempotent append to the calls register: rows whose ``room_name`` is
-    already registered (or repeated in the batch) are skipped."""
+    already registered are skipped; of rows repeated in the batch the earliest
+    (then the one of least id) is kept."""
     spark = new_calls.sparkSession
-    batch = new_calls.dropDuplicates(["room_name"])
+    cols = new_calls.columns
+    order = F.struct(*[c for c in ("started_at", "call_id") if c in cols], *cols)
+    batch = new_calls.groupBy("room_name").agg(F.min_by(F.struct(*cols), order).alias("r")).select("r.*")
     existing = _read_if_there(spark, register_path)  # the first write creates the register
     if existing is not None:
         batch = batch.join(existing.select("room_name"), "room_name", "left_anti")
