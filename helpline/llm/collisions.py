@@ -5,14 +5,16 @@ projections on a random direction by a known distribution: a window around the
 query's projection of ``WINDOW`` standard deviations holds the other with known
 probability. A pair that falls into each other's window on enough of the
 projections (the largest count that a pair at the threshold reaches with
-probability ``RECALL``) is verified by its cosine in double precision.
+probability ``RECALL``) is verified by its cosine in double precision. The pairs
+that are counted come from a wider window on the first projection alone, which
+with the count keeps a pair at the threshold with probability ``RECALL``.
 
 Only vectors of one label (and length) meet. A label larger than ``CELL`` is first
 cut into cells by random hyperplanes, one bit per doubling, in as many tables as a
 pair at the threshold needs to share a cell with probability ``RECALL``; a pair
 that shares cells of several tables counts in the first. Inside a cell the queries
 are sorted along the first projection, so a run of queries only sees the slice of
-vectors within its window. A cell above ``BLOCK`` members is dealt out as pairs of
+vectors within the wider window. A cell above ``BLOCK`` members is dealt out as pairs of
 blocks. Equal vectors are one vector with a multiplicity. A task returns link
 counts per vector and a spanning set of its links, never all pairs.
 
@@ -25,6 +27,7 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -43,16 +46,27 @@ QUERIES = 64                 # queries that share one slice
 SEED = 20_240
 
 
-def calibrated_count(m: int = PROJECTIONS, window: float = WINDOW, recall: float = RECALL) -> int:
-    """Largest count of ``m`` windows a pair at the threshold reaches with
-    probability ``recall``."""
+def _count_and_recall(m: int, window: float, recall: float) -> tuple[int, float]:
     hit = math.erf(window / math.sqrt(2))
     tail = 0.0
     for t in range(m, 0, -1):
         tail += math.comb(m, t) * hit ** t * (1 - hit) ** (m - t)
         if tail >= recall:
-            return t
-    return 0
+            return t, tail
+    return 0, 1.0
+
+
+def calibrated_count(m: int = PROJECTIONS, window: float = WINDOW, recall: float = RECALL) -> int:
+    """Largest count of ``m`` windows a pair at the threshold reaches with
+    probability ``recall``."""
+    return _count_and_recall(m, window, recall)[0]
+
+
+def slice_window(m: int = PROJECTIONS, window: float = WINDOW, recall: float = RECALL) -> float:
+    """Standard deviations around a query on the first projection that may miss
+    a pair at the threshold as often as the count leaves of ``1 - recall``."""
+    missed = _count_and_recall(m, window, recall)[1] - recall
+    return max(window, -NormalDist().inv_cdf(missed / 2))
 
 
 def cell_plan(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
@@ -76,15 +90,16 @@ def _links(a: np.ndarray, b: np.ndarray, threshold: float):
     d = a.shape[1]
     lines = np.random.default_rng([SEED, 1 << 20]).standard_normal((d, PROJECTIONS))
     lines /= np.linalg.norm(lines, axis=0)
-    window = WINDOW * math.sqrt(2 - 2 * threshold) / math.sqrt(d)
+    sigma = math.sqrt(2 - 2 * threshold) / math.sqrt(d)
+    window, wide = WINDOW * sigma, slice_window() * sigma
     need = calibrated_count()
     pa, pb = a @ lines, b @ lines
     order_a, order_b = np.argsort(pa[:, 0], kind="stable"), np.argsort(pb[:, 0], kind="stable")
     first = pb[order_b, 0]
     for at in range(0, len(a), QUERIES):
         q = order_a[at:at + QUERIES]
-        lo = np.searchsorted(first, pa[q[0], 0] - window)
-        hi = np.searchsorted(first, pa[q[-1], 0] + window, side="right")
+        lo = np.searchsorted(first, pa[q[0], 0] - wide)
+        hi = np.searchsorted(first, pa[q[-1], 0] + wide, side="right")
         near = order_b[lo:hi]
         count = np.zeros((len(q), len(near)), dtype=np.uint8)
         for k in range(PROJECTIONS):

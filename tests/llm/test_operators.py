@@ -211,6 +211,20 @@ def test_collisions_equal_brute_force(spark, monkeypatch):
     assert collisions.calibrated_count() == 11
 
 
+def test_collisions_find_planted_pairs_of_a_large_cell():
+    rng = np.random.default_rng(11)
+    a = rng.standard_normal((2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal((2000, 64))
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.9301, 0.94, (2000, 1))
+    cell = np.vstack([a, cos * a + np.sqrt(1 - cos ** 2) * side])
+    found = {(x, y) for i, j in collisions._links(cell, cell, collisions.THRESHOLD) for x, y in zip(i.tolist(), j.tolist())}
+    assert sum((i, 2000 + i) in found for i in range(2000)) >= 1996
+    assert 3.29 < collisions.slice_window() < 4  # misses less than 0.1 % by itself
+
+
 def test_mixing_targets_and_near_words(spark, docs):
     rng = np.random.default_rng(9)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 30))), s) for i, s in enumerate(
