@@ -5,7 +5,7 @@ spans that are always kept. Wider candidates (written-out addresses, numbers
 with other separators or without a country code) are voted on by five labelers:
 the regular expression itself, a checksum or range rule, a gazetteer (endings,
 card prefixes, calling codes), the words around, and the characters next to the
-span. Votes are counted per kind and vote pattern over all texts (a table whose
+span (a longer run of digits that failed its check among them). Votes are counted per kind and vote pattern over all texts (a table whose
 size is bounded by the patterns, not by the data); expectation-maximisation over
 that table estimates each labeler's reliability, with base spans fixed as true
 and candidates that fail their own check fixed as false; a logistic classifier
@@ -19,6 +19,7 @@ no rows (and a model that keeps base spans only); extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -102,8 +103,15 @@ def base_matches(text: str):
             yield kind, m.start(), m.end(), valid(kind, m[0])
 
 
-def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int, ...]:
-    """1 for, -1 against, 0 abstains."""
+def _inside(runs: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a run of digits covers the span or an end of it and goes on outside."""
+    near = runs[max(0, bisect_right(runs, (start, 0)) - 2):bisect_right(runs, (end, 0))]
+    return any(a < end and start < b and (a < start or b > end) for a, b in near)
+
+
+def votes(text: str, kind: str, start: int, end: int, base: bool, inside: bool = False) -> tuple[int, ...]:
+    """1 for, -1 against, 0 abstains. ``inside``: the span is cut out of a longer
+    run of digits that failed its check."""
     s = text[start:end]
     d = _digits(s)
     check = 1 if valid(kind, s) else -1
@@ -119,7 +127,7 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
     before = text[max(0, start - NEAR):start].lower()
     context = -1 if any(w in before for w in AGAINST) else (1 if any(w in before for w in CUES[kind]) else 0)
     left, right = text[start - 1:start], text[end:end + 1]
-    edge = -1 if left.isalnum() or right.isalnum() or left in ("-", "#", "/", "$") and left or right in ("/", "%") and right else 1
+    edge = -1 if inside or left.isalnum() or right.isalnum() or left in ("-", "#", "/", "$") and left or right in ("/", "%") and right else 1
     return (1 if base else 0, check, known, context, edge)
 
 
@@ -127,7 +135,15 @@ def candidates(text: str):
     """``(kind, start, end, state, votes)``; state: 1 base span, -1 a base
     pattern's match that fails its check, 0 open."""
     found = [(k, a, b, 1 if ok else -1) for k, a, b, ok in base_matches(text)]
-    taken = sorted((a, b) for _, a, b, _ in found)
+    failed = {(k, a, b) for k, a, b, st in found if st == -1}
+    runs = sorted((a, b) for k, a, b in failed if k in ("ip", "card"))
+    kept: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b, st in found if st == 1):
+        if kept and a < kept[-1][1]:
+            kept[-1][1] = max(b, kept[-1][1])
+        else:
+            kept.append([a, b])
+    starts = [a for a, _ in kept]
     wide = []
     low = text.lower() if "at" in text else ""
     for kind, pattern in WIDE.items():
@@ -135,12 +151,13 @@ def candidates(text: str):
             continue
         for m in pattern.finditer(text):
             wide.append((kind, m.start(), m.end()))
+    out = [(k, a, b, st, votes(text, k, a, b, st == 1)) for k, a, b, st in found]
     for kind, a, b in wide:
-        over = [x for x in found if x[1] < b and a < x[2]]
-        # next to a base span nothing is added; of a failing match only a number that opens it
-        if not any(x[3] == 1 for x in over) and (not over or text[a] == "+"):
-            found.append((kind, a, b, 0))
-    return [(k, a, b, st, votes(text, k, a, b, st == 1)) for k, a, b, st in found]
+        # over a base span nothing is added; a failing match says no only about itself
+        i = bisect_right(starts, b - 1)
+        if not (i and kept[i - 1][1] > a) and (kind, a, b) not in failed:
+            out.append((kind, a, b, 0, votes(text, kind, a, b, False, text[a] != "+" and _inside(runs, a, b))))
+    return out
 
 
 @dataclass

@@ -186,6 +186,26 @@ def test_pii_learns_wider_spans_and_redacts(spark):
     assert rel.shape == (2, pii.VOTES, 3) and np.allclose(rel.sum(axis=2), 1)
 
 
+ADDED = [("phone", "555-123-4567"), ("phone", "555.123.4567"), ("phone", "(212) 555-0199"), ("phone", "0049 301 2345 678"),
+         ("card", "4111.1111.1111.1111"), ("card", "4111/1111/1111/1111"), ("card", "4111_1111_1111_1111"),
+         ("ip", "192[.]168[.]1[.]10"), ("ip", "192(.)168(.)1(.)10"), ("ip", "1[.]2[.]3[.]4"),
+         ("email", "bob [at] mail [dot] example [dot] org")]
+
+
+def test_pii_adds_every_wider_form(spark):
+    texts = [f"call +1 (212) 555-{i:04d} now" for i in range(200)] + [f"host 10.0.{i}.1 up, not 10.0.{i + 256}.1" for i in range(200)]
+    texts += ["paid by 4539148803436467 ok", "paid by 4111 1111 1111 1111 ok", "mail ann@site.com now", "room 12 of 30, part 77"] * 50
+    texts += ["paid by 4111 1111 1111 1112 ok"] * 20  # a failing number; no phone is cut out of it
+    first = len(texts)
+    texts += [f"call {s} now" for _, s in ADDED] + ["on 10.0.0.1-555-123-4567 x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r.doc_id: r for r in pii.find_spans(df, pii.fit(df)).collect()}
+    for i, (kind, s) in enumerate(ADDED):
+        assert f"{kind}:5:{5 + len(s)}" in out[first + i].spans.split(",") and out[first + i].base == "", s
+    assert all(out[i].spans == "" for i in range(first - 20, first))
+    assert out[first + len(ADDED)].spans == out[first + len(ADDED)].base == "ip:3:11"
+
+
 def test_collisions_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(collisions, "CELL", 60)
     monkeypatch.setattr(collisions, "BLOCK", 40)
