@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helpline.operators.outcomes import OPEN_OUTCOME
+
 EPOCH_NTZ = "1970-01-01 00:00:00"
 DEFAULT_GAP_SECONDS = 6 * 3600
 
@@ -83,10 +85,17 @@ def streaming_sessions(events: DataFrame, gap_seconds: int = DEFAULT_GAP_SECONDS
 def outcome_windows(call_outcomes: DataFrame, window: str = "1 hour", ts: str = "started_at",
                     watermark: str | None = None) -> DataFrame:
     """T4: calls per outcome per tumbling window of call start (batch or stream;
-    a stream needs a watermark to write a window and drop its state)."""
+    a stream needs a watermark to write a window and drop its state). Rows with a
+    ``page_no`` are pages of calls: a call has the outcome of its last page with a
+    closing phrase, and its state stays until its window is written."""
     call_outcomes, et, back = _event_time(call_outcomes, ts)
     src = call_outcomes.withWatermark(et, watermark) if (watermark and call_outcomes.isStreaming) else call_outcomes
-    g = src.groupBy(F.window(F.col(et), window).alias("w"), "outcome").agg(F.count(F.lit(1)).alias("n_calls"))
+    src = src.withColumn("w", F.window(F.col(et), window))
+    if "page_no" in src.columns:
+        closed = F.when(F.col("outcome") != OPEN_OUTCOME, F.col("page_no"))
+        src = src.groupBy("w", "call_id").agg(F.max_by("outcome", closed).alias("outcome")).withColumn(
+            "outcome", F.coalesce("outcome", F.lit(OPEN_OUTCOME)))
+    g = src.groupBy("w", "outcome").agg(F.count(F.lit(1)).alias("n_calls"))
     start, end = F.col("w.start"), F.col("w.end")
     if back:
         start, end = instant_to_ntz(start), instant_to_ntz(end)

@@ -55,11 +55,12 @@ def q_t3_stream(spark, d):
 def q_t4(spark, d):
     """T4 as a stream: transcripts arrive as files, the stream takes the outcome
     of each (C1) and counts them per window in append mode: a window is written
-    once, when the watermark (ten minutes) has passed its end."""
+    once, when the watermark (ten minutes) has passed its end. A file holds calls of
+    all times, so the files are one batch, however many."""
     t = build_transcripts(fx.turns_with_closings(spark, d)).join(fx.calls(spark, d), "call_id")
     base = scratch_path(spark, "stream-outcomes")
     write_transcripts(t.withColumn("file_name", transcript_file_name("call_id", "started_at")), f"{base}/in")
-    src = ST.stream_transcripts(spark, f"{base}/in", multi_line=False)
+    src = ST.stream_transcripts(spark, f"{base}/in", max_files_per_trigger=None, multi_line=False)
     ST.run_to_files(ST.outcomes(src, window="15 minutes", watermark="10 minutes"), f"{base}/out", f"{base}/ck")
     return spark.read.parquet(f"{base}/out")
 

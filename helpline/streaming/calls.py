@@ -15,16 +15,20 @@ from helpline.schemas import TRANSCRIPT, TRANSCRIPT_LINE
 from helpline.sources.files import TRANSCRIPT_NAME
 
 
-def stream_transcripts(spark: SparkSession, path: str, max_files_per_trigger: int = 1000,
+def stream_transcripts(spark: SparkSession, path: str, max_files_per_trigger: int | None = 1000,
                        multi_line: bool = True) -> DataFrame:
     """New transcript files -> one row per transcript with the formatted
     text and its outcome (row-local higher-order functions; no state, no shuffle;
     a call of several pages has an outcome for each). Layouts as
-    in ``scan_transcripts``: one transcript per file, or the sink's JSON lines."""
+    in ``scan_transcripts``: one transcript per file, or the sink's JSON lines.
+    ``max_files_per_trigger=None`` takes all files that are there in one batch: with
+    a watermark behind it, needed where the files do not come in order of time."""
     schema = TRANSCRIPT if multi_line else TRANSCRIPT_LINE
     df = (spark.readStream.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").option("maxFilesPerTrigger", max_files_per_trigger)
-          .json(path))
+          .option("columnNameOfCorruptRecord", "_corrupt_record"))
+    if max_files_per_trigger is not None:
+        df = df.option("maxFilesPerTrigger", max_files_per_trigger)
+    df = df.json(path)
     name = F.col("_metadata.file_name") if multi_line else F.col("file_name")
     stamp = F.regexp_extract(name, TRANSCRIPT_NAME, 1)
     cid = F.when(F.regexp_extract(name, TRANSCRIPT_NAME, 2) != "", F.regexp_extract(name, TRANSCRIPT_NAME, 2).cast("bigint"))
@@ -55,7 +59,8 @@ def sessions(events: DataFrame, gap_seconds: int, watermark: str = "1 day") -> D
 
 
 def outcomes(call_outcomes: DataFrame, window: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
-    """T4: outcome counts per tumbling window of call start. In append mode a
+    """T4: outcome counts per tumbling window of call start; the pages of a call
+    (rows with ``page_no``) count as one call. In append mode a
     window is written once, when the watermark has passed its end; later rows of
     it are dropped and its state goes."""
     return outcome_windows(call_outcomes, window, watermark=watermark)

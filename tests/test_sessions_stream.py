@@ -146,3 +146,27 @@ def test_outcome_of_stored_items_is_the_rule_over_turns(spark):
     got = {r["call_id"]: r["o"] for r in C.build_transcripts(t).select("call_id", O.outcome_of_items(F.col("items")).alias("o")).collect()}
     assert got == {r["call_id"]: r["outcome"] for r in O.call_outcome(t).collect()}
     assert got == {1: "verified_resolved", 2: "open", 3: "open", 4: "open"}
+
+
+def test_stream_outcomes_lose_no_call_over_many_files(spark, monkeypatch):
+    from helpline.operators import outcomes as O
+    from helpline.plans import q_stream
+    from helpline.sinks import writers
+    from helpline.sources import fixtures as fx
+    monkeypatch.setattr(writers, "MAX_DOCS_PER_FILE", 20)  # many files, each over all times
+    monkeypatch.setattr(ST.stream_transcripts, "__defaults__", (1, True))
+    monkeypatch.setattr(q_stream, "build_transcripts", lambda t, f=q_stream.build_transcripts: f(t, 2))  # calls of several pages
+    sf = "/root/testdata/sf0.01"
+    c = fx.calls(spark, sf)
+    end = c.agg(F.max("started_at")).first()[0] - dt.timedelta(minutes=10)
+    one = O.call_outcome(fx.turns_with_closings(spark, sf)).join(c, "call_id")
+    want = sorted(tuple(r) for r in S.outcome_windows(one, "15 minutes").collect() if r["window_end"] <= end)
+    assert sorted(tuple(r) for r in q_stream.q_t4(spark, sf).collect()) == want and len(want) > 4
+
+
+def test_pages_of_a_call_count_once(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, 0, "ai_resolved"), (1, 1, "verified_resolved"), (1, 2, "open"), (2, 0, "open"), (2, 1, "open")]
+    df = spark.createDataFrame([(i, p, t0, o) for i, p, o in rows], "call_id long, page_no long, started_at timestamp_ntz, outcome string")
+    got = {r["outcome"]: r["n_calls"] for r in ST.outcomes(df).collect()}
+    assert got == {"verified_resolved": 1, "open": 1}
