@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from helpline.llm import bagminhash, bpe, chat, collisions, fingerprint, lengths, lm, mixing, pii, toxicity
+from helpline.llm import (
+    alignment, bagminhash, bpe, chat, collisions, fingerprint, lengths, lm, mixing, pii, repeats, spelling, toxicity,
+)
 from helpline.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -126,7 +128,47 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
                     fingerprint.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                    F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) AS k, doc_id, encode(coalesce(text, '')) AS x
+  FROM documents),
+w AS (SELECT k, p, md5_number_lower(array_slice(x, p + 1, p + 100)) AS m
+  FROM (SELECT k, x, unnest(range(0, octet_length(x) - 99)) AS p FROM d)),
+r AS (SELECT k, p FROM w QUALIFY row_number() OVER (PARTITION BY m ORDER BY k, p) > 1),
+e AS (SELECT k, p, CASE WHEN p <= lag(p) OVER (PARTITION BY k ORDER BY p) + 100 THEN 0 ELSE 1 END AS opens FROM r),
+g AS (SELECT k, p, sum(opens) OVER (PARTITION BY k ORDER BY p) AS span FROM e),
+s AS (SELECT k, min(p) AS lo, max(p) + 100 AS hi FROM g GROUP BY k, span),
+c AS (SELECT k, lo, hi, coalesce(lag(hi) OVER (PARTITION BY k ORDER BY lo), 0) AS since FROM s),
+o AS (SELECT k, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last,
+    string_agg(CASE WHEN lo > since THEN hex(array_slice(x, since + 1, lo)) ELSE '' END, '' ORDER BY lo) AS kept
+  FROM c JOIN d USING (k) GROUP BY k),
+z AS (SELECT *, CASE WHEN coalesce(last, 0) < octet_length(x) THEN hex(array_slice(x, coalesce(last, 0) + 1, octet_length(x))) ELSE '' END AS rest
+  FROM d LEFT JOIN o USING (k))
+SELECT doc_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || rest)) AS kept_sha256
+FROM z
+"""
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = alignment.Aligner(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                          public_tokenizers.path("piece_bpe_32k.model"))
+    return a.align(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 QUERIES = {"op1_lm": op1_lm, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_token_counts": op5_token_counts, "op6_pii": op6_pii,
            "op7_collisions": op7_collisions, "op8_mixing": op8_mixing, "op9_bagminhash": op9_bagminhash,
-           "op10_fingerprint": op10_fingerprint}
-ORACLE_SQL = {"op2_chat": OP2_SQL, "op8_mixing": OP8_SQL}
+           "op10_fingerprint": op10_fingerprint, "op11_spelling": op11_spelling, "op12_repeats": op12_repeats,
+           "op13_alignment": op13_alignment}
+ORACLE_SQL = {"op2_chat": OP2_SQL, "op8_mixing": OP8_SQL, "op12_repeats": OP12_SQL}
