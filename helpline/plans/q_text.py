@@ -11,6 +11,7 @@ from helpline.operators import chunk as CH
 from helpline.operators import kb
 from helpline.operators import lexical as L
 from helpline.operators import match as M
+from helpline.operators import names as N
 from helpline.operators.embed import tfidf_embedder, with_norm
 from helpline.plans.catalog import register
 from helpline.plans.q_kb import P5_SQL
@@ -119,12 +120,36 @@ def q_x6(spark, d):
     return M.answer(q, _lexical(spark, d), _docs(spark, d))
 
 
-@register("fuzzy_entity_match", W(f"""SELECT query_id, spoken, person_id, matched_name, CAST(distance AS INTEGER) AS distance FROM (
+@register("fuzzy_entity_match", W(f"""SELECT query_id, spoken, person_id, matched_name, CAST(heard AS INTEGER) AS heard,
+      CAST(distance AS INTEGER) AS distance FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY heard DESC, distance, silent, person_id) AS rn FROM (
+      SELECT query_id, any_value(spoken) AS spoken, person_id, any_value(full_name) AS matched_name,
+        least(count(DISTINCT word), count(DISTINCT said)) AS heard, sum(d) FILTER (WHERE nearest = 1) AS distance,
+        any_value(size) - count(DISTINCT word) AS silent FROM (
+        SELECT q.query_id, q.spoken, q.said, n.person_id, n.full_name, n.word, n.size, v.d,
+          row_number() OVER (PARTITION BY q.query_id, n.person_id, n.word ORDER BY v.d, q.said) AS nearest
+        FROM (SELECT DISTINCT query_id, spoken, unnest(regexp_extract_all(lower(spoken), '[a-z]+')) AS said FROM caller_texts) q
+        JOIN (SELECT s.said, r.word, levenshtein(s.said, r.word) AS d
+          FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(spoken), '[a-z]+')) AS said FROM caller_texts) s
+          JOIN (SELECT DISTINCT unnest(string_split(full_name, ' ')) AS word FROM people) r
+            ON abs(length(s.said) - length(r.word)) <= 2 AND levenshtein(s.said, r.word) <=
+              CASE WHEN length(r.word) < {N.ONE_EDIT} THEN 0 WHEN length(r.word) < {N.TWO_EDITS} THEN 1 ELSE 2 END) v USING (said)
+        JOIN (SELECT person_id, full_name, len(words) AS size, unnest(words) AS word FROM (
+            SELECT words, min(person_id) AS person_id, arg_min(full_name, person_id) AS full_name FROM (
+              SELECT person_id, full_name, list_sort(list_distinct(string_split(full_name, ' '))) AS words
+              FROM people WHERE full_name <> '') a GROUP BY words) b) n ON n.word = v.word) c
+      GROUP BY query_id, person_id) e) f WHERE rn = 1""", "people", "caller_texts"))
+def q_j11(spark, d):
+    return N.find_names(fx.caller_texts(spark, d), fx.people(spark, d))
+
+
+@register("whole_name_match", W(f"""SELECT query_id, spoken, person_id, matched_name, CAST(distance AS INTEGER) AS distance FROM (
     SELECT q.query_id, q.spoken, r.person_id, r.full_name AS matched_name, levenshtein(q.spoken, r.full_name) AS distance,
       row_number() OVER (PARTITION BY q.query_id ORDER BY levenshtein(q.spoken, r.full_name), r.person_id) AS rn
     FROM spoken_names q JOIN (SELECT full_name, min(person_id) AS person_id FROM people GROUP BY 1) r
       ON levenshtein(q.spoken, r.full_name) <= {M.MAX_DISTANCE}) x WHERE rn = 1""", "people", "spoken_names"))
-def q_j11(spark, d):
+def q_j11_whole(spark, d):
+    """Whole names within two edits of what was said."""
     return M.fuzzy_entity_match(fx.spoken_names(spark, d), fx.people(spark, d))
 
 

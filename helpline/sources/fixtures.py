@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helpline.functions.columns import fold_accents, fold_accents_sql
 from helpline.sources.tables import read_table
 
 # The canned evaluation prompt and the closing phrases appended to
@@ -156,9 +157,9 @@ def eval_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def people(spark: SparkSession, d: str) -> DataFrame:
-    """Registered names: English documents, first two a-z words, lower case."""
-    doc = read_table(spark, d, "documents", ["doc_id", "text", "lang"]).filter(F.col("lang") == "en")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    """Registered names: first two words of every document, accents folded, lower case."""
+    doc = read_table(spark, d, "documents", ["doc_id", "text"])
+    words = F.regexp_extract_all(F.lower(fold_accents("text")), F.lit("[a-z]+"), F.lit(0))
     return (doc.select(F.col("doc_id").alias("person_id"),
                        F.array_join(F.slice(words, 1, 2), " ").alias("full_name")))
 
@@ -170,6 +171,19 @@ def spoken_names(spark: SparkSession, d: str) -> DataFrame:
                     F.regexp_replace("full_name", "^([^n]*)n", "$1m").alias("spoken"))
 
 
+def caller_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What the caller of every registered name says: the last word alone, the words
+    swapped, both inside a sentence, the second letter left out, or a letter changed."""
+    p = people(spark, d).select(F.col("person_id").alias("query_id"), "full_name",
+                                F.substring_index("full_name", " ", 1).alias("a"), F.substring_index("full_name", " ", -1).alias("b"))
+    name = F.col("full_name")
+    text = (F.when(F.col("query_id") % 5 == 0, F.col("b")).when(F.col("query_id") % 5 == 1, F.concat_ws(" ", "b", "a"))
+            .when(F.col("query_id") % 5 == 2, F.concat(F.lit("Soy "), name, F.lit(", de la empresa.")))
+            .when(F.col("query_id") % 5 == 3, F.concat(F.substring(name, 1, 1), F.substring(name, 3, 1 << 20)))
+            .otherwise(F.regexp_replace(name, "^([^n]*)n", "$1m")))
+    return p.select("query_id", text.alias("spoken"))
+
+
 # ---------------------------------------------------------------- DuckDB CTEs
 SQL = {
     "companies": """SELECT s_suppkey AS Id, 'EM' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS Codigo,
@@ -216,12 +230,15 @@ SQL = {
         UNION ALL SELECT conv_id + {NOT_FOUND_OFFSET}, '{EVAL_PROMPT}' FROM (SELECT DISTINCT conv_id FROM conversations) c
         UNION ALL SELECT conv_id + {NOT_FOUND_OFFSET}, '{EVAL_PROMPT}' FROM (SELECT DISTINCT conv_id FROM conversations) c
         WHERE conv_id % 5 = 0""",
-    "people": """SELECT doc_id AS person_id,
-        array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:2], ' ') AS full_name
-        FROM documents WHERE lang = 'en'""",
-    "spoken_names": """SELECT doc_id AS query_id,
-        regexp_replace(array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:2], ' '), '^([^n]*)n', '\\1m') AS spoken
-        FROM documents WHERE lang = 'en'""",
+    "people": f"""SELECT doc_id AS person_id,
+        array_to_string(regexp_extract_all(lower({fold_accents_sql('text')}), '[a-z]+')[1:2], ' ') AS full_name
+        FROM documents""",
+    "spoken_names": "SELECT person_id AS query_id, regexp_replace(full_name, '^([^n]*)n', '\\1m') AS spoken FROM people",
+    "caller_texts": """SELECT person_id AS query_id, CASE person_id % 5
+        WHEN 0 THEN split_part(full_name, ' ', -1) WHEN 1 THEN split_part(full_name, ' ', -1) || ' ' || split_part(full_name, ' ', 1)
+        WHEN 2 THEN 'Soy ' || full_name || ', de la empresa.'
+        WHEN 3 THEN substr(full_name, 1, 1) || substr(full_name, 3) ELSE regexp_replace(full_name, '^([^n]*)n', '\\1m') END AS spoken
+        FROM people""",
 }
 
 
