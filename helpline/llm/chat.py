@@ -5,7 +5,9 @@ A record is one JSON text in any of several layouts. Its nested field paths
 to a fingerprint; the fingerprint selects a declared mapping that turns the
 record into canonical turns ``array<struct<role, text>>``. A layout is declared
 by one sample record per shape it may take, so its fingerprints come from the
-same function as the data's.
+same function as the data's. The paths are read from a skeleton of the record: every
+string value is cut to one letter and equal items that follow each other in a list are
+kept once, so the texts never pass through a variant (whose size is bounded).
 
 The template writes every turn as ``<turn>role<text>text</turn>`` and a newline.
 Inside roles and texts a backslash becomes two and ``<`` becomes ``\\l``, so no
@@ -18,7 +20,9 @@ role, both kept; a record whose fingerprint no layout declares (or that is not
 JSON) gives null turns and is reported by its fingerprint, never dropped; rows
 with one conversation and turn number twice are both kept, ordered by role and
 text; a null turn number comes first; rows of a null conversation form one
-conversation; an empty table gives no rows; extra columns are ignored.
+conversation; an empty table gives no rows; extra columns are ignored. A record and
+what is made of it are one row each, so a conversation is bounded by a row's size (2 GB
+in bytes, some ten times its text in memory); tested with one text of 70 MB.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+WHOLE = f"map('maxStringLen', '{(1 << 31) - 1}')"  # the parser's own bound on a string is 20 million
 TURNS = "array<struct<role:string,text:string>>"
 MARK_TURN, MARK_TEXT, MARK_END = "<turn>", "<text>", "</turn>\n"
 
@@ -58,9 +63,20 @@ LAYOUTS = (
 )
 
 
+# A JSON string (loops without backtracking, so long texts take linear time and no stack).
+STRING = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+"'
+
+
+def skeleton(record: Column) -> Column:
+    """The record with ``"x"`` for every string that is no key, and flat objects that
+    equal the one before them in a list left out."""
+    short = F.regexp_replace(record, rf'\G((?:[^"]++|{STRING}\s*+:)*+){STRING}', '$1"x"')
+    return F.regexp_replace(short, r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++", "$1")
+
+
 def fingerprint(record: Column) -> Column:
     """Hash of the nested field paths of a JSON text (null if it is not JSON)."""
-    return F.md5(F.schema_of_variant(F.try_parse_json(record)))
+    return F.md5(F.schema_of_variant(F.try_parse_json(skeleton(record))))
 
 
 def canonical_turns(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
@@ -70,7 +86,7 @@ def canonical_turns(df: DataFrame, record: str = "record", layouts: tuple[Layout
     turns = F.lit(None).cast(TURNS)
     for i, x in enumerate(layouts):
         own = [prints[f"p{i}_{j}"] for j in range(len(x.samples))]
-        parsed = F.expr(f"transform(array(from_json(`{record}`, '{x.schema}')), r -> {x.turns})")[0]
+        parsed = F.expr(f"transform(array(from_json(`{record}`, '{x.schema}', {WHOLE})), r -> {x.turns})")[0]
         turns = F.when(F.col("layout_hash").isin(own), parsed.cast(TURNS)).otherwise(turns)
     return df.withColumn("layout_hash", fingerprint(F.col(record))).withColumn("turns", turns)
 
@@ -102,9 +118,14 @@ def template(turns: Column) -> Column:
     return F.struct(text.alias("formatted"), F.aggregate(blocks, zero, step)["mask"].alias("loss_mask"))
 
 
-def format_records(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds ``layout_hash``, ``turns``, ``formatted`` and ``loss_mask``."""
-    x = canonical_turns(df, record, layouts).withColumn("_t", template(F.col("turns")))
+def format_records(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS, strict: bool = False) -> DataFrame:
+    """Adds ``layout_hash``, ``turns``, ``formatted`` and ``loss_mask``. ``strict``: a
+    record of an undeclared layout fails the job."""
+    x = canonical_turns(df, record, layouts)
+    if strict:
+        x = x.withColumn("turns", F.when(F.col("turns").isNotNull(), F.col("turns")).otherwise(
+            F.raise_error(F.concat(F.lit("undeclared layout: "), F.coalesce("layout_hash", F.lit("not JSON")))).cast(TURNS)))
+    x = x.withColumn("_t", template(F.col("turns")))
     return x.withColumn("formatted", F.col("_t.formatted")).withColumn("loss_mask", F.col("_t.loss_mask")).drop("_t")
 
 

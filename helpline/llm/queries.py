@@ -27,7 +27,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
-    x = chat.format_records(chat.records_of(rows.unionByName(extra)))
+    x = chat.format_records(chat.records_of(rows.unionByName(extra)), strict=True)
     back = chat.read_back(F.col("formatted"))
     loss = chat.under_mask(F.col("formatted"), F.col("loss_mask"))
     told = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
