@@ -2,7 +2,9 @@
 
 Kernel of two words: the gap-weighted number of common subsequences of three
 characters that span at most five (every position a subsequence skips costs a
-factor), over the lengths' norms. An insult with a letter inserted or skipped
+factor), over the words' norms: the root of the summed squares of a word's occurrence
+weights (its own kernel value if no subsequence occurs twice, less than that if one
+does; repeated letters thus weigh more). An insult with a letter inserted or skipped
 keeps most of its subsequences. Landmarks are words of the training sentences;
 the Nyström map turns the kernel values to the landmarks into coordinates, in
 which a linear machine (squared hinge) is trained on labelled sentences as bags
@@ -15,14 +17,16 @@ table: scoring a word is a sum of table look-ups, the same value as the kernel
 expansion. A document scores as its worst word; a logistic curve fitted to
 document scores gives the result between 0 and 1.
 
-The fit reads a bounded sample of labelled documents (``TRAIN_DOCS`` per class,
-``TRAIN_SENTENCES`` of each); scores cover every text in full.
+The fit reads a bounded sample of labelled documents (``TRAIN_DOCS`` ids per class, one
+text of each, ``TRAIN_SENTENCES`` of that); scores cover every text in full. Characters
+beyond the basic plane are skipped.
 
 Edge cases: a null text is empty; a text without words scores as the smallest
 possible; repeated rows and null ids give one row each; a document with several
 labels counts as toxic if one says so, null labels are ignored; without both
 classes in the labels every score is 0; an empty table gives no rows; extra
-columns are ignored.
+columns are ignored; words of equal lift or score go by code points; a text of any
+length is scored as one bag of words in its row, long words in windows.
 """
 
 from __future__ import annotations
@@ -155,6 +159,10 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
 
+    def parts(self) -> tuple:
+        """Plain array and numbers to broadcast: a worker need not know this class."""
+        return self.table, self.bias, self.slope, self.offset
+
     def margins(self, words: list[str]) -> np.ndarray:
         return self.bias + kernel_sum(words, self.table)
 
@@ -293,16 +301,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
                 rows += [(y, x) for x in s]
             yield pd.DataFrame(rows, columns=["toxic", "sentence"])
     sample = F.broadcast(training_labels(labels))  # about 2 * TRAIN_DOCS rows of two numbers
-    known = id_and_text(docs).join(sample, F.col("doc_id") == F.col("id")).select("toxic", "text")
-    rows = [(r["toxic"], r["sentence"]) for r in known.mapInPandas(take, "toxic int, sentence string").collect()]
+    # one text of an id, so that the sample is bounded by ids however often one repeats
+    known = id_and_text(docs).join(sample, F.col("doc_id") == F.col("id")).groupBy("id", "toxic").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("toxic", "text")
+    rows = [(r["toxic"], r["sentence"]) for r in known.mapInPandas(take, "toxic int, sentence string").distinct().collect()]
     if len({y for y, _ in rows}) < 2:
         return None
     model = train(sorted(rows))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def score(batches):
         for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "margin": sent.value.documents(b["text"])})
+            yield pd.DataFrame({"toxic": b["toxic"], "margin": Model(*sent.value).documents(b["text"])})
     pairs = known.mapInPandas(score, "toxic int, margin double").toPandas()
     y, x = pairs["toxic"].to_numpy(float), np.vstack([pairs["margin"], np.ones(len(pairs))]).T
     w = np.array([1.0, 0.0])
@@ -321,13 +331,14 @@ def score_texts(docs: DataFrame, model: Model | None, batch: int = 500) -> DataF
     docs = id_and_text(docs).select("doc_id", (fold() == 0).alias("held_out"), "text")
     if model is None:
         return docs.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches):
+        model = Model(*sent.value)
         for b in batches:
             for at in range(0, len(b), batch):
                 part = b.iloc[at:at + batch]
-                p = sent.value.probability(sent.value.documents(part["text"]))
+                p = model.probability(model.documents(part["text"]))
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "held_out": part["held_out"].to_numpy(),
                                     "score": p, "predicted": (p >= 0.5).astype("int32")})
     return docs.mapInPandas(run, "doc_id bigint, held_out boolean, score double, predicted int")
@@ -337,11 +348,12 @@ def keep_clean(docs: DataFrame, text: str, model: Model | None) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below 0.5."""
     if model is None:
         return docs
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     @F.pandas_udf("boolean")
     def toxic(texts: pd.Series) -> pd.Series:
+        model = Model(*sent.value)
         parts = [texts.iloc[i:i + 500].fillna("") for i in range(0, len(texts), 500)]
-        return pd.Series(np.concatenate([sent.value.probability(sent.value.documents(x)) >= 0.5 for x in parts])
+        return pd.Series(np.concatenate([model.probability(model.documents(x)) >= 0.5 for x in parts])
                          if parts else np.zeros(0, bool))
     return docs.where(~toxic(F.col(text)))
