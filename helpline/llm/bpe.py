@@ -29,6 +29,7 @@ from helpline.session import materialize
 
 CHUNK = 32_768      # code points a chunk starts after the one before
 OVERLAP = 1_024     # code points two neighbouring chunks share
+BLANKS = 10_000     # white space in a row from which a text is split here
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,12 +44,18 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
         import tiktoken
-        self.find = regex.compile(pattern)
+        self.find, self.blanks = regex.compile(pattern), regex.compile(rf"\s{{{BLANKS},}}+")
         self.piece = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        """Ids of a piece that begins and ends at pre-token boundaries."""
-        return np.array(self.piece.encode_ordinary(text), dtype="<u4").tobytes()
+        """Ids of a piece that begins and ends at pre-token boundaries. The encoder's own
+        split recurses over white space and fails at about a million; texts with long runs
+        of it are split here and encoded match by match."""
+        if len(text) > BLANKS and self.blanks.search(text):
+            ids = [i for m in self.find.finditer(text) for i in self.piece._encode_single_piece(m[0])]
+        else:
+            ids = self.piece.encode_ordinary(text)
+        return np.array(ids, dtype="<u4").tobytes()
 
     def ends(self, text: str) -> list[int]:
         return [m.end() for m in self.find.finditer(text)]
