@@ -3,21 +3,25 @@
 Four kinds of spans: e-mail, IP address, payment card, phone. Base patterns give
 spans that are always kept. Wider candidates (written-out addresses, numbers
 with other separators or without a country code) are voted on by five labelers:
-the regular expression itself, a checksum or range rule, a gazetteer (endings,
-card prefixes, calling codes), the words around, and the characters next to the
-span (a longer run of digits that failed its check among them). Votes are counted per kind and vote pattern over all texts (a table whose
-size is bounded by the patterns, not by the data); expectation-maximisation over
+the regular expression itself, a checksum or range rule, a gazetteer, the words around, and the characters next to the
+span (a longer run of digits that failed its check among them). The gazetteers are the
+country calling codes, the networks without hosts, the generic and two-letter domain
+endings and the card issuers' prefixes. Votes are counted per kind and vote pattern over
+all texts (a table whose size is bounded by the patterns, not by the data); expectation-maximisation over
 that table estimates each labeler's reliability, with base spans fixed as true
 and candidates that fail their own check fixed as false; a logistic classifier
 fitted to the posteriors decides which candidates become spans.
 
 Offsets are code points, end exclusive. Edge cases: null and empty texts have no
 spans; repeated rows and null ids give one output row each; an empty table gives
-no rows (and a model that keeps base spans only); extra columns are ignored.
+no rows (and a model that keeps base spans only); extra columns are ignored; equal
+candidates of one kind count each. Every pattern reads a text of any length, runs of
+digits or letters included, in linear time.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
@@ -33,20 +37,31 @@ from helpline.llm.common import id_and_text
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # its parts by fours are the matches of the IP pattern
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Wider candidates.
-AT, DOT = r"(?:\[at\]|\(at\)|\{at\}| at )", r"(?:\[dot\]|\(dot\)|\{dot\}| dot )"
+AT, DOT = re.compile(r" ?(?:\[at\]|\(at\)|\{at\}| at )", re.I), r"(?:\[dot\]|\(dot\)|\{dot\}| dot )"
+WRITTEN = re.compile(rf" ?[A-Z0-9-]++(?: ?{DOT} ?[A-Z0-9-]++)+", re.I)
 WIDE = {
-    "email": re.compile(rf"[A-Za-z0-9._%+-]+ ?{AT} ?[A-Za-z0-9-]+(?: ?{DOT} ?[A-Za-z0-9-]+)+", re.I),
     "ip": re.compile(r"[0-9]{1,3}(?:(?:\[\.\]|\(\.\))[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9]{4}(?:[./_][0-9]{4}){3}"),
     "phone": re.compile(r"(?:(?:\+|00)[1-9][0-9]{0,2}[ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}"),
 }
 # Gazetteers and cue words (fixed values).
-ENDINGS = frozenset("com org net edu gov io info biz de fr es it uk eu ch at nl be us co".split())
+# Generic top-level domains; every ending of two letters counts as a country's.
+ENDINGS = frozenset("com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel cat asia tel post "
+                    "app dev cloud online shop site store tech xyz email blog news".split())
 CARD_PREFIXES = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "36", "38", "2")
+# Country calling codes, ranges inclusive.
+CALLING_CODES = frozenset(str(c) for part in (
+    "1 7 20 27 30-34 36 39-41 43-49 51-58 60-66 81-82 84 86 90-95 98 211-213 216 218 220-258 260-269 290-291 297-299 "
+    "350-359 370-378 380-383 385-387 389 420-421 423 500-509 590-599 670 672-683 685-692 800 808 850 852-853 855-856 "
+    "870 878 880-883 886 888 960-968 970-977 979 992-996 998").split()
+    for c in range(int(part.split("-")[0]), int(part.split("-")[-1]) + 1))
+# Networks that hold no single host's address: this network, documentation, multicast, reserved.
+NO_HOST = tuple(map(ipaddress.ip_network, (
+    "0.0.0.0/8", "192.0.2.0/24", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")))
 CUES = {
     "email": ("mail", "contact", "write", "reach", "address"),
     "ip": ("ip", "server", "host", "addr", "login"),
@@ -98,17 +113,44 @@ def base_matches(text: str):
             last = m.end()
             yield "email", start, last, True
         at = text.find("@", max(at + 1, last))
-    for kind, pattern in (("ip", IP), ("card", CARD), ("phone", PHONE)):
+    for m in DOTTED.finditer(text):
+        if m[0].count(".") >= 3:
+            cut = [-1, *(i for i, c in enumerate(m[0]) if c == "."), len(m[0])]
+            for i in range(0, len(cut) - 4, 4):
+                a, b = m.start() + cut[i] + 1, m.start() + cut[i + 4]
+                yield "ip", a, b, valid("ip", text[a:b])
+    for kind, pattern in (("card", CARD), ("phone", PHONE)):
         for m in pattern.finditer(text):
             yield kind, m.start(), m.end(), valid(kind, m[0])
 
 
+def written_out(text: str):
+    """Spans of addresses with ``at`` and ``dot`` in words or brackets, leftmost and
+    non-overlapping: from each ``at`` the name is read to the left."""
+    last, m = 0, AT.search(text)
+    while m:
+        start = m.start()
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
+        right = WRITTEN.match(text, m.end()) if start < m.start() else None
+        if right:
+            last = right.end()
+            yield start, last
+        m = AT.search(text, max(m.start() + 1, last))
+
+
 def _inside(runs: list[tuple[int, int]], start: int, end: int) -> bool:
     """Whether a run of digits covers the span or an end of it and goes on outside."""
     near = runs[max(0, bisect_right(runs, (start, 0)) - 2):bisect_right(runs, (end, 0))]
     return any(a < end and start < b and (a < start or b > end) for a, b in near)
 
 
+def hosts(s: str) -> bool:
+    """Whether an address of four parts can be a single host's."""
+    address = ipaddress.ip_address(bytes(int(p.lstrip("0") or "0") for p in re.findall("[0-9]+", s)))
+    return not any(address in net for net in NO_HOST)
+
+
 def votes(text: str, kind: str, start: int, end: int, base: bool, inside: bool = False) -> tuple[int, ...]:
     """1 for, -1 against, 0 abstains. ``inside``: the span is cut out of a longer
     run of digits that failed its check."""
@@ -117,13 +159,17 @@ def votes(text: str, kind: str, start: int, end: int, base: bool, inside: bool =
     check = 1 if valid(kind, s) else -1
     if kind == "email":
         check = 0
-        known = 1 if re.split(r"[^a-z]+", s.lower().rstrip(")]}"))[-1] in ENDINGS else -1
+        ending = re.split(r"[^a-z]+", s.lower().rstrip(")]}"))[-1]
+        known = 1 if len(ending) == 2 or ending in ENDINGS else -1
     elif kind == "card":
         known = 1 if d.startswith(CARD_PREFIXES) else -1
     elif kind == "ip":
-        known = -1 if d.startswith("0") else 1
+        known = 1 if check == 1 and hosts(s) else -1
+    elif s.startswith(("+", "00")):
+        code = d[2:] if s.startswith("00") else d
+        known = 1 if any(code[:n] in CALLING_CODES for n in (1, 2, 3)) else -1
     else:
-        known = 1 if s.startswith(("+", "00")) else (0 if 10 <= len(d) <= 12 else -1)
+        known = 0 if 10 <= len(d) <= 12 else -1
     before = text[max(0, start - NEAR):start].lower()
     context = -1 if any(w in before for w in AGAINST) else (1 if any(w in before for w in CUES[kind]) else 0)
     left, right = text[start - 1:start], text[end:end + 1]
@@ -145,12 +191,9 @@ def candidates(text: str):
             kept.append([a, b])
     starts = [a for a, _ in kept]
     wide = []
-    low = text.lower() if "at" in text else ""
+    wide += [("email", a, b) for a, b in written_out(text)]
     for kind, pattern in WIDE.items():
-        if kind == "email" and not ("at]" in low or "at)" in low or "at}" in low or " at " in low and "dot" in low):
-            continue
-        for m in pattern.finditer(text):
-            wide.append((kind, m.start(), m.end()))
+        wide += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
     out = [(k, a, b, st, votes(text, k, a, b, st == 1)) for k, a, b, st in found]
     for kind, a, b in wide:
         # over a base span nothing is added; a failing match says no only about itself
