@@ -15,7 +15,8 @@ only that one bucket per source is sorted.
 
 Edge cases: a null text has size 0; null sources are one source, ordered last;
 a source of size 0 has target 0; repeated rows are separate documents (equal
-rows are interchangeable); an empty table gives no rows; extra columns ignored.
+rows are interchangeable); an empty table gives no rows; extra columns ignored; a text
+of any length is counted in its row.
 """
 
 from __future__ import annotations
@@ -78,10 +79,12 @@ def copies(rows: DataFrame, sizes: DataFrame, weights: tuple[int, ...], budget:
                                                                                   .alias("begin"))).alias("_cut"))
     plan = materialize(plan, "mix-plan")
     x = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_bucket", F.substring("_key", 1, BUCKET_HEX))
-    sure = x.where("_bucket <> _cut.bucket").withColumn("_extra", (F.col("_bucket") < F.col("_cut.bucket")).cast("bigint"))
+    # without a rest nothing is taken once more, not even what has no words
+    some = F.col("_rest") > 0
+    sure = x.where("_bucket <> _cut.bucket").withColumn("_extra", (some & (F.col("_bucket") < F.col("_cut.bucket"))).cast("bigint"))
     upto = F.sum("_size").over(Window.partitionBy("_s").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, 0))
     cut = x.where("_bucket = _cut.bucket").withColumn(  # taken if the middle of the document lies before the cut
-        "_extra", (F.col("_cut.begin") + upto - F.col("_size") / 2 <= F.col("_rest")).cast("bigint"))
+        "_extra", (some & (F.col("_cut.begin") + upto - F.col("_size") / 2 <= F.col("_rest"))).cast("bigint"))
     return sure.unionByName(cut).withColumn("_copies", F.col("_whole") + F.col("_extra")).drop(
         "_s", "_whole", "_rest", "_cut", "_bucket", "_extra")
 
