@@ -41,6 +41,7 @@ from helpline.session import materialize
 BLOCK = 1_000_000   # tokens per block
 BUCKET = 1_000_000  # keys per hash bucket, about
 END = b"\n"         # no word holds a line feed
+TOTAL = "<u8"       # counts over all blocks
 
 BLOCK_SCHEMA = ("block bigint, row array<bigint>, doc_id array<bigint>, held array<boolean>, size array<int>, "
                 "lead array<boolean>, codes binary, keys binary, n_tokens bigint")
@@ -48,17 +49,18 @@ ASK_SCHEMA = "bucket bigint, block bigint, keys binary, count binary, owned bina
 ANSWER_SCHEMA = "level int, block bigint, bucket bigint, total binary, extra binary, n bigint, types bigint, once bigint, twice bigint"
 
 
-def pack(a: np.ndarray) -> bytes:
-    """32-bit numbers as compressed byte planes."""
+def pack(a: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers as compressed byte planes: of 32 bits within a block, of 64 (``TOTAL``)
+    where they add up over blocks."""
     import zstandard
-    planes = np.ascontiguousarray(a.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    planes = np.ascontiguousarray(a.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T
     return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def unpack(b: bytes) -> np.ndarray:
+def unpack(b: bytes, kind: str = "<u4") -> np.ndarray:
     import zstandard
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def low48(keys: np.ndarray) -> bytes:
@@ -152,8 +154,8 @@ def gather(answers: pd.DataFrame, keys: np.ndarray, buckets: int) -> tuple[np.nd
     total, extra = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     if len(keys):
         a = answers.sort_values("bucket")
-        total[order] = np.concatenate([unpack(x) for x in a["total"]])
-        extra[order] = np.concatenate([unpack(x) for x in a["extra"]])
+        total[order] = np.concatenate([unpack(x, TOTAL) for x in a["total"]])
+        extra[order] = np.concatenate([unpack(x, TOTAL) for x in a["extra"]])
     return total, extra
 
 
@@ -167,7 +169,8 @@ def answer(level: int):
         size = [len(k) for k in keys]
         types, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         count = np.concatenate([unpack(x) for x in pdf["count"]]).astype(np.int64)
-        total = np.bincount(inverse, weights=count, minlength=len(types)).astype(np.int64)
+        total = np.zeros(len(types), np.int64)
+        np.add.at(total, inverse, count)
         if level == 2:
             extra = np.zeros(len(count), np.int64)
             seen = np.flatnonzero(count)
@@ -176,7 +179,7 @@ def answer(level: int):
             owned = np.concatenate([unpack(x) for x in pdf["owned"]])
             extra = np.bincount(inverse, weights=owned, minlength=len(types)).astype(np.int64)[inverse]
         cut = np.cumsum(size)[:-1]
-        rows = [(level, b, k, pack(t), pack(e), 0, 0, 0, 0) for b, k, t, e in zip(
+        rows = [(level, b, k, pack(t, TOTAL), pack(e, TOTAL), 0, 0, 0, 0) for b, k, t, e in zip(
             pdf["block"], pdf["bucket"], np.split(total[inverse], cut), np.split(extra, cut))]
         rows.append((level, None, None, None, None, int(total.sum()), int((total > 0).sum()),
                      int((total == 1).sum()), int((total == 2).sum())))
