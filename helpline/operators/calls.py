@@ -110,6 +110,13 @@ def call_metrics(turns: DataFrame) -> DataFrame:
         F.min_by("role", "pos").alias("first_role"), F.max_by("role", "pos").alias("last_role"))
 
 
+def first_of_rooms(calls: DataFrame) -> DataFrame:
+    """One row a room: the earliest call, then the one of least id."""
+    cols = calls.columns
+    order = F.struct(*[c for c in ("started_at", "call_id") if c in cols], *cols)
+    return calls.groupBy("room_name").agg(F.min_by(F.struct(*cols), order).alias("r")).select("r.*")
+
+
 def lookup_call(calls: DataFrame, call_id: int) -> DataFrame:
     """Point lookup of a call's transcript path (pushed to the scan)."""
     return calls.filter(F.col("call_id") == F.lit(call_id)).select("call_id", "transcript_path")

@@ -65,9 +65,12 @@ def missing_calls(requests: DataFrame, calls: DataFrame) -> DataFrame:
 
 def stored_turns(transcripts: DataFrame, calls: DataFrame) -> DataFrame:
     """Flat turns of stored transcripts (``scan_transcripts``), given to the call
-    whose ``transcript_path`` names their file. Malformed files have no turns."""
-    named = calls.select("call_id", F.element_at(F.split("transcript_path", "/"), -1).alias("file_name"))
-    t = transcripts.select("file_name", "page_no", "items").join(named, "file_name")
+    whose ``transcript_path`` is their file's path or its end (whole folder names, so
+    equal file names in two folders stay apart). Malformed files have no turns."""
+    named = calls.select("call_id", "transcript_path", F.element_at(F.split("transcript_path", "/"), -1).alias("file_name"))
+    t = transcripts.select("file_name", "file_path", "page_no", "items").join(named, "file_name").where(
+        F.concat(F.lit("/"), F.col("file_path")).endswith(F.concat(F.lit("/"), F.col("transcript_path")))
+        | ~F.contains("file_path", F.lit("/")))  # a line that knows only its file's name
     return C.turn_sequence(t).select("call_id", "pos", "role", F.get("content", 0).alias("text"), "interrupted")
 
 
@@ -107,8 +110,9 @@ def call_facts(turns: DataFrame) -> DataFrame:
 def rule_scorer(prompts: DataFrame, turns: DataFrame) -> DataFrame:
     """Default deterministic scorer: five pass/fail criteria from the rules,
     written as paragraphs separated by a blank line. A call without turns is
-    open, without greeting and without violations."""
-    f = prompts.select("request_id", "call_id").distinct().join(call_facts(turns), "call_id", "left").select(
+    open, without greeting and without violations. Only the ids of ``prompts``
+    are read (one row per request), never the prompt texts."""
+    f = prompts.select("request_id", "call_id").join(call_facts(turns), "call_id", "left").select(
         "request_id", F.coalesce("outcome", F.lit(O.OPEN_OUTCOME)).alias("outcome"),
         *[F.coalesce(c, F.lit(False)).alias(c) for c in ("greeted", "answered_before_identified")],
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_long_turns", "n_language_violations")])
@@ -155,7 +159,9 @@ def evaluate_calls(requests: DataFrame, calls: DataFrame, turns: DataFrame,
         turns = stored_turns(turns, calls)
     v = valid_requests(requests)
     once = v.filter(F.col("status") == "valid").dropDuplicates(["request_id"])
-    scored = scorer(eval_prompts(once, calls, turns), turns).groupBy("request_id").agg(
+    # the rules need the turns alone, so no transcript is laid out for them
+    prompts = requests_calls_join(once, calls) if scorer is rule_scorer else eval_prompts(once, calls, turns)
+    scored = scorer(prompts, turns).groupBy("request_id").agg(
         F.avg("score").alias("score"), F.min(F.col("verdict") == "pass").alias("passed"),
         F.array_sort(F.collect_list(F.struct("page_no", "result_text"))).alias("pages"))
     scored = scored.select("request_id", "score", F.when(F.col("passed"), F.lit("pass")).otherwise(F.lit("fail")).alias("verdict"),

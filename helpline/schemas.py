@@ -16,7 +16,8 @@ TRANSCRIPT = T.StructType([
 # JSON-lines layout of the transcript sink: one (call, page) per line
 TRANSCRIPT_LINE = T.StructType([
     T.StructField("call_id", T.LongType()), T.StructField("page_no", T.LongType()),
-    T.StructField("file_name", T.StringType()), T.StructField("items", T.ArrayType(ITEM)),
+    T.StructField("file_name", T.StringType()), T.StructField("transcript_path", T.StringType()),
+    T.StructField("items", T.ArrayType(ITEM)),
     T.StructField("_corrupt_record", T.StringType()),
 ])
 

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from helpline.operators.calls import first_of_rooms
 
 
 # Part files stay small enough to be read whole (a folder scan reads one file
@@ -54,10 +57,10 @@ def persist_index(nodes: DataFrame, vectors: DataFrame, base: str, version: str)
     return {"version": version, "n_nodes": n_nodes, "n_vectors": n_vec}
 
 
-def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+def _read_if_there(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
     """The Parquet table, or None if the path does not exist; other errors rise."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -75,7 +78,7 @@ def latest_version(spark: SparkSession, base: str) -> str | None:
 def write_transcripts(transcripts: DataFrame, path: str, mode: str = "append") -> None:
     """K4: JSON lines, one object per (call, page) with its file name as a
     field (read back with ``scan_transcripts(..., multi_line=False)``)."""
-    cols = [c for c in ("call_id", "page_no", "file_name", "items") if c in transcripts.columns]
+    cols = [c for c in ("call_id", "page_no", "file_name", "transcript_path", "items") if c in transcripts.columns]
     (transcripts.select(*cols).write.mode(mode).option("maxRecordsPerFile", MAX_DOCS_PER_FILE)
      .option("ignoreNullFields", "false").json(path))
 
@@ -85,9 +88,7 @@ def append_calls(new_calls: DataFrame, register_path: str) -> int:
     already registered are skipped; of rows repeated in the batch the earliest
     (then the one of least id) is kept."""
     spark = new_calls.sparkSession
-    cols = new_calls.columns
-    order = F.struct(*[c for c in ("started_at", "call_id") if c in cols], *cols)
-    batch = new_calls.groupBy("room_name").agg(F.min_by(F.struct(*cols), order).alias("r")).select("r.*")
+    batch = first_of_rooms(new_calls)
     existing = _read_if_there(spark, register_path)  # the first write creates the register
     if existing is not None:
         batch = batch.join(existing.select("room_name"), "room_name", "left_anti")

@@ -38,7 +38,7 @@ def scan_transcripts(spark: SparkSession, path: str, multi_line: bool = True) ->
     stored layout, one (pretty-printed) transcript per file, named
     ``transcript_<yyyy-MM-dd_HH-mm-ss>[_<call id>].json``; ``False`` reads the
     JSON lines of ``write_transcripts``, where each line carries its call id,
-    page and file name. Malformed records are kept with ``malformed`` set; a
+    page, file name and path. Malformed records are kept with ``malformed`` set; a
     record without ``items`` yields an empty list. The call time (and id, when
     present) come from the file name."""
     schema = TRANSCRIPT if multi_line else TRANSCRIPT_LINE
@@ -50,7 +50,8 @@ def scan_transcripts(spark: SparkSession, path: str, multi_line: bool = True) ->
     page_no = F.lit(0).cast("bigint") if multi_line else F.coalesce(F.col("page_no"), F.lit(0).cast("bigint"))
     return df.select(
         (cid if multi_line else F.coalesce(F.col("call_id"), cid)).alias("call_id"), page_no.alias("page_no"),
-        name.alias("file_name"),
+        name.alias("file_name"), F.col("_metadata.file_path").alias("file_path") if multi_line
+        else F.coalesce("transcript_path", "file_name").alias("file_path"),
         F.when(stamp != "", F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd_HH-mm-ss"))).alias("started_at"),
         F.coalesce(F.col("items"), F.array()).alias("items"), F.col("_corrupt_record").isNotNull().alias("malformed"))
 

@@ -42,8 +42,8 @@ def stream_transcripts(spark: SparkSession, path: str, max_files_per_trigger: in
 
 
 def register_calls(calls: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Register each room once even if its file is delivered again; the
-    dedup state is kept only within the watermark."""
+    """Rooms told apart within a watermark only, for sinks that can't be merged into; the
+    register of calls (T2) is ``merge.register_sink``, which keeps a room once for good."""
     if not calls.isStreaming:  # batch: keep the earliest delivery of each room
         cols = calls.columns
         first = calls.groupBy("room_name").agg(F.min_by(F.struct(*cols), F.struct("started_at", "call_id")).alias("r"))
