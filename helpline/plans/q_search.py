@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helpline.operators import ivf as I
 from helpline.operators import vector as V
 from helpline.plans.catalog import register
 from helpline.sources.tables import read_table
@@ -104,7 +105,7 @@ def _planes_sql(dim: int = EMBED_DIM) -> str:
     return f"SELECT * FROM (VALUES {rows}) p(band, bit, h)"
 
 
-@register("approx_search", f"""WITH planes AS ({_planes_sql()}),
+@register("lsh_search", f"""WITH planes AS ({_planes_sql()}),
     keys AS (SELECT e.vec_id, p.band,
         sum(CASE WHEN list_dot_product(e.embedding::DOUBLE[], p.h::DOUBLE[]) > 0 THEN 1 << p.bit ELSE 0 END) AS bucket
       FROM embeddings e, planes p GROUP BY 1, 2),
@@ -115,9 +116,54 @@ def _planes_sql(dim: int = EMBED_DIM) -> str:
     SELECT query_id, item_id, CAST(hit_rank AS INTEGER) AS hit_rank, round(score, 6) AS score FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS hit_rank FROM scored) r
     WHERE hit_rank <= 5""")
-def q_x4(spark, d):
-    """Every vector against the whole table through LSH buckets."""
+def q_x4_lsh(spark, d):
+    """Every vector against the whole table through LSH buckets."""
     it = _items(spark, d)
     q = it.select(F.col("item_id").alias("query_id"), "vector")
     h = V.approx_search(q, it, k=V.DEFAULT_TOP_K, exclude_self=True)
     return h.select("query_id", "item_id", F.col("hit_rank").cast("int"), F.round("score", 6).alias("score"))
+
+
+def _train_sql() -> str:
+    """The training rounds in SQL: ``cells(cell, c)`` after the last one."""
+    unit = f"""items AS (SELECT vec_id, list_transform(v, lambda x: x / n) AS u FROM (
+        SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) a),
+    size AS (SELECT least({I.MAX_CELLS}, greatest(1, CAST(round(sqrt(count(*))) AS BIGINT))) AS cells FROM items),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS no FROM items),
+    sample AS (SELECT * FROM ranked WHERE no < (SELECT cells * {I.SAMPLE} FROM size)),
+    cells0 AS (SELECT no AS cell, list_transform(u, lambda x: round(x, {I.DIGITS})) AS c FROM ranked WHERE no < (SELECT cells FROM size))"""
+    for r in range(I.ROUNDS):
+        unit += f""",
+    own{r} AS (SELECT vec_id, u, arg_max(cell, (s, -cell)) AS cell FROM (
+      SELECT i.vec_id, any_value(i.u) AS u, c.cell, any_value(list_dot_product(i.u, c.c)) AS s FROM sample i, cells{r} c GROUP BY 1, 3) x GROUP BY 1, 2),
+    mean{r} AS (SELECT cell, list(x ORDER BY pos) AS m FROM (
+      SELECT cell, pos, sum(x) AS x FROM (SELECT cell, unnest(u) AS x, unnest(range(len(u))) AS pos FROM own{r}) e GROUP BY 1, 2) y GROUP BY 1),
+    cells{r + 1} AS (SELECT o.cell, CASE WHEN m.m IS NULL THEN o.c ELSE
+      list_transform(m.m, lambda x: round(x / sqrt(list_dot_product(m.m, m.m)), {I.DIGITS})) END AS c
+      FROM cells{r} o LEFT JOIN mean{r} m ON m.cell = o.cell)"""
+    return unit
+
+
+@register("approx_search", f"""WITH {_train_sql()},
+    places AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cell) - 1 AS place FROM (
+      SELECT i.vec_id, c.cell, list_dot_product(i.u, c.c) AS s FROM items i, cells{I.ROUNDS} c) a),
+    own AS (SELECT vec_id, cell FROM places WHERE place = 0),
+    pairs AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, {_COS} AS score FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id),
+    asked AS (SELECT vec_id FROM ranked WHERE no < {I.CALIBRATION}),
+    hits AS (SELECT place, count(*) AS n FROM (
+        SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS hit_rank
+        FROM pairs JOIN asked ON asked.vec_id = query_id) t
+      JOIN own ON own.vec_id = item_id JOIN places p ON p.vec_id = query_id AND p.cell = own.cell WHERE hit_rank <= 5 GROUP BY 1),
+    probes AS (SELECT min(place) + 1 AS n FROM (SELECT place, sum(n) OVER (ORDER BY place) AS seen, sum(n) OVER () AS total FROM hits) h
+      WHERE seen >= {I.RECALL} * total)
+    SELECT query_id, item_id, CAST(hit_rank AS INTEGER) AS hit_rank, round(score, 6) AS score FROM (
+      SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS hit_rank
+      FROM pairs JOIN own ON own.vec_id = item_id JOIN places p ON p.vec_id = query_id AND p.cell = own.cell
+      WHERE p.place < (SELECT n FROM probes)) r WHERE hit_rank <= 5""")
+def q_x4(spark, d):
+    """Cells trained on the table, probes calibrated, every vector asked of it."""
+    it = _items(spark, d).select("item_id", "vector")
+    q = it.select(F.col("item_id").alias("query_id"), "vector")
+    cells = I.calibrate(I.train_cells(it), q, it, V.DEFAULT_TOP_K, exclude_self=True)
+    h = I.ivf_search(q, it, cells, V.DEFAULT_TOP_K, exclude_self=True)
+    return h.select("query_id", "item_id", F.col("hit_rank").cast("int"), F.round("score", 6).alias("score"))
