@@ -31,6 +31,14 @@ def ordered_join(arr: Column, field: str, sep: str) -> Column:
     return F.array_join(F.transform(arr, lambda x: x[field].cast("string")), sep)
 
 
+def components(vector: Column) -> Column:
+    """The non-zero components of a vector as text ``place:value``, values in
+    ten-thousandths."""
+    told = F.transform(vector, lambda x, i: F.when(x != 0, F.concat(
+        i.cast("string"), F.lit(":"), F.round(x.cast("double") * 10000).cast("bigint").cast("string"))))
+    return F.array_join(F.filter(told, lambda t: t.isNotNull()), ",")
+
+
 def nullif_empty(c: Column) -> Column:
     """``array_join`` of an empty list gives '' where SQL string_agg gives NULL."""
     return F.when(c == F.lit(""), F.lit(None).cast("string")).otherwise(c)

@@ -273,3 +273,52 @@ def dropped_by_join(clients: DataFrame, client_companies: DataFrame, companies:
         .select(F.lit("protocol_without_reason").alias("dropped_by"), F.col("pid").alias("key_id")),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+# ------------------------------------------------------------- readiness S2
+# Required and optional columns per operational table.
+REQUIRED = {
+    "companies": ["Id", "Codigo", "Nombre"], "clients": ["Id", "CodigoCliente", "NombreCompleto"],
+    "client_companies": ["ClienteId", "EmpresaId"], "services": ["Id", "NombreServicio", "CompanyId"],
+    "reasons": ["Id", "CodigoMotivo", "NombreMotivo", "Descripcion"],
+    "protocols": ["Id", "NombreProtocolo", "Descripcion", "ReasonId"],
+    "protocol_steps": ["ProtocolId", "CodigoPasoProtocolo", "PasoProtocolo"],
+}
+OPTIONAL = {"companies": ["Telefono", "Email", "Ciudad", "Direccion"],
+            "clients": ["Ci", "Email", "NumeroTelf", "Direccion"], "services": ["Descripcion"]}
+
+
+def check_tables(tables: dict[str, DataFrame], every: bool = True) -> None:
+    """Raises an error that names all missing tables and required columns, before any
+    job is started. ``every=False`` checks only the tables given."""
+    lacks = {n: [c for c in cols if n not in tables or c not in tables[n].columns]
+             for n, cols in REQUIRED.items() if every or n in tables}
+    absent = [n for n in lacks if n not in tables]
+    if absent:
+        raise ValueError(f"missing source tables: {absent}")
+    columns = {n: c for n, c in lacks.items() if c}
+    if columns:
+        raise ValueError(f"source tables lack required columns: {columns}")
+
+
+def source_readiness(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per table and expected column: present?, NULL count (one scan per
+    table, all columns in one aggregate). Raises if a required column is absent."""
+    parts = []
+    check_tables(tables, every=False)
+    for n, df in tables.items():
+        cols = REQUIRED[n] + OPTIONAL.get(n, [])
+        present = [c for c in cols if c in df.columns]
+        agg = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in present])
+        stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("bigint").alias("n_null"))
+                                     for c in present])).alias("s")
+        rows = agg.select(stack).select(F.lit(n).alias("table_name"), "s.column_name",
+                                        F.col("s.column_name").isin(REQUIRED[n]).alias("required"),
+                                        F.lit(True).alias("present"), "s.n_null")
+        parts.append(rows)
+        absent = [c for c in cols if c not in df.columns]
+        if absent:
+            parts.append(agg.select(F.explode(F.array(*[F.lit(c) for c in absent])).alias("column_name"))
+                         .select(F.lit(n).alias("table_name"), "column_name", F.lit(False).alias("required"),
+                                 F.lit(False).alias("present"), F.lit(None).cast("bigint").alias("n_null")))
+    return reduce(DataFrame.unionByName, parts)

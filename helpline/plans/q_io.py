@@ -11,20 +11,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helpline.functions.columns import PAGE_SPAN
+from helpline.functions.columns import PAGE_SPAN, components
 from helpline.operators import calls as C
 from helpline.operators import chunk as CH
 from helpline.operators import kb
-from helpline.operators.embed import DEFAULT_DIM, hashing_embedder, with_norm
+from helpline.operators.vector import DEFAULT_TOP_K
+from helpline.operators.embed import DEFAULT_DIM, token_embedder, with_norm
 from helpline.plans.catalog import register
 from helpline.plans.q_calls import REQUEST_ID
 from helpline.plans.q_kb import ALL, CORPUS_SQL, P5_SQL, corpus
 from helpline.plans.q_kb import _t as kb_tables
 from helpline.plans.q_text import CHUNK_SQL, STEP
 from helpline.plans.rebuild import ask, rebuild_index
-from helpline.plans.sqltext import page
+from helpline.plans.sqltext import components_sql, page, vector_sql
 from helpline.schemas import CALLS
 from helpline.session import scratch_path
+from helpline.sinks import index as IX
 from helpline.sinks import writers as K
 from helpline.sources import fixtures as fx
 from helpline.sources import files as S
@@ -135,21 +137,22 @@ def _doc_nodes(docs):
 
 def _persist(spark, base, version, docs):
     nodes = _doc_nodes(docs)
-    vec = with_norm(hashing_embedder()(nodes.select("node_id", F.col("embed_text").alias("text")))).select(
+    vec = with_norm(token_embedder()(nodes.select("node_id", F.col("embed_text").alias("text")))).select(
         "node_id", "model", "dim", "embedding", "norm")
-    return K.persist_index(nodes.drop("embed_text"), vec, base, version)
+    return IX.persist_index(nodes.drop("embed_text"), vec, base, version)
 
 
 def _index_rows(nodes, vectors):
-    v = vectors.select("node_id", "dim", (F.abs(F.col("norm") - F.lit(1.0)) < F.lit(1e-4)).alias("unit_norm"))
+    v = vectors.select("node_id", "dim", (F.abs(F.col("norm") - F.lit(1.0)) < F.lit(1e-4)).alias("unit_norm"),
+                       components(F.col("embedding")).alias("components"))
     return nodes.join(v, "node_id", "left").select(
-        "node_id", "ref_doc_id", "chunk_no", "start_char", "end_char", "node_hash", F.col("dim").cast("int"), "unit_norm")
+        "node_id", "ref_doc_id", "chunk_no", "start_char", "end_char", "node_hash", F.col("dim").cast("int"), "unit_norm", "components")
 
 
 def _index_sql(chunks: str) -> str:
-    return f"""SELECT node_id, ref_doc_id, chunk_no, start_char, end_char, sha256(text) AS node_hash,
-    CAST({DEFAULT_DIM} AS INTEGER) AS dim, regexp_matches(lower(text), '[\\p{{L}}\\p{{N}}]') AS unit_norm
-    FROM ({chunks}) n"""
+    return f"""SELECT n.node_id, ref_doc_id, chunk_no, start_char, end_char, sha256(text) AS node_hash,
+    CAST({DEFAULT_DIM} AS INTEGER) AS dim, v.node_id IS NOT NULL AS unit_norm, coalesce(v.components, '') AS components
+    FROM ({chunks}) n LEFT JOIN ({components_sql(f"SELECT node_id, text FROM ({chunks}) m")}) v ON v.node_id = n.node_id"""
 
 
 @register("persist_index", _index_sql(CHUNK_SQL))
@@ -159,7 +162,7 @@ def q_k3(spark, d):
     chunk has no token."""
     base = scratch_path(spark, "index")
     _persist(spark, base, "v1", read_table(spark, d, "documents", ["doc_id", "text"]))
-    return _index_rows(spark.read.parquet(f"{base}/nodes/version=v1"), spark.read.parquet(f"{base}/vectors/version=v1"))
+    return _index_rows(*S.load_index(spark, base, "v1"))
 
 
 CURRENT_DOCS_SQL = f"""SELECT doc_id, CASE WHEN lang = 'fr' THEN text || chr(10) || '(rev. 2)' ELSE text END AS text
@@ -189,37 +192,51 @@ def q_s6(spark, d):
 
 
 # ------------------------------------------------------------- ask the index
-@register("ask_index", None)
+@register("ask_index", f"""WITH nodes AS ({CHUNK_SQL}),
+    nv AS ({vector_sql("SELECT node_id, text FROM nodes")}), qv AS ({vector_sql("SELECT item_id AS node_id, text FROM benchmark")}),
+    nn AS (SELECT node_id, sqrt(sum(x * x)) AS n FROM nv GROUP BY 1), qn AS (SELECT node_id, sqrt(sum(x * x)) AS n FROM qv GROUP BY 1),
+    dots AS (SELECT qv.node_id AS query_id, nv.node_id AS item_id, sum(qv.x * nv.x) AS dot FROM qv JOIN nv USING (b) GROUP BY 1, 2),
+    scored AS (SELECT qn.node_id AS query_id, nn.node_id AS item_id, coalesce(dot, 0) / (qn.n * nn.n) AS score
+      FROM qn CROSS JOIN nn LEFT JOIN dots ON dots.query_id = qn.node_id AND dots.item_id = nn.node_id)
+    SELECT query_id, CAST(hit_rank AS INTEGER) AS hit_rank, item_id, ref_doc_id, round(score, 6) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS hit_rank FROM scored) r
+    JOIN nodes ON nodes.node_id = r.item_id WHERE hit_rank <= {DEFAULT_TOP_K}""")
 def q_ask(spark, d):
     """Every benchmark passage asked of an index of all documents that was
-    written and loaded: node, source document and score of its best hits (rows
-    only: the token hash of the embedder has no SQL form)."""
+    written and loaded: node, source document and score of its best hits."""
     base = scratch_path(spark, "index")
     _persist(spark, base, "v1", read_table(spark, d, "documents", ["doc_id", "text"]))
     q = read_table(spark, d, "benchmark", ["item_id", "text"]).withColumnRenamed("item_id", "query_id")
     hits = ask(q, *S.load_index(spark, base))
-    return hits.select("query_id", "hit_rank", "item_id", "ref_doc_id", F.round("score", 6).alias("score"))
+    return hits.select("query_id", F.col("hit_rank").cast("int"), "item_id", "ref_doc_id", F.round("score", 6).alias("score"))
 
 
 # ------------------------------------------------------------ X10 rebuild
-@register("rebuild_index", W(f"""SELECT node_id, ref_doc_id, chunk_no, sha256(text) AS node_hash, doc_hash,
-    CAST({DEFAULT_DIM} AS INTEGER) AS dim FROM (
-      SELECT CAST(doc_id AS VARCHAR) || '#' || CAST(i AS VARCHAR) AS node_id, doc_id AS ref_doc_id,
+_REBUILT = f"""SELECT CAST(doc_id AS VARCHAR) || '#' || CAST(i AS VARCHAR) AS node_id, doc_id AS ref_doc_id,
         CAST(i AS INTEGER) AS chunk_no, substr(body, CAST(i * {STEP} + 1 AS BIGINT), {CH.CHUNK_SIZE}) AS text,
-        content_hash AS doc_hash
-      FROM (SELECT doc_id, body, content_hash,
+        content_hash AS doc_hash, 'doc_kind: ' || doc_kind || chr(10) || 'title: ' || title || chr(10) || chr(10) AS head
+      FROM (SELECT doc_id, doc_kind, title, body, content_hash,
           unnest(range(0, greatest(0, CAST(ceil((length(body) - {CH.CHUNK_SIZE}) / {STEP}) AS BIGINT)) + 1)) AS i
-        FROM ({CORPUS_SQL}) x) c) n""", *ALL))
+        FROM ({CORPUS_SQL}) x) c"""
+
+
+@register("rebuild_index", W(f"""WITH rebuilt AS ({_REBUILT})
+    SELECT n.node_id, ref_doc_id, chunk_no, sha256(text) AS node_hash, doc_hash, CAST({DEFAULT_DIM} AS INTEGER) AS dim,
+      coalesce(v.components, '') AS components
+    FROM rebuilt n LEFT JOIN ({components_sql("SELECT node_id, head || text AS text FROM rebuilt")}) v ON v.node_id = n.node_id""", *ALL))
 def q_x10(spark, d):
-    """The whole rebuild job twice on the same tables: a full build (v1), then
-    an incremental one (v2) that finds every document unchanged and carries
-    its nodes and vectors over. The latest version is returned."""
+    """The rebuild job over changing tables: a full build without the clients of one
+    company in ten and the steps of one protocol in ten (v1), then an incremental one
+    (v2), whose segment holds only the new and changed documents. The latest version is
+    returned."""
     base = scratch_path(spark, "kb-index")
     tables = kb_tables(spark, d)
-    rebuild_index(spark, tables, base, "v1", incremental=False)
+    before = {**tables, "client_companies": tables["client_companies"].where("EmpresaId % 10 <> 3"),
+              "protocol_steps": tables["protocol_steps"].where("ProtocolId % 10 <> 4")}
+    full = rebuild_index(spark, before, base, "v1", incremental=False)
     r = rebuild_index(spark, tables, base, "v2")
-    if r["previous_version"] != "v1":
-        raise RuntimeError(f"incremental rebuild did not see v1: {r}")
+    if r["previous_version"] != "v1" or not 0 < r["n_nodes"] < full["n_nodes"]:
+        raise RuntimeError(f"the incremental rebuild did not build on v1: {r}")
     nodes, vectors = S.load_index(spark, base)
-    return nodes.join(vectors.select("node_id", "dim"), "node_id", "left").select(
-        "node_id", "ref_doc_id", "chunk_no", "node_hash", "doc_hash", F.col("dim").cast("int"))
+    return nodes.join(vectors.select("node_id", "dim", components(F.col("embedding")).alias("components")), "node_id", "left").select(
+        "node_id", "ref_doc_id", "chunk_no", "node_hash", "doc_hash", F.col("dim").cast("int"), "components")

@@ -238,24 +238,12 @@ def q_s1(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
-# Required and optional columns per operational table.
-REQUIRED = {
-    "companies": ["Id", "Codigo", "Nombre"], "clients": ["Id", "CodigoCliente", "NombreCompleto"],
-    "client_companies": ["ClienteId", "EmpresaId"], "services": ["Id", "NombreServicio", "CompanyId"],
-    "reasons": ["Id", "CodigoMotivo", "NombreMotivo", "Descripcion"],
-    "protocols": ["Id", "NombreProtocolo", "Descripcion", "ReasonId"],
-    "protocol_steps": ["ProtocolId", "CodigoPasoProtocolo", "PasoProtocolo"],
-}
-OPTIONAL = {"companies": ["Telefono", "Email", "Ciudad", "Direccion"],
-            "clients": ["Ci", "Email", "NumeroTelf", "Direccion"], "services": ["Descripcion"]}
-
-
 def _readiness_sql() -> str:
     parts = []
     for n in ALL:
-        for c in REQUIRED[n] + OPTIONAL.get(n, []):
+        for c in kb.REQUIRED[n] + kb.OPTIONAL.get(n, []):
             present = c in _FIXTURE_COLUMNS[n]
-            req = "true" if c in REQUIRED[n] else "false"
+            req = "true" if c in kb.REQUIRED[n] else "false"
             if present:
                 parts.append(f"SELECT '{n}' AS table_name, '{c}' AS column_name, {req} AS required, true AS present, "
                              f"count(*) - count({c}) AS n_null FROM {n}")
@@ -275,34 +263,9 @@ _FIXTURE_COLUMNS = {
 }
 
 
-def source_readiness(tables: dict[str, DataFrame]) -> DataFrame:
-    """Per table and expected column: present?, NULL count (one scan per
-    table, all columns in one aggregate). Raises if a required column is absent."""
-    parts = []
-    for n, df in tables.items():
-        missing = [c for c in REQUIRED[n] if c not in df.columns]
-        if missing:
-            raise ValueError(f"table {n} lacks required columns {missing}")
-        cols = REQUIRED[n] + OPTIONAL.get(n, [])
-        present = [c for c in cols if c in df.columns]
-        agg = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in present])
-        stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("bigint").alias("n_null"))
-                                     for c in present])).alias("s")
-        rows = agg.select(stack).select(F.lit(n).alias("table_name"), "s.column_name",
-                                        F.col("s.column_name").isin(REQUIRED[n]).alias("required"),
-                                        F.lit(True).alias("present"), "s.n_null")
-        parts.append(rows)
-        absent = [c for c in cols if c not in df.columns]
-        if absent:
-            parts.append(agg.select(F.explode(F.array(*[F.lit(c) for c in absent])).alias("column_name"))
-                         .select(F.lit(n).alias("table_name"), "column_name", F.lit(False).alias("required"),
-                                 F.lit(False).alias("present"), F.lit(None).cast("bigint").alias("n_null")))
-    return reduce(DataFrame.unionByName, parts)
-
-
 @register("source_readiness", W(_readiness_sql(), *ALL))
 def q_s2(spark, d):
-    return source_readiness(_t(spark, d))
+    return kb.source_readiness(_t(spark, d))
 
 
 @register("ordered_groups", W(f"""SELECT g.company_id, g.page_no, e.Nombre AS enterprise_name, g.n_services

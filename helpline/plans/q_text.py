@@ -6,15 +6,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helpline.functions.columns import spread
+from helpline.functions.columns import components, spread
 from helpline.operators import chunk as CH
 from helpline.operators import kb
 from helpline.operators import lexical as L
 from helpline.operators import match as M
 from helpline.operators import names as N
-from helpline.operators.embed import tfidf_embedder, with_norm
+from helpline.operators.embed import DEFAULT_DIM, fit_corpus, load_corpus_model, save_corpus_model, with_norm
 from helpline.plans.catalog import register
 from helpline.plans.q_kb import P5_SQL
+from helpline.plans.sqltext import components_sql
+from helpline.session import scratch_path
 from helpline.sources import fixtures as fx
 from helpline.sources.fixtures import with_fixtures as W
 from helpline.sources.tables import read_table
@@ -226,8 +228,22 @@ def q_j12(spark, d):
     return M.protocol_match(issues(spark, d), docs, PROTOCOL_THRESHOLD)
 
 
-@register("embed", None)
+_HELD = f"""SELECT g.b, count(h.b) AS held, (SELECT count(*) FROM documents) AS n FROM (SELECT unnest(range({DEFAULT_DIM})) AS b) g
+    LEFT JOIN (SELECT DISTINCT doc_id, CAST(CAST('0x' || substr(md5(t), 1, 8) AS UBIGINT) % {DEFAULT_DIM} AS INTEGER) AS b FROM (
+      SELECT doc_id, unnest({TOKS}) AS t FROM documents) a) h ON h.b = g.b GROUP BY 1"""
+
+
+@register("embed", f"""WITH held AS ({_HELD}),
+    model AS (SELECT 'token-idf-{DEFAULT_DIM}-' || substr(md5('(' || any_value(n) || ', (' || string_agg(held, ', ' ORDER BY b) || '))'), 1, 12) AS model FROM held)
+    SELECT d.doc_id, m.model, {DEFAULT_DIM} AS dim, CASE WHEN v.node_id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS norm, coalesce(v.components, '') AS components
+    FROM documents d CROSS JOIN model m LEFT JOIN ({components_sql("SELECT doc_id AS node_id, text FROM documents",
+                                                                    "SELECT b, ln((n + 1) / (held + 1)) AS w FROM held")}) v ON v.node_id = d.doc_id""")
 def q_x2(spark, d):
-    """X2 (rows-only: hashed TF-IDF is Spark ML's own, not SQL)."""
-    v = with_norm(tfidf_embedder()(_docs(spark, d).select("doc_id", "text")))
-    return v.select("doc_id", "model", "dim", F.round("norm", 6).alias("norm"))
+    """Document frequencies counted over the first and the other documents apart,
+    added up, stored, loaded, and every document embedded with them."""
+    docs = _docs(spark, d).select("doc_id", "text")
+    path = scratch_path(spark, "corpus-model")
+    parts = [fit_corpus(docs.where(f"doc_id % 2 = {i}")) for i in (0, 1)]
+    save_corpus_model(spark, parts[0].add(parts[1]), path)
+    v = with_norm(load_corpus_model(spark, path)(docs))
+    return v.select("doc_id", "model", "dim", F.round("norm", 4).alias("norm"), components(F.col("embedding")).alias("components"))

@@ -1,5 +1,5 @@
-"""Sinks: documents (K1), Markdown pages (K2), versioned index (K3),
-transcripts (K4) and the calls register (K5). Writers are partitioned Spark
+"""Sinks: documents (K1), Markdown pages (K2), transcripts (K4) and the calls register
+(K5); the index (K3) is in ``index``. Writers are partitioned Spark
 writes -- never one driver-side file per row; each row keeps the path it would
 have had as a column."""
 
@@ -43,20 +43,6 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, lineSep=PAGE_BREAK).withColumnRenamed("value", "body")
 
 
-def persist_index(nodes: DataFrame, vectors: DataFrame, base: str, version: str) -> dict:
-    """K3: write nodes and vectors under a new version directory, then append a
-    manifest row (the manifest is written last, so a reader never sees a
-    half-written version)."""
-    nodes.write.mode("overwrite").parquet(f"{base}/nodes/version={version}")
-    vectors.write.mode("overwrite").parquet(f"{base}/vectors/version={version}")
-    spark = nodes.sparkSession
-    n_nodes = spark.read.parquet(f"{base}/nodes/version={version}").count()
-    n_vec = spark.read.parquet(f"{base}/vectors/version={version}").count()
-    m = spark.createDataFrame([(version, n_nodes, n_vec)], "version string, n_nodes long, n_vectors long")
-    m.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(f"{base}/_manifest")
-    return {"version": version, "n_nodes": n_nodes, "n_vectors": n_vec}
-
-
 def _read_if_there(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
     """The Parquet table, or None if the path does not exist; other errors rise."""
     try:
@@ -67,14 +53,6 @@ def _read_if_there(spark: SparkSession, path: str, schema: StructType | None = N
         raise
 
 
-def latest_version(spark: SparkSession, base: str) -> str | None:
-    m = _read_if_there(spark, f"{base}/_manifest")
-    if m is None:
-        return None
-    r = m.orderBy(F.col("created_at").desc(), F.col("version").desc()).select("version").first()
-    return r[0] if r else None
-
-
 def write_transcripts(transcripts: DataFrame, path: str, mode: str = "append") -> None:
     """K4: JSON lines, one object per (call, page) with its file name as a
     field (read back with ``scan_transcripts(..., multi_line=False)``)."""

@@ -67,8 +67,8 @@ def scan_requests(spark: SparkSession, path: str) -> DataFrame:
 def load_index(spark: SparkSession, base: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and vectors of the latest (or given) index version. Load once
     and reuse across query batches; a missing index is an error, not a string."""
-    from helpline.sinks.writers import latest_version
-    v = version or latest_version(spark, base)
-    if v is None:
-        raise FileNotFoundError(f"no index under {base}")
-    return (spark.read.parquet(f"{base}/nodes/version={v}"), spark.read.parquet(f"{base}/vectors/version={v}"))
+    from helpline.sinks import index
+    known = index.versions(spark, base)
+    if not known or version is not None and version not in known:
+        raise FileNotFoundError(f"no index under {base}" if not known else f"no version {version} under {base}")
+    return index.read_version(spark, base, known[version] if version else list(known.values())[-1])

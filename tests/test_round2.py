@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helpline.operators import calls, kb
 from helpline.operators.sessions import call_sessions
-from helpline.sinks import writers
+from helpline.sinks import index, writers
 from helpline.streaming import calls as stream
 
 
@@ -43,7 +43,7 @@ def test_register_errors_are_not_swallowed(spark, tmp):
     with pytest.raises(AnalysisException):
         writers.append_calls(new, f"{tmp}/register")
     assert writers.append_calls(new, f"{tmp}/fresh") == 1 and writers.append_calls(new, f"{tmp}/fresh") == 0
-    assert writers.latest_version(spark, f"{tmp}/none") is None
+    assert index.latest(spark, f"{tmp}/none") is index.NONE
 
 
 def test_sessions_on_a_stream_of_ntz_times_drop_late_rows(spark, tmp):
