@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from helpline.operators import chunk as CH
 from helpline.operators import lexical as L
@@ -30,14 +31,20 @@ def _bm25(queries, docs, k):
     return out
 
 
-def test_lexical_join_equals_brute_force(spark):
+@pytest.mark.parametrize("way", ["blocks of all documents", "small blocks", "large query table"])
+def test_lexical_join_equals_brute_force(spark, monkeypatch, way):
     rng = np.random.default_rng(3)
     docs = {i: " ".join(rng.choice(WORDS, size=rng.integers(1, 30))) for i in range(80)}
     docs[80] = ""
     queries = {i: " ".join(rng.choice(WORDS, size=3)) for i in range(15)}
     d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     q = spark.createDataFrame(list(queries.items()), "query_id long, text string")
-    got = L.lexical_join(q, d, k=4, q_block_rows=4, i_block_rows=9).collect()
+    if way == "small blocks":  # many thresholds, and a task with several blocks
+        monkeypatch.setattr(L.index_blocks, "__defaults__", (40,))
+        d = d.coalesce(2)
+    if way == "large query table":
+        monkeypatch.setattr(L.blocked_lexical_join, "__defaults__", (4, 9))
+    got = L.lexical_join(q, d, k=4, max_query_terms=0 if way == "large query table" else 1000).collect()
     res = {}
     for r in sorted(got, key=lambda r: (r["query_id"], r["hit_rank"])):
         res.setdefault(r["query_id"], []).append(r["item_id"])
@@ -118,3 +125,15 @@ def test_lexical_join_same_with_and_without_spread(spark):
     b = {tuple(r) for r in L.lexical_join(q, spread(docs, "doc_id").repartition(5), k=3)
          .select("query_id", "item_id", "hit_rank").collect()}
     assert a == b and len(a) > 0
+
+
+def test_blocks_below_the_threshold_are_not_scored(spark, monkeypatch):
+    docs = [(i, "rare common" if i == 0 else "common filler words") for i in range(60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    q = spark.createDataFrame([(1, "rare common"), (2, None), (3, "!"), (None, "common")], "query_id long, text string")
+    monkeypatch.setattr(L.index_blocks, "__defaults__", (9,))
+    calls = spark.sparkContext.accumulator(0)
+    plain = L.top_k_rows
+    monkeypatch.setattr(L, "top_k_rows", lambda *a: calls.add(1) or plain(*a))
+    got = [(r["query_id"], r["item_id"]) for r in L.lexical_join(q, d, k=1).collect()]
+    assert got == [(1, 0)] and calls.value == 1 < 60 // 3  # the first block holds the best score any other could reach
