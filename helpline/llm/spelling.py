@@ -2,12 +2,12 @@
 
 Words are counted with partial aggregation. A word is a vector of letter counts; one
 inserted or deleted letter moves it by a squared distance of 1, a replaced one by 2.
-Words are blocked by length and by their number of letters with an even code point: one
-edit changes the length by at most one and that number by at most as much, so only
-adjacent blocks meet. A block is dealt out by hash in tiles of bounded size; for each
-pair of adjacent tiles one NumPy product gives all squared distances
-|x|^2 + |y|^2 - 2 x.y, pairs at most 2 apart are kept, and the edit itself is verified.
-Only verified pairs leave a task.
+Words are blocked by length and by their numbers of letters in two classes (lowest and
+second bit of the code point clear): one edit changes the length and either number by at
+most one, so only adjacent blocks meet. A block is dealt out by hash in tiles of bounded
+size; for each pair of adjacent tiles one NumPy product gives all squared distances
+|x|^2 + |y|^2 - 2 x.y (the norms are columns of the factors), pairs at most 2 apart are
+kept, and the edit itself is verified. Only verified pairs leave a task.
 
 The work is quadratic in the distinct frequent words of a block, as the method is, not in
 occurrences: a very frequent word is one row.
@@ -38,7 +38,8 @@ MIN_CHARS = 5
 MIN_COUNT = 3
 TILE = 8_192          # words of a tile, fewer where they are long
 TILE_CHARS = 1 << 20
-ROWS = 512            # rows of a tile multiplied at a time
+ROWS = 64             # rows of a tile multiplied at a time: their products stay in the cache
+PAIRS = 8 << 26       # pairs of words a task compares, about
 FLUSH = 200_000       # distinct words counted before a task passes them on
 
 
@@ -108,10 +109,12 @@ def near_in_tiles(left: list[bytes], right: list[bytes], same: bool):
     a, b = letters(left), letters(right)
     kinds = np.union1d(np.unique(a), np.unique(b))
     x, y = letter_counts(a, kinds), letter_counts(b, kinds)
-    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    xx, yy = (x * x).sum(axis=1, keepdims=True), (y * y).sum(axis=1, keepdims=True)
+    x = np.hstack([2 * x, -xx, -np.ones_like(xx)])
+    y = np.ascontiguousarray(np.hstack([y, np.ones_like(yy), yy]).T)
     for lo in range(0, len(a), ROWS):
-        gram = x[lo:lo + ROWS] @ y.T
-        i, j = np.nonzero(2 * gram >= xx[lo:lo + ROWS, None] + yy[None, :] - 2)
+        less = (x[lo:lo + ROWS] @ y).ravel()  # squared distances, negative
+        i, j = np.divmod(np.flatnonzero(less > -2.5), y.shape[1])
         i += lo
         if same:
             i, j = i[i < j], j[i < j]
@@ -124,42 +127,48 @@ def near_in_tiles(left: list[bytes], right: list[bytes], same: bool):
 def near_pairs(words: DataFrame, tile: int = TILE) -> DataFrame:
     """``(a, b)``: every unordered pair of ``words.word`` one edit apart, once. The words
     are distinct and of letters below 256."""
+    block, tile_id = ["chars", "even", "low"], ["chars", "even", "low", "tile"]
+    odd, high = (bytes(c for c in range(256) if c >> bit & 1) for bit in (0, 1))
+
     def shape(batches):
         for b in batches:
-            even = [sum(1 - (c & 1) for c in w.encode("latin-1")) for w in b["word"]]
-            yield pd.DataFrame({"word": b["word"], "chars": b["word"].str.len(), "even": even})
+            raw = [w.encode("latin-1") for w in b["word"]]
+            yield pd.DataFrame({"word": b["word"], "chars": [len(w) for w in raw], "even": [len(w.translate(None, odd)) for w in raw],
+                                "low": [len(w.translate(None, high)) for w in raw]})
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({**{c: [rows[c].iloc[0]] for c in ("chars", "even", "tile")},
-                             "words": ["".join(sorted(rows["word"])).encode("latin-1")]})
+        return pd.DataFrame({**{c: [rows[c].iloc[0]] for c in tile_id}, "words": ["".join(sorted(rows["word"])).encode("latin-1")]})
 
     def near(rows: pd.DataFrame) -> pd.DataFrame:
         r = rows.iloc[0]
         cut = lambda w, n: [w[k:k + n] for k in range(0, len(w), n)]
         left, right = cut(r["words"], r["chars"]), cut(r["words_2"], r["chars_2"])
-        same = (r["chars"], r["even"], r["tile"]) == (r["chars_2"], r["even_2"], r["tile_2"])
+        same = all(r[c] == r[f"{c}_2"] for c in tile_id)
         out = [(left[i].decode("latin-1"), right[j].decode("latin-1")) for p, q in near_in_tiles(left, right, same) for i, j in zip(p, q)]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    w = materialize(words.select("word").mapInPandas(shape, "word string, chars int, even int"), "spelling-words")
-    blocks = w.groupBy("chars", "even").agg(F.count("*").alias("n")).withColumn(
+    w = materialize(words.select("word").mapInPandas(shape, "word string, chars int, even int, low int"), "spelling-words")
+    blocks = w.groupBy(*block).agg(F.count("*").alias("n")).withColumn(
         "tiles", F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(F.lit(TILE_CHARS) / F.col("chars"))))).cast("int"))
-    blocks = materialize(blocks.drop("n"), "spelling-blocks")
-    tiles = w.join(blocks, ["chars", "even"]).withColumn("tile", F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int")) \
-        .groupBy("chars", "even", "tile").applyInPandas(pack, "chars int, even int, tile int, words binary")
+    blocks = materialize(blocks, "spelling-blocks")
+    tiles = w.join(blocks.drop("n"), block).withColumn("tile", F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int")) \
+        .groupBy(*tile_id).applyInPandas(pack, "chars int, even int, low int, tile int, words binary")
     tiles = materialize(tiles, "spelling-tiles")
     # a block meets itself, and the neighbours that one replaced or added letter leads to
-    steps = F.array(*[F.struct(F.lit(a).alias("chars"), F.lit(b).alias("even")) for a, b in ((0, 0), (0, 1), (1, 0), (1, 1))])
-    other = blocks.select(F.col("chars").alias("chars_2"), F.col("even").alias("even_2"), F.col("tiles").alias("tiles_2"))
-    pairs = blocks.withColumn("step", F.explode(steps)).select(
-        "chars", "even", "tiles", (F.col("chars") + F.col("step.chars")).alias("chars_2"), (F.col("even") + F.col("step.even")).alias("even_2")) \
-        .join(other, ["chars_2", "even_2"]) \
-        .withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))) \
+    steps = [(0, 0, 0), (0, 0, 1), (0, 1, -1), (0, 1, 0), (0, 1, 1), (1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1)]
+    step = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(block, s)]) for s in steps]))
+    second = lambda df: df.select(*[F.col(c).alias(f"{c}_2") for c in df.columns])
+    met = blocks.withColumn("step", step).select(
+        "*", *[(F.col(c) + F.col("step")[c]).alias(f"{c}_2") for c in block]).drop("step").join(second(blocks), [f"{c}_2" for c in block])
+    work = met.agg(F.sum(F.col("n").cast("double") * F.col("n_2"))).first()[0] or 0
+    pairs = met.drop("n", "n_2").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))) \
         .withColumn("tile_2", F.explode(F.sequence(F.lit(0), F.col("tiles_2") - 1))) \
-        .where("chars <> chars_2 or even <> even_2 or tile <= tile_2").drop("tiles", "tiles_2")
-    other = tiles.select(*[F.col(c).alias(f"{c}_2") for c in tiles.columns])
-    met = pairs.join(tiles, ["chars", "even", "tile"]).join(other, ["chars_2", "even_2", "tile_2"])
-    return met.groupBy("chars", "even", "tile", "chars_2", "even_2", "tile_2").applyInPandas(near, "a string, b string")
+        .where("chars <> chars_2 or even <> even_2 or low <> low_2 or tile <= tile_2").drop("tiles", "tiles_2")
+    keys = [*tile_id, *[f"{c}_2" for c in tile_id]]
+    # so many tasks as the comparisons need: the packed words are few bytes for much work
+    parts = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / PAIRS))
+    return pairs.join(tiles, tile_id).join(second(tiles), [f"{c}_2" for c in tile_id]).repartition(parts, *keys) \
+        .groupBy(*keys).applyInPandas(near, "a string, b string")
 
 
 def spelling_groups(docs: DataFrame, modulus: int = MODULUS, least: int = MIN_CHARS, count: int = MIN_COUNT,

@@ -64,7 +64,7 @@ def rows():
     return out + [(999, None), (998, ""), *[(997, "abcdeabcde" * 3000)] * 3, (996, "abcdeabcde" * 3000 + "x"), (995, "ties ties")]
 
 
-@pytest.mark.parametrize("tile", [8192, 7])
+@pytest.mark.parametrize("tile", [8192, 60])
 def test_equals_all_pairs(spark, rows, tile):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n", F.lit(3)).withColumn("word", F.lit("x"))
     assert found(df, tile=tile) == brute(rows)
