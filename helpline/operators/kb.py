@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helpline.functions.columns import content_hash, nullif_empty, opt, ordered_join, page_of
+from helpline.functions.parts import PART_BYTES, deal_parts
 
 # Default texts of the protocol page (line breaks are real here).
 WHEN_TO_USE_DEFAULT = "This protocol should be used when a customer calls about this specific issue."
@@ -90,13 +91,15 @@ def protocol_steps_text(steps: DataFrame, page_span: int | None = None) -> DataF
                     F.size("ls").cast("bigint").alias("n_steps"))
 
 
-def services_by_company(services: DataFrame, companies: DataFrame, page_span: int | None = None) -> DataFrame:
-    """One document per company with its services, ascending id."""
+def services_by_company(services: DataFrame, companies: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """One document per company with its services, ascending id; a company whose
+    services pass ``part_bytes`` has several, split by position (``parts.deal_parts``)."""
     s = services.select(F.col("CompanyId"), F.struct(
         F.col("Id").cast("string").alias("service_id"), F.col("NombreServicio").alias("name"),
         opt(services, "Descripcion").alias("description"), F.lit("service").alias("type")).alias("svc"),
         F.col("Id").alias("sid"))
-    g = (s.groupBy("CompanyId", page_of("sid", page_span).alias("page_no"))
+    s = deal_parts(s, "CompanyId", "sid", F.octet_length(F.to_json("svc")), part_bytes)
+    g = (s.groupBy("CompanyId", "page_no")
          .agg(F.array_sort(F.collect_list(F.struct(F.col("sid"), F.col("svc")))).alias("ss")))
     e = companies.select(F.col("Id").alias("CompanyId"), F.col("Nombre").alias("enterprise_name"))
     return (g.join(e, "CompanyId")
@@ -106,16 +109,17 @@ def services_by_company(services: DataFrame, companies: DataFrame, page_span: in
 
 
 def clients_by_company(clients: DataFrame, client_companies: DataFrame, companies: DataFrame,
-                       page_span: int | None = None) -> DataFrame:
+                       part_bytes: int = PART_BYTES) -> DataFrame:
     """The intent of the large-client layout -- exploded client-company
-    pairs grouped by company, clients ascending by id."""
+    pairs grouped by company, clients ascending by id; parts as in A3."""
     c = clients.select(F.col("Id").alias("ClienteId"), F.struct(
         F.col("Id").cast("string").alias("client_id"), F.col("NombreCompleto").alias("name"),
         F.lit("client").alias("type"), opt(clients, "Ci").alias("carnetIdentidad"),
         opt(clients, "Email").alias("email"), opt(clients, "NumeroTelf").alias("phoneNumber"),
         opt(clients, "Direccion").alias("address")).alias("cl"))
-    g = (client_companies.select("ClienteId", "EmpresaId").join(c, "ClienteId")
-         .groupBy("EmpresaId", page_of("ClienteId", page_span).alias("page_no"))
+    pairs = client_companies.select("ClienteId", "EmpresaId").join(c, "ClienteId")
+    g = (deal_parts(pairs, "EmpresaId", "ClienteId", F.octet_length(F.to_json("cl")), part_bytes)
+         .groupBy("EmpresaId", "page_no")
          .agg(F.array_sort(F.collect_list(F.struct("ClienteId", "cl"))).alias("cs")))
     e = companies.select(F.col("Id").alias("EmpresaId"), F.col("Nombre").alias("enterprise_name"))
     return (g.join(e, "EmpresaId")
@@ -163,9 +167,9 @@ def client_docs(clients: DataFrame, client_companies: DataFrame, companies: Data
 
 
 def client_docs_by_company(clients: DataFrame, client_companies: DataFrame, companies: DataFrame,
-                           page_span: int | None = None) -> DataFrame:
+                           part_bytes: int = PART_BYTES) -> DataFrame:
     """Above the threshold, one document per company with nested clients."""
-    g = clients_by_company(clients, client_companies, companies, page_span)
+    g = clients_by_company(clients, client_companies, companies, part_bytes)
     doc = F.struct(F.col("company_id").cast("string").alias("enterprise_ids"),
                    F.col("enterprise_name").alias("enterprises_names"), F.col("clients"))
     return g.select(_doc_id("clients_enterprise_", "company_id").alias("doc_id"),
@@ -173,9 +177,9 @@ def client_docs_by_company(clients: DataFrame, client_companies: DataFrame, comp
                     "n_clients", F.to_json(doc, _JSON).alias("body"))
 
 
-def service_docs(services: DataFrame, companies: DataFrame, page_span: int | None = None) -> DataFrame:
+def service_docs(services: DataFrame, companies: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Services of a company as one JSON document."""
-    g = services_by_company(services, companies, page_span)
+    g = services_by_company(services, companies, part_bytes)
     doc = F.struct(F.col("company_id").cast("string").alias("enterprise_id"), F.col("enterprise_name"),
                    F.col("services"))
     return g.select(_doc_id("services_enterprise_", "company_id").alias("doc_id"),
@@ -218,20 +222,20 @@ def client_layout(client_lists: DataFrame, threshold: int = CLIENT_LAYOUT_THRESH
 
 def corpus(companies: DataFrame, clients: DataFrame, client_companies: DataFrame, services: DataFrame,
            protocols: DataFrame, reasons: DataFrame, steps: DataFrame,
-           layout: str = "per_client", page_span: int | None = None) -> DataFrame:
+           layout: str = "per_client", page_span: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """Every document kind in one DataFrame with a content hash. ``layout``:
     'per_client' or 'by_company'; A7 reports which one a client count suggests,
     but a growing table never changes the layout of an export by itself."""
     if layout not in ("per_client", "by_company"):
         raise ValueError(f"unknown layout {layout!r}")
     if layout == "by_company":
-        cl = client_docs_by_company(clients, client_companies, companies, page_span).withColumn("doc_kind", F.lit("clients"))
+        cl = client_docs_by_company(clients, client_companies, companies, part_bytes).withColumn("doc_kind", F.lit("clients"))
     else:
         cl = client_docs(clients, client_companies, companies, page_span).withColumn("doc_kind", F.lit("client"))
     kinds = [
         company_docs(companies).withColumn("doc_kind", F.lit("company")),
         cl,
-        service_docs(services, companies, page_span).withColumn("doc_kind", F.lit("services")),
+        service_docs(services, companies, part_bytes).withColumn("doc_kind", F.lit("services")),
         protocol_docs(protocols, reasons, steps, page_span).withColumn("doc_kind", F.lit("protocol")),
     ]
     u = reduce(DataFrame.unionByName, [k.select(*DOC_COLUMNS) for k in kinds])

@@ -22,10 +22,10 @@ from helpline.plans.q_calls import REQUEST_ID
 from helpline.plans.q_kb import ALL, CORPUS_SQL, P5_SQL, corpus
 from helpline.plans.q_kb import _t as kb_tables
 from helpline.plans.q_text import CHUNK_SQL, STEP
-from helpline.plans.rebuild import ask, rebuild_index
+from helpline.plans.rebuild import ask, index_folder, rebuild_index
 from helpline.plans.sqltext import components_sql, page, vector_sql
 from helpline.schemas import CALLS
-from helpline.session import scratch_path
+from helpline.session import materialize, scratch_path
 from helpline.sinks import index as IX
 from helpline.sinks import writers as K
 from helpline.sources import fixtures as fx
@@ -86,35 +86,36 @@ def q_k1(spark, d):
 
 
 # ------------------------------------------------------------- K2 Markdown
-@register("write_markdown", W(f"SELECT 'protocol' AS doc_kind, CAST(body AS VARCHAR) AS body FROM ({P5_SQL}) p",
-                              "reasons", "protocols", "protocol_steps"))
+@register("write_markdown", W(f"""SELECT 'protocol' AS doc_kind, doc_id, entity_id, title,
+    CASE WHEN entity_id % 5 = 0 THEN CAST(body AS VARCHAR) || chr(12) || '## Page two' || chr(27) || 'f' ELSE CAST(body AS VARCHAR) END AS body
+    FROM ({P5_SQL}) p""", "reasons", "protocols", "protocol_steps"))
 def q_k2(spark, d):
     t = kb_tables(spark, d)
     pages = kb.protocol_docs(t["protocols"], t["reasons"], t["protocol_steps"]).withColumn("doc_kind", F.lit("protocol"))
+    # one page in five holds a form feed and an escape of its own
+    pages = pages.withColumn("body", F.when(F.col("entity_id") % 5 == 0, F.concat("body", F.lit("\f## Page two\x1bf"))).otherwise(F.col("body")))
     path = scratch_path(spark, "markdown")
     K.write_markdown(pages, path)
-    return K.read_markdown(spark, path).select("doc_kind", "body")
+    return K.read_markdown(spark, path, S.DOCUMENT.replace("body string, ", "")).select("doc_kind", "doc_id", "entity_id", "title", "body")
 
 
 # ------------------------------------------------------ S3 folder of files
-@register("scan_document_dir", W(f"""SELECT doc_kind, 'application/json' AS file_type, count(*) AS n_docs
-      FROM ({CORPUS_SQL}) x GROUP BY 1
-    UNION ALL SELECT 'protocol', 'text/plain', count(*) FROM ({P5_SQL}) p""", *ALL))
+@register("scan_document_dir", W(f"""SELECT doc_id, doc_kind, title, content_hash, sha256(body) AS body_hash,
+      CASE doc_kind WHEN 'protocol' THEN 'text/markdown' ELSE 'application/json' END AS file_type FROM ({CORPUS_SQL}) x""", *ALL))
 def q_s3(spark, d):
-    """Both sinks write into one knowledge-base folder; the folder scan reads
-    every file whole, with its path, type and size, and counts the documents
-    each file holds (JSON lines, or pages between page breaks)."""
+    """Both sinks write one knowledge-base folder; the scan gives every document of
+    every file back with its id."""
     base = scratch_path(spark, "kb")
-    K.write_documents(corpus(spark, d), f"{base}/json")
-    # the pages come from what the document sink wrote: the export runs once
-    written = spark.read.schema(DOC_FILE_SCHEMA + ", doc_kind string").json(f"{base}/json")
-    K.write_markdown(written.filter(F.col("doc_kind") == "protocol"), f"{base}/md")
-    files = S.scan_document_dir(spark, base, recursive=True)
-    kind = F.regexp_extract("file_path", r"/doc_kind=([^/]+)/", 1)
-    sep = F.when(F.col("file_type") == "application/json", F.lit("\n")).otherwise(F.lit(K.PAGE_BREAK))
-    n = F.size(F.filter(F.split(F.col("text"), sep), lambda x: x != F.lit("")))  # every record ends with sep
-    return (files.filter(F.col("file_size") > 0)
-            .groupBy(kind.alias("doc_kind"), "file_type").agg(F.sum(n).cast("bigint").alias("n_docs")))
+    _write_folder(spark, d, base)
+    back = S.scan_documents(spark, base)
+    return back.select("doc_id", "doc_kind", "title", "content_hash", F.sha2("body", 256).alias("body_hash"), "file_type")
+
+
+def _write_folder(spark, d, base):
+    """Protocols as Markdown pages, the other kinds as JSON lines."""
+    docs = materialize(corpus(spark, d), "kb-documents")  # the export runs once
+    K.write_documents(docs.where("doc_kind <> 'protocol'"), f"{base}/json")
+    K.write_markdown(docs.where("doc_kind = 'protocol'"), f"{base}/md")
 
 
 # ------------------------------------------------------ K5 calls register
@@ -220,10 +221,13 @@ _REBUILT = f"""SELECT CAST(doc_id AS VARCHAR) || '#' || CAST(i AS VARCHAR) AS no
         FROM ({CORPUS_SQL}) x) c"""
 
 
-@register("rebuild_index", W(f"""WITH rebuilt AS ({_REBUILT})
+_REBUILT_SQL = f"""WITH rebuilt AS ({_REBUILT})
     SELECT n.node_id, ref_doc_id, chunk_no, sha256(text) AS node_hash, doc_hash, CAST({DEFAULT_DIM} AS INTEGER) AS dim,
       coalesce(v.components, '') AS components
-    FROM rebuilt n LEFT JOIN ({components_sql("SELECT node_id, head || text AS text FROM rebuilt")}) v ON v.node_id = n.node_id""", *ALL))
+    FROM rebuilt n LEFT JOIN ({components_sql("SELECT node_id, head || text AS text FROM rebuilt")}) v ON v.node_id = n.node_id"""
+
+
+@register("rebuild_index", W(_REBUILT_SQL, *ALL))
 def q_x10(spark, d):
     """The rebuild job over changing tables: a full build without the clients of one
     company in ten and the steps of one protocol in ten (v1), then an incremental one
@@ -240,3 +244,15 @@ def q_x10(spark, d):
     nodes, vectors = S.load_index(spark, base)
     return nodes.join(vectors.select("node_id", "dim", components(F.col("embedding")).alias("components")), "node_id", "left").select(
         "node_id", "ref_doc_id", "chunk_no", "node_hash", "doc_hash", F.col("dim").cast("int"), "components")
+
+
+@register("rebuild_from_folder", W(_REBUILT_SQL, *ALL))
+def q_x10_folder(spark, d):
+    """The index built from a folder of documents that the sinks wrote: the same nodes,
+    hashes and vectors as from the tables."""
+    base = scratch_path(spark, "kb-folder")
+    _write_folder(spark, d, f"{base}/kb")
+    index_folder(spark, f"{base}/kb", f"{base}/index", "v1")
+    nodes, vectors = S.load_index(spark, f"{base}/index")
+    return nodes.join(vectors.select("node_id", "dim", components(F.col("embedding")).alias("components")), "node_id", "left").select(
+        "node_id", "ref_doc_id", "chunk_no", "node_hash", "doc_hash", F.col("dim").cast("int"), "components")

@@ -11,36 +11,60 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from helpline.operators.calls import first_of_rooms
+from helpline.session import cut_lineage, materialize
 
 
-# Part files stay small enough to be read whole (a folder scan reads one file
-# as one row): at most this many documents per file -- about 10 MB for
-# documents of a kilobyte; a document itself is bounded by PAGE_SPAN members.
-MAX_DOCS_PER_FILE = 10_000
+MAX_DOCS_PER_FILE = 10_000  # transcripts of a part file
+# Documents are dealt by a hash of their id over so many files that one holds about
+# this many bytes.
+FILE_BYTES = 64 << 20
 # Pages of a Markdown part file are separated by a form feed (the plain-text
-# page break); Markdown bodies never contain one.
-PAGE_BREAK = "\f"
+# page break). In a page, ESC f stands for a form feed and ESC ESC for the escape character.
+PAGE_BREAK, ESCAPE = "\f", "\x1b"
+PAGE_HEAD, PAGE_HEAD_END = "<!-- ", " -->\n"
 
 
-def write_documents(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K1: JSON lines partitioned by kind, with ``doc_path`` as the logical name."""
-    out = docs.withColumn("doc_path", F.concat(F.col("doc_id"), F.lit(".json")))
-    (out.write.mode(mode).option("maxRecordsPerFile", MAX_DOCS_PER_FILE)
-     .option("ignoreNullFields", "false").partitionBy("doc_kind").json(path))
-
+def _spread(docs: DataFrame, file_bytes: int) -> DataFrame:
+    """``docs``, written once (their bytes are counted, then they are written again),
+    over files of about ``file_bytes``."""
+    docs = materialize(docs, "documents-to-write")
+    total = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    return docs.repartition(max(1, -(-total // file_bytes)), "doc_id" if "doc_id" in docs.columns else "body")
 
-def write_markdown(pages: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K2: Markdown pages as text files, pages separated by PAGE_BREAK (so a
-    page keeps its line breaks and reads back as one row), partitioned by kind."""
-    cols = ["body"] + (["doc_kind"] if "doc_kind" in pages.columns else [])
-    w = (pages.select(*cols).write.mode(mode).option("maxRecordsPerFile", MAX_DOCS_PER_FILE)
-         .option("lineSep", PAGE_BREAK))
-    (w.partitionBy("doc_kind") if "doc_kind" in cols else w).text(path)
 
-
-def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """Pages written by ``write_markdown``: one row per page (``body``)."""
-    return spark.read.text(path, lineSep=PAGE_BREAK).withColumnRenamed("value", "body")
+def write_documents(docs: DataFrame, path: str, mode: str = "overwrite", file_bytes: int = FILE_BYTES) -> None:
+    """K1: JSON lines partitioned by kind, with ``doc_path`` as the logical name."""
+    out = docs.withColumn("doc_path", F.concat(F.col("doc_id"), F.lit(".json")))
+    _spread(out, file_bytes).write.mode(mode).option("ignoreNullFields", "false").partitionBy("doc_kind").json(path)
+
+
+def write_markdown(pages: DataFrame, path: str, mode: str = "overwrite", file_bytes: int = FILE_BYTES) -> None:
+    """K2: Markdown pages as text files, pages separated by PAGE_BREAK, partitioned by
+    kind. A page opens with a Markdown comment that holds its other columns as JSON, so it
+    reads back with its ``doc_id``; any body survives."""
+    kept = [c for c in pages.columns if c not in ("body", "doc_kind")]
+    head = F.to_json(F.struct(*kept)) if kept else F.lit("{}")
+    head = F.replace(head, F.lit(">"), F.lit("\\u003e"))  # no text closes the comment
+    body = F.replace(F.replace(F.coalesce("body", F.lit("")), F.lit(ESCAPE), F.lit(ESCAPE * 2)), F.lit(PAGE_BREAK), F.lit(ESCAPE + "f"))
+    page = F.concat(F.lit(PAGE_HEAD), F.replace(head, F.lit(PAGE_BREAK), F.lit("\\f")), F.lit(PAGE_HEAD_END), body)
+    out = _spread(pages, file_bytes)
+    w = out.select(page.alias("value"), *[c for c in ("doc_kind",) if c in pages.columns]).write.mode(mode).option("lineSep", PAGE_BREAK)
+    (w.partitionBy("doc_kind") if "doc_kind" in pages.columns else w).text(path)
+
+
+def read_markdown(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Pages written by ``write_markdown``: ``body``, ``head`` (JSON of the other columns)
+    and the partition column; ``schema``: columns to take out of the head."""
+    raw = spark.read.text(path, lineSep=PAGE_BREAK).where(F.col("value") != "")
+    end = F.locate(PAGE_HEAD_END, F.col("value"))
+    said = F.substr("value", end + len(PAGE_HEAD_END))
+    # doubled escapes pair up from the left
+    parts = F.transform(F.split(said, ESCAPE * 2, -1), lambda p: F.replace(p, F.lit(ESCAPE + "f"), F.lit(PAGE_BREAK)))
+    out = raw.select("*", F.substr("value", F.lit(len(PAGE_HEAD) + 1), end - len(PAGE_HEAD) - 1).alias("head"),
+                     F.array_join(parts, ESCAPE).alias("body"))
+    if schema:
+        out = out.select("*", F.from_json("head", schema).alias("_h")).select("*", "_h.*").drop("_h")
+    return out.drop("value")
 
 
 def _read_if_there(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
@@ -72,7 +96,6 @@ def append_calls(new_calls: DataFrame, register_path: str) -> int:
         batch = batch.join(existing.select("room_name"), "room_name", "left_anti")
     # the batch reads the register it appends to: cut lineage first with a
     # reliable checkpoint in the shared spark.checkpoint.dir
-    from helpline.session import cut_lineage
     batch = cut_lineage(batch)
     n = batch.count()
     if n:

@@ -33,6 +33,25 @@ def scan_document_dir(spark: SparkSession, path: str, glob: str = "*", recursive
                      F.col("_metadata.file_modification_time").alias("last_modified"), F.col("value").alias("text"))
 
 
+DOCUMENT = "doc_id string, entity_id long, page_no long, title string, body string, content_hash string"
+
+
+def scan_documents(spark: SparkSession, path: str) -> DataFrame:
+    """S3: the documents of a knowledge-base folder, one row each with its id, whatever
+    file holds it: JSON lines (``write_documents``) and Markdown pages
+    (``write_markdown``), with the kind of their sub-folder. Files of both are split over
+    tasks by Spark; none is read whole. A document that both hold comes twice, told apart
+    by ``file_type``."""
+    from helpline.sinks.writers import read_markdown
+    columns = [c.split()[0] for c in DOCUMENT.split(", ")]
+
+    def found(df: DataFrame, ext: str) -> DataFrame:
+        return df.select("doc_kind", *columns, F.lit(MIME[ext]).alias("file_type"))
+    json = spark.read.schema(DOCUMENT + ", doc_kind string").option("pathGlobFilter", "*.json").option("basePath", path).json(f"{path}/json")
+    pages = read_markdown(spark, f"{path}/md", DOCUMENT.replace("body string, ", ""))
+    return found(json, "json").unionByName(found(pages, "md"))
+
+
 def scan_transcripts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Transcript files ``{"items": [...]}``. ``multi_line=True`` is the
     stored layout, one (pretty-printed) transcript per file, named
