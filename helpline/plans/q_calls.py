@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helpline.functions.columns import ACCENTED, PAGE_SPAN, UNACCENTED
 from helpline.operators import calls as C
 from helpline.operators import evaluate as E
+from helpline.operators import language as LG
 from helpline.operators import outcomes as O
 from helpline.plans.catalog import register
 from helpline.plans.sqltext import lit, page
@@ -16,6 +17,7 @@ from helpline.sinks.writers import write_transcripts
 from helpline.sources import fixtures as fx
 from helpline.sources.files import scan_transcripts
 from helpline.sources.fixtures import with_fixtures as W
+from helpline.sources.tables import read_table
 
 ROLE = "CASE WHEN role = 'assistant' THEN 'Assistant' ELSE 'User' END"
 FOLD = f"lower(translate(text, '{ACCENTED}', '{UNACCENTED}'))"
@@ -204,11 +206,38 @@ def q_c6(spark, d):
     return O.answered_before_identified(fx.call_turns(spark, d))
 
 
-@register("language_policy", W(_src(C7_SQL, "turns"), "turns"))
-def q_c7(spark, d):
+@register("language_policy_words", W(_src(C7_SQL, "turns"), "turns"))
+def q_c7_words(spark, d):
+    """C7 by a short list of stop words, which needs no training."""
     return O.language_policy(fx.turns(spark, d))
 
 
+def _trigrams_sql(rows: str) -> str:
+    """``(id, bucket, n)`` of ``rows(id, t)``, padded texts."""
+    return f"""SELECT id, bucket, count(*) AS n FROM (
+      SELECT id, ({LG.A} * unicode(t[p:p]) + {LG.B} * unicode(t[p + 1:p + 1]) + unicode(t[p + 2:p + 2])) % {LG.BUCKETS} AS bucket
+      FROM (SELECT id, t, unnest(range(1, length(t) - 1)) AS p FROM ({rows}) r) x) y GROUP BY 1, 2"""
+
+
+_PADDED = "' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g')) || ' '"
+
+
+@register("language_policy", W(f"""WITH grams AS ({_trigrams_sql(f"SELECT lang AS id, {_PADDED} AS t FROM documents WHERE lang IS NOT NULL")}),
+    langs AS (SELECT id AS lang, sum(n) + {LG.BUCKETS} AS total FROM grams GROUP BY 1),
+    asked AS (SELECT row_number() OVER () AS id, call_id, pos, {_PADDED} AS t FROM turns WHERE role = 'assistant'),
+    said AS ({_trigrams_sql("SELECT id, t FROM asked")}),
+    sums AS (SELECT s.id, l.lang, sum(s.n * ln((coalesce(g.n, 0) + 1) / l.total)) AS score, sum(s.n) AS grams
+      FROM said s CROSS JOIN langs l LEFT JOIN grams g ON g.id = l.lang AND g.bucket = s.bucket GROUP BY 1, 2),
+    best AS (SELECT id, CASE WHEN any_value(grams) >= {LG.LEAST} THEN arg_max(lang, score) ELSE '{LG.UNKNOWN}' END AS lang FROM sums GROUP BY 1)
+    SELECT a.call_id, a.pos, coalesce(b.lang, '{LG.UNKNOWN}') AS detected_lang,
+      coalesce(b.lang, '{LG.UNKNOWN}') NOT IN ('{O.POLICY_LANGUAGE}', '{LG.UNKNOWN}') AS violation
+    FROM asked a LEFT JOIN best b ON b.id = a.id""", "turns"))
+def q_c7(spark, d):
+    """C7 by a model trained on the languages of all documents."""
+    model = LG.fit_languages(read_table(spark, d, "documents", ["text", "lang"]))
+    return LG.language_policy(fx.turns(spark, d), model)
+
+
 @register("valid_requests", W(P7_SQL, "eval_requests"))
 def q_p7(spark, d):
     return E.valid_requests(fx.eval_requests(spark, d))

@@ -212,7 +212,17 @@ def q_a12(spark, d):
     return kb.company_coverage(fx.companies(spark, d), fx.client_companies(spark, d), fx.services(spark, d))
 
 
-@register("dropped_by_join", W("""
+# some rows gone from each side, so that every kind of dangling key is there
+_GAPS = {"companies": "Id % 7 <> 3", "clients": "Id % 11 <> 5", "reasons": "Id <> 2", "client_companies": "ClienteId % 13 <> 4"}
+
+
+def _gaps_sql(sql: str) -> str:
+    for n, cond in _GAPS.items():
+        sql = sql.replace(f"FROM {n} ", f"FROM (SELECT * FROM {n} WHERE {cond}) ")
+    return sql
+
+
+@register("dropped_by_join", W(_gaps_sql("""
     SELECT 'client_without_company' AS dropped_by, Id AS key_id FROM clients c
       WHERE NOT EXISTS (SELECT 1 FROM client_companies cc WHERE cc.ClienteId = c.Id)
     UNION ALL SELECT DISTINCT 'pair_without_company', EmpresaId FROM client_companies cc
@@ -222,19 +232,26 @@ def q_a12(spark, d):
     UNION ALL SELECT 'service_without_company', Id FROM services s
       WHERE NOT EXISTS (SELECT 1 FROM companies e WHERE e.Id = s.CompanyId)
     UNION ALL SELECT 'protocol_without_reason', Id FROM protocols p
-      WHERE NOT EXISTS (SELECT 1 FROM reasons r WHERE r.Id = p.ReasonId)""", *ALL))
+      WHERE NOT EXISTS (SELECT 1 FROM reasons r WHERE r.Id = p.ReasonId)"""), *ALL))
 def q_j9(spark, d):
-    t = _t(spark, d)
+    t = {n: df.where(_GAPS[n]) if n in _GAPS else df for n, df in _t(spark, d).items()}
     return kb.dropped_by_join(t["clients"], t["client_companies"], t["companies"], t["services"],
                               t["protocols"], t["reasons"])
 
 
 @register("scan_entities", W(" UNION ALL ".join(
-    f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in ALL), *ALL))
+    f"""SELECT '{n}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_known,
+      CAST(sum(CAST('0x' || substr(md5(CAST({c} AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM {n}"""
+    for n in ALL for c in kb.REQUIRED[n]), *ALL))
 def q_s1(spark, d):
+    """Rows, known values and a checksum of the values of every required column."""
     t = _t(spark, d)
-    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
-             for n, df in t.items()]
+    parts = []
+    for n, df in t.items():
+        told = [F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n_known"), F.sum(
+            F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 8), 16, 10).cast("bigint")).alias("checksum")) for c in kb.REQUIRED[n]]
+        one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*told).alias("c"))
+        parts.append(one.select(F.lit(n).alias("table_name"), "n_rows", F.explode("c").alias("c")).select("table_name", "c.column_name", "n_rows", "c.n_known", "c.checksum"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -112,14 +112,26 @@ def q_x5(spark, d):
     return M.rag_prompt(q, _lexical(spark, d), _docs(spark, d))
 
 
+# the passages, and for each one a question that no document answers
+_ASKED_SQL = f"""SELECT item_id, text FROM benchmark UNION ALL
+    SELECT item_id + {fx.NOT_FOUND_OFFSET}, '¿qq' || CAST(item_id AS VARCHAR) || 'zz?' FROM benchmark"""
+
+
+def _asked(spark, d):
+    q = read_table(spark, d, "benchmark", ["item_id", "text"]).withColumnRenamed("item_id", "query_id")
+    return q.unionByName(q.select((F.col("query_id") + F.lit(fx.NOT_FOUND_OFFSET)).alias("query_id"),
+                                  F.concat(F.lit("¿qq"), F.col("query_id").cast("string"), F.lit("zz?")).alias("text")))
+
+
 @register("answer", f"""SELECT b.item_id AS query_id, CASE WHEN h.item_id IS NULL THEN 'error' ELSE 'ok' END AS status,
     h.item_id AS answer_doc_id,
     CASE WHEN h.item_id IS NULL THEN 'ERROR: no matching document' ELSE 'SEARCH RESULTS:' || chr(10) || dd.text END AS answer
-    FROM benchmark b LEFT JOIN (SELECT * FROM ({LEX_SQL}) x WHERE hit_rank = 1) h ON h.query_id = b.item_id
+    FROM ({_ASKED_SQL}) b LEFT JOIN (SELECT * FROM ({bm25_sql(f"SELECT item_id AS query_id, text FROM ({_ASKED_SQL}) a0",
+                                                              "SELECT doc_id AS item_id, text FROM documents", 1)}) x) h ON h.query_id = b.item_id
     LEFT JOIN documents dd ON dd.doc_id = h.item_id""")
 def q_x6(spark, d):
-    q = read_table(spark, d, "benchmark", ["item_id", "text"]).withColumnRenamed("item_id", "query_id")
-    return M.answer(q, _lexical(spark, d), _docs(spark, d))
+    q, docs = _asked(spark, d), _docs(spark, d)
+    return M.answer(q, L.lexical_join(q, docs.select("doc_id", "text"), k=1), docs)
 
 
 @register("fuzzy_entity_match", W(f"""SELECT query_id, spoken, person_id, matched_name, CAST(heard AS INTEGER) AS heard,
