@@ -1,28 +1,33 @@
-"""Language-model scores by a weighted backoff automaton over word bigrams.
-
-Model: words are states, with the root as the state without history. An arc from
-a state to the next word exists for every bigram of the training texts, weighted
-by its smoothed probability (absolute discounting, interpolated with the root);
-the failure arc to the root carries what the discounts left. The root's arcs are
-word probabilities with add-one-half smoothing, one share kept for an unknown
-word, so every state's outgoing mass is one. A text is one left-to-right walk
-that carries the state and adds log10 weights: the arc if there is one, else the
-failure arc and then the root's arc.
-
-Scale: no table of the model is ever in one place. Texts are packed into blocks
-of about a million tokens, written once. Blocks ask hash buckets for the training
-counts of their bigrams and get them back in order; each distinct bigram is owned
-by one block, which counts it for its history; a second round gathers word counts
-and successors per history. Then every block has just the part of the automaton
-that its texts can reach. What moves are packed arrays of 48-bit keys and counts,
-in proportion to the distinct bigrams of the blocks; a frequent word or bigram is
-one entry per block. Keys are 64-bit hashes; with a bucket of a million keys two
-of them share bucket and 48 bits with probability of about 1 in 500.
-
-Edge cases: a null text is empty and scores its end alone; a text longer than a
-block is cut, each part but the first led in by one word of context; repeated
-rows and null ids give one row each; an empty table gives no rows; without
-training texts every word is unknown; extra columns are ignored.
+"""Language-model scores by a weighted backoff automaton over word trigrams.
+
+Model: states are the histories of two words, of one word, and the root without history.
+An arc from a state to the next word exists for every trigram (bigram) of the training
+texts that continues it, weighted by its smoothed probability (absolute discounting,
+interpolated with the state's failure target); the failure arc of a pair leads to its
+last word's state, that of a word to the root, and carries what the discounts left. The
+root's arcs are word probabilities with add-one-half smoothing, one share kept for an
+unknown word, so every state's outgoing mass is one. A text is one left-to-right walk
+that carries the state and adds log10 weights: the arc if there is one, else the failure
+arc, and so on down to the root's arc.
+
+Scale: no table of the model is ever in one place. Texts are packed into blocks of about
+a million tokens, written once. Level by level, from trigrams down to words, blocks ask
+hash buckets for the training counts of their n-grams and get them back in order; each
+distinct n-gram is owned by one block, which counts it for its history in the next
+round. Then every block has just the part of the automaton that its texts can reach.
+What moves are packed arrays of 48-bit keys and counts, in proportion to the distinct
+n-grams of the blocks; a frequent n-gram is one entry per block, so its bucket grows by an
+entry per million tokens. Keys are 64-bit hashes; with a bucket of a million keys two of
+them share bucket and 48 bits with probability of about 1 in 500.
+
+Shuffle files of a level are of no use once its answers are written; Spark removes them
+when the driver's garbage is collected, which ``_release`` asks for. Without it the job gives the
+same rows and holds the files of all levels until it ends.
+
+Edge cases: a null text is empty and scores its end alone; a text longer than a block is
+cut, each part but the first led in by two words of context; repeated rows and null ids
+give one row each; an empty table gives no rows; without training texts every word is
+unknown; extra columns are ignored; equal counts need no order.
 """
 
 from __future__ import annotations
@@ -44,9 +49,10 @@ END = b"\n"         # no word holds a line feed
 TOTAL = "<u8"       # counts over all blocks
 
 BLOCK_SCHEMA = ("block bigint, row array<bigint>, doc_id array<bigint>, held array<boolean>, size array<int>, "
-                "lead array<boolean>, codes binary, keys binary, n_tokens bigint")
+                "lead array<int>, codes binary, keys binary, n_tokens bigint")
 ASK_SCHEMA = "bucket bigint, block bigint, keys binary, count binary, owned binary"
-ANSWER_SCHEMA = "level int, block bigint, bucket bigint, total binary, extra binary, n bigint, types bigint, once bigint, twice bigint"
+ANSWER_SCHEMA = ("level int, block bigint, bucket bigint, total binary, successors binary, owner binary, "
+                 "n bigint, types bigint, once bigint, twice bigint")
 
 
 def pack(a: np.ndarray, kind: str = "<u4") -> bytes:
@@ -99,8 +105,8 @@ def make_blocks(batches):
             words = text.encode("utf-8").lower().split()
             words.append(END)
             for at in range(0, len(words), BLOCK):
-                piece = words[max(0, at - 1):at + BLOCK]
-                pieces.append((part + row, None if pd.isna(doc_id) else int(doc_id), bool(held), len(piece), at > 0))
+                piece = words[max(0, at - 2):at + BLOCK]
+                pieces.append((part + row, None if pd.isna(doc_id) else int(doc_id), bool(held), len(piece), min(at, 2)))
                 tokens += piece
                 if len(tokens) >= BLOCK:
                     yield flush()
@@ -110,30 +116,47 @@ def make_blocks(batches):
         yield flush()
 
 
+def distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and the place of each among them."""
+    return np.unique(pairs, return_inverse=True)
+
+
 class Block:
-    """A block unpacked: tokens, which of them count, and its distinct bigrams."""
+    """A block unpacked: tokens, which of them count, and its distinct n-grams. A bigram
+    is (left, right) of word codes, a trigram (pair, last) of a bigram and a word; ``pair_at``
+    and ``triple_at`` tell the bigram and trigram that end at a token (-1: none)."""
 
     def __init__(self, r):
         self.codes = unpack(r["codes"]).astype(np.int64)
         self.keys = np.frombuffer(r["keys"], dtype="<u8")
         self.size = np.asarray(r["size"], dtype=np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.size)[:-1]])
-        held, lead = np.asarray(r["held"], bool), np.asarray(r["lead"], bool)
-        self.lead = lead
-        own = np.ones(len(self.codes), bool)
-        own[self.begin[lead]] = False              # a leading word is context only
-        follows = np.ones(len(self.codes), bool)
-        follows[self.begin] = False
-        train = ~np.repeat(held, self.size)
-        self.word_counts = np.bincount(self.codes[own & train], minlength=len(self.keys))
-        at = np.flatnonzero(follows)
-        pairs, inverse = np.unique((self.codes[at - 1] << 32) | self.codes[at], return_inverse=True)
+        self.lead = np.asarray(r["lead"], np.int64)
+        place = np.arange(len(self.codes)) - np.repeat(self.begin, self.size)
+        self.own = place >= np.repeat(self.lead, self.size)  # leading words are context only
+        train = self.own & ~np.repeat(np.asarray(r["held"], bool), self.size)
+        self.word_counts = np.bincount(self.codes[train], minlength=len(self.keys))
+        at = np.flatnonzero(place >= 1)
+        pairs, inverse = distinct((self.codes[at - 1] << 32) | self.codes[at])
         self.left, self.right = pairs >> 32, pairs & 0xFFFFFFFF
         self.pair_counts = np.bincount(inverse[train[at]], minlength=len(pairs))
+        self.pair_at = np.full(len(self.codes), -1)
+        self.pair_at[at] = inverse
+        at = np.flatnonzero(place >= 2)
+        triples, inverse = distinct((self.pair_at[at - 1] << 32) | self.codes[at])
+        self.pair, self.last = triples >> 32, triples & 0xFFFFFFFF
+        self.triple_counts = np.bincount(inverse[train[at]], minlength=len(triples))
+        self.triple_at = np.full(len(self.codes), -1)
+        self.triple_at[at] = inverse
+        self.tail = np.zeros(len(triples), np.int64)  # the bigram that ends the trigram
+        self.tail[inverse] = self.pair_at[at]
 
     def pair_keys(self) -> np.ndarray:
         return mix(self.keys[self.left], self.keys[self.right])
 
+    def triple_keys(self) -> np.ndarray:
+        return mix(self.pair_keys()[self.pair], self.keys[self.last] ^ np.uint64(0x5851F42D4C957F2D))
+
 
 def ask(block: int, keys: np.ndarray, counts: np.ndarray, owned: np.ndarray | None, buckets: int):
     """One row per bucket that the keys fall into, in the keys' order."""
@@ -147,22 +170,23 @@ def ask(block: int, keys: np.ndarray, counts: np.ndarray, owned: np.ndarray | No
     return pd.DataFrame(rows, columns=["bucket", "block", "keys", "count", "owned"])
 
 
-def gather(answers: pd.DataFrame, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Answers of all buckets, back in the order of the keys."""
+def gather(answers: pd.DataFrame, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Totals, successors and ownership from all buckets, back in the order of the keys."""
     to = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
-    total, extra = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    out = [np.zeros(len(keys), np.int64) for _ in range(3)]
     if len(keys):
         a = answers.sort_values("bucket")
-        total[order] = np.concatenate([unpack(x, TOTAL) for x in a["total"]])
-        extra[order] = np.concatenate([unpack(x, TOTAL) for x in a["extra"]])
-    return total, extra
+        for x, (c, kind) in zip(out, (("total", TOTAL), ("successors", TOTAL), ("owner", "<u4"))):
+            if a[c].notna().all():
+                x[order] = np.concatenate([unpack(v, kind) for v in a[c]])
+    return tuple(out)
 
 
 def answer(level: int):
-    """Sums a bucket's counts over all blocks. Extra: for bigrams 1 where the
-    block owns the bigram (the first block with training counts of it); for
-    words the number of distinct successors."""
+    """Sums a bucket's counts over all blocks. Successors: the distinct n-grams that
+    continue the key (not for trigrams). Owner: 1 where the block is the first with
+    training counts of the key (not for words)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         keys = [wide48(x) for x in pdf["keys"]]
@@ -171,56 +195,73 @@ def answer(level: int):
         count = np.concatenate([unpack(x) for x in pdf["count"]]).astype(np.int64)
         total = np.zeros(len(types), np.int64)
         np.add.at(total, inverse, count)
-        if level == 2:
-            extra = np.zeros(len(count), np.int64)
-            seen = np.flatnonzero(count)
-            extra[seen[np.unique(inverse[seen], return_index=True)[1]]] = 1
-        else:
-            owned = np.concatenate([unpack(x) for x in pdf["owned"]])
-            extra = np.bincount(inverse, weights=owned, minlength=len(types)).astype(np.int64)[inverse]
         cut = np.cumsum(size)[:-1]
-        rows = [(level, b, k, pack(t, TOTAL), pack(e, TOTAL), 0, 0, 0, 0) for b, k, t, e in zip(
-            pdf["block"], pdf["bucket"], np.split(total[inverse], cut), np.split(extra, cut))]
-        rows.append((level, None, None, None, None, int(total.sum()), int((total > 0).sum()),
+        owner, after = [None] * len(size), [None] * len(size)
+        if level > 1:
+            own = np.zeros(len(count), np.int64)
+            seen = np.flatnonzero(count)
+            own[seen[np.unique(inverse[seen], return_index=True)[1]]] = 1
+            owner = [pack(x) for x in np.split(own, cut)]
+        if level < 3:
+            owned = np.concatenate([unpack(x) for x in pdf["owned"]]).astype(np.int64)
+            sums = np.zeros(len(types), np.int64)
+            np.add.at(sums, inverse, owned)
+            after = [pack(x, TOTAL) for x in np.split(sums[inverse], cut)]
+        rows = [(level, b, k, pack(t, TOTAL), s, o, 0, 0, 0, 0) for b, k, t, s, o in zip(
+            pdf["block"], pdf["bucket"], np.split(total[inverse], cut), after, owner)]
+        rows.append((level, None, None, None, None, None, int(total.sum()), int((total > 0).sum()),
                      int((total == 1).sum()), int((total == 2).sum())))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER_SCHEMA.split(", ")])
         return out.astype({"block": "Int64", "bucket": "Int64"})
     return run
 
 
+def left_over(history: np.ndarray, successors: np.ndarray, discount: float) -> np.ndarray:
+    """Of states: the mass that the discounts leave to the failure arc (1 for a state
+    without arcs: it passes on)."""
+    left = np.ones(len(history))
+    seen = successors > 0
+    left[seen] = discount * successors[seen] / history[seen]
+    return left
+
+
 class Automaton:
-    """The part of the model one block can reach: arcs by (state, word), failure
-    weights by state, root weights by word; all log10."""
+    """The part of the model that a block can reach; weights are log10. ``pair_fail`` and
+    ``word_fail`` are failure arcs, ``triple`` and ``pair`` arcs (nan: there is none)."""
 
-    def __init__(self, block: Block, words: np.ndarray, successors: np.ndarray, pairs: np.ndarray,
-                 n_tokens: int, n_types: int, discount: float):
+    def __init__(self, block: Block, words: np.ndarray, word_successors: np.ndarray, pairs: np.ndarray, pair_successors: np.ndarray,
+                 triples: np.ndarray, n_tokens: int, n_types: int, discounts: tuple[float, float]):
+        d2, d3 = discounts
         self.root = np.log10((words + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
-        seen = words > 0
-        left = np.zeros(len(words))
-        left[seen] = discount * successors[seen] / words[seen]
-        # a state without arcs passes on with weight 1; the end of a text is never a history
-        self.fail = np.where(left > 0, np.log10(np.where(left > 0, left, 1.0)), 0.0)
+        word_left = left_over(words, word_successors, d2)
+        pair_left = left_over(pairs, pair_successors, d3)
+        self.word_fail, self.pair_fail = np.log10(word_left), np.log10(pair_left)
+        # probability of a word after one word, by arc or by failure
+        low = word_left[block.left] * 10.0 ** self.root[block.right]
         has = pairs > 0
-        h, w = block.left[has], block.right[has]
-        weight = np.log10((pairs[has] - discount) / words[h] + left[h] * 10.0 ** self.root[w])
-        self.arcs = dict(zip(((h << 32) | w).tolist(), weight.tolist()))
-
-    def walk(self, codes: list[int], lead: bool) -> float:
-        arcs, fail, root = self.arcs.get, self.fail_list, self.root_list
-        total, at = 0.0, 0
-        if not lead:
-            total = root[codes[0]]
-        state = codes[0] << 32
-        for at in range(1, len(codes)):
-            w = codes[at]
-            weight = arcs(state | w)
-            total += fail[state >> 32] + root[w] if weight is None else weight
-            state = w << 32
-        return total
-
-    def prepare(self):
-        self.fail_list, self.root_list = self.fail.tolist(), self.root.tolist()
-        return self
+        low[has] += (pairs[has] - d2) / words[block.left[has]]
+        self.pair = np.where(has, np.log10(low), np.nan)
+        self.triple = np.full(len(triples), np.nan)
+        has = triples > 0
+        # the bigram that ends a seen trigram is seen too: its arc holds the lower probability
+        self.triple[has] = np.log10((triples[has] - d3) / pairs[block.pair[has]]
+                                    + pair_left[block.pair[has]] * low[block.tail[has]])
+
+    def walk(self, block: Block) -> np.ndarray:
+        """Weight of every token, read from left to right: the state after a token is the
+        pair that ends there (or the word, at the start of a text)."""
+        codes, pair_at, triple_at = block.codes, block.pair_at, block.triple_at
+        before = np.concatenate([[0], codes[:-1]])
+        score = self.root[codes]                                     # from the root
+        second = pair_at >= 0
+        arc = np.where(second, self.pair[pair_at], np.nan) if len(self.pair) else np.full(len(codes), np.nan)
+        score = np.where(second, np.where(np.isnan(arc), self.word_fail[before] + score, arc), score)
+        third = triple_at >= 0
+        if third.any():
+            arc = np.where(third, self.triple[triple_at], np.nan)
+            state = np.concatenate([[0], pair_at[:-1]])
+            score = np.where(third, np.where(np.isnan(arc), self.pair_fail[state] + score, arc), score)
+        return score
 
 
 def _release(spark: SparkSession) -> None:
@@ -240,48 +281,61 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     n = blocks.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
     buckets = max(1, -(-n // BUCKET))
 
-    def ask_pairs(batches):
+    def ask_triples(batches):
         for b in batches:
             for _, r in b.iterrows():
                 x = Block(r)
-                yield ask(r["block"], x.pair_keys(), x.pair_counts, None, buckets)
+                yield ask(r["block"], x.triple_keys(), x.triple_counts, None, buckets)
 
-    pair_answers = materialize(blocks.mapInPandas(ask_pairs, ASK_SCHEMA).groupBy("bucket").applyInPandas(
-        answer(2), ANSWER_SCHEMA), "lm-pairs")
-    _release(spark)
+    def ask_pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x = Block(left.iloc[0])
+        owner = gather(right, x.triple_keys(), buckets)[2]
+        owned = np.bincount(x.pair[owner > 0], minlength=len(x.left))
+        return ask(left["block"].iloc[0], x.pair_keys(), x.pair_counts, owned, buckets)
 
     def ask_words(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x = Block(left.iloc[0])
-        _, owner = gather(right, x.pair_keys(), buckets)
+        owner = gather(right, x.pair_keys(), buckets)[2]
         owned = np.bincount(x.left[owner > 0], minlength=len(x.keys))
         return ask(left["block"].iloc[0], x.keys, x.word_counts, owned, buckets)
 
-    word_answers = materialize(
-        blocks.groupBy("block").cogroup(pair_answers.where("block is not null").groupBy("block"))
-        .applyInPandas(ask_words, ASK_SCHEMA).groupBy("bucket").applyInPandas(answer(1), ANSWER_SCHEMA), "lm-words")
-    _release(spark)
-    stats = {r["level"]: r for r in pair_answers.union(word_answers).where("block is null").groupBy("level").agg(
+    def answered(asked: DataFrame, level: int, name: str) -> DataFrame:
+        out = materialize(asked.groupBy("bucket").applyInPandas(answer(level), ANSWER_SCHEMA), name)
+        _release(spark)
+        return out
+
+    def down(told: DataFrame, asking) -> DataFrame:
+        told = told.where("block is not null").select("block", "bucket", "total", "successors", "owner")
+        return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(asking, ASK_SCHEMA)
+
+    triple_answers = answered(blocks.mapInPandas(ask_triples, ASK_SCHEMA), 3, "lm-triples")
+    pair_answers = answered(down(triple_answers, ask_pairs), 2, "lm-pairs")
+    word_answers = answered(down(pair_answers, ask_words), 1, "lm-words")
+    every = triple_answers.union(pair_answers).union(word_answers)
+    stats = {r["level"]: r for r in every.where("block is null").groupBy("level").agg(
         *[F.sum(c).alias(c) for c in ("n", "types", "once", "twice")]).collect()}
     n_tokens, n_types = (int(stats[1]["n"]), int(stats[1]["types"])) if 1 in stats else (0, 0)
-    once, twice = (int(stats[2]["once"]), int(stats[2]["twice"])) if 2 in stats else (0, 0)
-    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+
+    def discount(level: int) -> float:
+        once, twice = (int(stats[level]["once"]), int(stats[level]["twice"])) if level in stats else (0, 0)
+        return min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+    discounts = discount(2), discount(3)
 
     def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         r = left.iloc[0]
         x = Block(r)
-        pairs, _ = gather(right[right["level"] == 2], x.pair_keys(), buckets)
-        words, successors = gather(right[right["level"] == 1], x.keys, buckets)
-        a = Automaton(x, words, successors, pairs, n_tokens, n_types, discount).prepare()
-        root, known = a.root[x.codes], words[x.codes] > 0
+        of = lambda level, keys: gather(right[right["level"] == level], keys, buckets)
+        triples, (pairs, pair_successors, _), (words, successors, _) = of(3, x.triple_keys())[0], of(2, x.pair_keys()), of(1, x.keys)
+        a = Automaton(x, words, successors, pairs, pair_successors, triples, n_tokens, n_types, discounts)
+        weight, base, known = a.walk(x), a.root[x.codes], words[x.codes] > 0
         rows = []
         for row, doc_id, h, size, lead, begin in zip(r["row"], r["doc_id"], r["held"], x.size, x.lead, x.begin):
             own = slice(begin + int(lead), begin + size)
-            rows.append((row, doc_id, h, size - int(lead), int(known[own].sum()), float(root[own].sum()),
-                         a.walk(x.codes[begin:begin + size].tolist(), bool(lead))))
+            rows.append((row, doc_id, h, size - int(lead), int(known[own].sum()), float(base[own].sum()), float(weight[own].sum())))
         out = pd.DataFrame(rows, columns=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
         return out.astype({"doc_id": "Int64"})
 
-    answers = pair_answers.union(word_answers).where("block is not null")
+    answers = every.where("block is not null").select("level", "block", "bucket", "total", "successors", "owner")
     parts = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         walk, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[

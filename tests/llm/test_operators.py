@@ -40,7 +40,7 @@ def test_lm_equals_brute_force(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "BUCKET", 25)
     got = sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 8), round(r.score, 8), r.held_out, r.train_tokens)
                  for r in lm.score(docs).collect())
-    bags, uni, bi = [], Counter(), Counter()
+    bags, uni, bi, tri = [], Counter(), Counter(), Counter()
     for i, t in TEXTS:
         w = (t or "").encode().lower().split() + [b"\n"]
         held = zlib.crc32(str(i if i is not None else "").encode()) % 5 == 1
@@ -48,27 +48,45 @@ def test_lm_equals_brute_force(spark, docs, monkeypatch):
         if not held:
             uni.update(w)
             bi.update(zip(w, w[1:]))
+            tri.update(zip(w, w[1:], w[2:]))
     n, v = sum(uni.values()), len(uni)
-    once, twice = (sum(c == k for c in bi.values()) for k in (1, 2))
-    d = min(0.95, max(0.1, once / (once + 2 * twice)))
-    after = Counter(h for h, _ in bi)
+
+    def discount(counts):
+        once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+        return min(0.95, max(0.1, once / (once + 2 * twice)))
+    d2, d3 = discount(bi), discount(tri)
+    after, after2 = Counter(h for h, _ in bi), Counter((a, b) for a, b, _ in tri)
     p = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda h, w: max(bi[h, w] - d2, 0) / uni[h] + d2 * after[h] / uni[h] * p(w) if after[h] else p(w)
+    p3 = lambda g, h, w: (max(tri[g, h, w] - d3, 0) + d3 * after2[g, h] * p2(h, w)) / bi[g, h] if after2[g, h] else p2(h, w)
     want = []
     for i, w, held in bags:
-        s = math.log10(p(w[0]))
-        for h, x in zip(w, w[1:]):
-            s += math.log10(max(bi[h, x] - d, 0) / uni[h] + d * after[h] / uni[h] * p(x) if uni[h] else p(x))
+        s = math.log10(p(w[0])) + sum(math.log10(p2(h, x)) for h, x in zip(w[:1], w[1:2]))
+        s += sum(math.log10(p3(*x)) for x in zip(w, w[1:], w[2:]))
         want.append((i or -1, len(w), sum(uni[x] > 0 for x in w), round(sum(math.log10(p(x)) for x in w), 8), round(s, 8), held, n))
     assert got == sorted(want)
 
 
-def test_lm_state_mass_is_one():
-    block = type("B", (), {"left": np.array([0, 0, 1]), "right": np.array([1, 2, 2])})()
-    a = lm.Automaton(block, np.array([4, 2, 3]), np.array([2, 1, 0]), np.array([3, 1, 2]), 9, 3, 0.5).prepare()
-    unknown = 0.5 / (9 + 0.5 * 4)
-    for state in range(3):
-        mass = sum(10 ** a.arcs.get((state << 32) | w, a.fail[state] + a.root[w]) for w in range(3)) + 10 ** a.fail[state] * unknown
-        assert abs(mass - 1) < 1e-9
+def test_lm_mass_of_every_state_is_one():
+    """Words 0 to 2, the end 3 and an unknown word after every history of one and of two words."""
+    tokens = [*np.random.default_rng(4).integers(0, 3, 60), 3]
+    n, asked = len(tokens), [(a, b, c) for a in range(3) for b in range(3) for c in range(4)]
+    block = lm.Block({"codes": lm.pack(np.array([*tokens, *[x for t in asked for x in t]])), "keys": np.arange(4, dtype="<u8").tobytes(),
+                      "size": [n] + [3] * len(asked), "held": [False] + [True] * len(asked), "lead": [0] * (1 + len(asked))})
+    words, pairs, triples = block.word_counts, block.pair_counts, block.triple_counts
+    a = lm.Automaton(block, words, np.bincount(block.left[pairs > 0], minlength=4), pairs,
+                     np.bincount(block.pair[triples > 0], minlength=len(pairs)), triples, n, 4, (0.5, 0.7))
+    weight = a.walk(block)
+    unknown = 0.5 / (n + 0.5 * 5)
+    after_two = {t: 10 ** weight[n + 3 * k + 2] for k, t in enumerate(asked)}
+    after_one = {t[:2]: 10 ** weight[n + 3 * k + 1] for k, t in enumerate(asked)}
+    pair = {(int(x), int(y)): i for i, (x, y) in enumerate(zip(block.left, block.right))}
+    for g in range(3):
+        ends = 10 ** a.pair[pair[g, 3]] if (g, 3) in pair and pairs[pair[g, 3]] else 10 ** (a.word_fail[g] + a.root[3])
+        assert abs(sum(after_one[g, h] for h in range(3)) + ends + 10 ** a.word_fail[g] * unknown - 1) < 1e-9
+        for h in range(3):
+            mass = sum(after_two[g, h, w] for w in range(4))
+            assert abs(mass + 10 ** (a.pair_fail[pair[g, h]] + a.word_fail[h]) * unknown - 1) < 1e-9
 
 
 def test_chat_round_trip_and_layouts(spark):
