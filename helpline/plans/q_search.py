@@ -47,6 +47,16 @@ def q_j5(spark, d):
     return h.select("query_id", "item_id", F.col("hit_rank").cast("int"), F.round("score", 6).alias("score"))
 
 
+@register("vector_join_pruned", f"""SELECT query_id, item_id, CAST(hit_rank AS INTEGER) AS hit_rank, round(score, 6) AS score
+    FROM ({_RANKED}) r WHERE hit_rank <= 5""")
+def q_j5_pruned(spark, d):
+    """J5 through trained cells: the same rows, cells that cannot hold a hit left out."""
+    it = _items(spark, d).select("item_id", "vector")
+    q = it.select(F.col("item_id").alias("query_id"), "vector")
+    h, _ = I.pruned_search(q, it, I.train_cells(it), V.DEFAULT_TOP_K, exclude_self=True)
+    return h.select("query_id", "item_id", F.col("hit_rank").cast("int"), F.round("score", 6).alias("score"))
+
+
 @register("topk_per_query", f"""SELECT query_id, item_id, CAST(hit_rank AS INTEGER) AS hit_rank, round(score, 6) AS score,
     item_label = query_label AS label_match FROM ({_RANKED}) r WHERE hit_rank <= 3""")
 def q_w1(spark, d):

@@ -59,3 +59,28 @@ def test_a_round_equals_plain_k_means(spark):
         m = [u[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(17)]
         c = np.round(np.array([v / np.linalg.norm(v) for v in m]), I.DIGITS)
     assert np.abs(I.train_cells(t).centroids - c).max() < 1e-5
+
+
+def test_pruned_search_is_exact_and_scores_few_pairs_of_clusters(spark):
+    rng = np.random.default_rng(8)
+    middle = rng.standard_normal((40, 16))
+    x = middle[rng.integers(0, 40, 2000)] + 0.12 * rng.standard_normal((2000, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, x[0].tolist()), (2001, [0.0] * 16), (2002, None)]
+    t = spark.createDataFrame(rows, VEC)
+    q = t.select(F.col("item_id").alias("query_id"), "vector")
+    got, share = I.pruned_search(q, t, I.train_cells(t), 5, exclude_self=True)
+    known = t.where("vector is not null")
+    want = V.vector_join(known.select(F.col("item_id").alias("query_id"), "vector"), known, 5, exclude_self=True)
+    key = lambda df: sorted((r["query_id"], r["hit_rank"], r["item_id"]) for r in df.collect())
+    assert key(got) == key(want) and share < 0.3
+
+
+def test_pruned_search_keeps_everything_without_clusters(spark):
+    rng = np.random.default_rng(9)
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((200, 12)))], VEC)
+    q = t.select(F.col("item_id").alias("query_id"), "vector")
+    for k in (3, 40):  # also more than a cell holds
+        got, share = I.pruned_search(q, t, I.train_cells(t), k, exclude_self=True)
+        want = V.vector_join(q, t, k, exclude_self=True)
+        assert sorted(map(str, got.select("query_id", "hit_rank", "item_id").collect())) == \
+            sorted(map(str, want.select("query_id", "hit_rank", "item_id").collect())) and share <= 1
