@@ -111,8 +111,8 @@ def rule_scorer(prompts: DataFrame, turns: DataFrame) -> DataFrame:
     """Default deterministic scorer: five pass/fail criteria from the rules,
     written as paragraphs separated by a blank line. A call without turns is
     open, without greeting and without violations. Only the ids of ``prompts``
-    are read (one row per request), never the prompt texts."""
-    f = prompts.select("request_id", "call_id").join(call_facts(turns), "call_id", "left").select(
+    are read, never the prompt texts."""
+    f = prompts.select("request_id", "call_id").distinct().join(call_facts(turns), "call_id", "left").select(
         "request_id", F.coalesce("outcome", F.lit(O.OPEN_OUTCOME)).alias("outcome"),
         *[F.coalesce(c, F.lit(False)).alias(c) for c in ("greeted", "answered_before_identified")],
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_long_turns", "n_language_violations")])

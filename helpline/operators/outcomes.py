@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from helpline.functions.columns import fold_accents, word_count
 
-# Closing phrases the instructions prescribe (folded, lower case)
-# and the outcome each one marks, in priority order.
+# Closing phrases (folded, lower case) and the outcome each one marks, in
+# priority order. The instructions prescribe the wording of the first three; that of the
+# fourth, and of the AI solutions below, is this library's Spanish for what they ask for in
+# English, so another wording counts as open or none: give the phrases in use as argument.
 OUTCOME_PHRASES = [
     ("que bueno haberle ayudado", "verified_resolved"),
     ("me alegra que haya podido resolver su problema", "ai_resolved"),
@@ -45,21 +47,19 @@ def folded(text: Column | str) -> Column:
     return F.lower(fold_accents(t))
 
 
-def outcome_of(text: Column | str) -> Column:
+def outcome_of(text: Column | str, phrases: list[tuple[str, str]] | None = None) -> Column:
     f = folded(text)
     expr = F.lit(None).cast("string")
-    for phrase, outcome in reversed(OUTCOME_PHRASES):
+    for phrase, outcome in reversed(phrases or OUTCOME_PHRASES):
         expr = F.when(f.contains(phrase), F.lit(outcome)).otherwise(expr)
     return expr
 
 
-def solution_source_of(text: Column | str) -> Column:
+def solution_source_of(text: Column | str, ai_phrases: list[str] | None = None, verified: str = VERIFIED_SOLUTION_PHRASE) -> Column:
     f = folded(text)
-    ai = None
-    for p in AI_SOLUTION_PHRASES:
-        ai = f.contains(p) if ai is None else (ai | f.contains(p))
+    ai = reduce(lambda a, b: a | b, [f.contains(p) for p in ai_phrases or AI_SOLUTION_PHRASES])
     return (F.when(ai, F.lit("ai_generated"))
-            .when(f.contains(VERIFIED_SOLUTION_PHRASE), F.lit("verified")).otherwise(F.lit("none")))
+            .when(f.contains(verified), F.lit("verified")).otherwise(F.lit("none")))
 
 
 def is_long_turn(text: Column | str, limit: int = WORD_LIMIT) -> Column:
@@ -92,10 +92,11 @@ def asks_identity(text: Column | str) -> Column:
     return reduce(lambda a, b: a & b, [f.contains(w) for w in GREETING_WORDS])
 
 
-def call_outcome(turns: DataFrame) -> DataFrame:
-    """Outcome of the last assistant turn carrying a closing phrase; calls
-    without one are 'open'. ``max_by`` is a partial aggregate."""
-    hits = (turns.filter(F.col("role") == "assistant").select("call_id", "pos", outcome_of("text").alias("o"))
+def call_outcome(turns: DataFrame, phrases: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Outcome of the last assistant turn carrying a closing phrase (``phrases``: other
+    wordings, folded and lower case); calls without one are 'open'. ``max_by`` is a
+    partial aggregate."""
+    hits = (turns.filter(F.col("role") == "assistant").select("call_id", "pos", outcome_of("text", phrases).alias("o"))
             .filter(F.col("o").isNotNull())
             .groupBy("call_id").agg(F.max_by("o", "pos").alias("outcome"), F.max("pos").alias("outcome_pos")))
     ids = turns.select("call_id").distinct()
@@ -133,10 +134,10 @@ def interruption_rate(turns: DataFrame) -> DataFrame:
                                     F.round(F.avg(F.coalesce(flag, F.lit(False)).cast("int")), 6).alias("interruption_rate"))
 
 
-def solution_source(turns: DataFrame) -> DataFrame:
+def solution_source(turns: DataFrame, ai_phrases: list[str] | None = None, verified: str = VERIFIED_SOLUTION_PHRASE) -> DataFrame:
     """C4: verified / ai_generated / none for every assistant turn."""
     return (turns.filter(F.col("role") == "assistant")
-            .select("call_id", "pos", solution_source_of("text").alias("solution_source")))
+            .select("call_id", "pos", solution_source_of("text", ai_phrases, verified).alias("solution_source")))
 
 
 def greeting_check(turns: DataFrame) -> DataFrame:

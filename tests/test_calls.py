@@ -157,3 +157,25 @@ def test_format_transcripts_can_drop_system_turns(spark):
     drop = {r["call_id"]: r["transcript"] for r in C.format_transcripts(t, keep_system=False).collect()}
     assert keep[3] == "User: rules" and 3 not in drop
     assert keep[1] == drop[1]
+
+
+def test_equal_file_names_in_two_folders_stay_apart(spark, tmp):
+    import datetime as dt
+    from helpline.operators.evaluate import stored_turns
+    at = dt.datetime(2031, 4, 5)
+    for folder, said in (("a/transcripts", "from a"), ("b/transcripts", "from b")):
+        os.makedirs(os.path.join(tmp, folder))
+        with open(os.path.join(tmp, folder, "t.json"), "w") as f:
+            json.dump({"items": [{"id": "1", "type": "message", "role": "user", "content": [said], "interrupted": False}]}, f)
+    stored = scan_transcripts(spark, f"{tmp}/*/transcripts")
+    calls = spark.createDataFrame([(1, at, "a/transcripts/t.json"), (2, at, "b/transcripts/t.json"), (3, at, "c/t.json")], CALL)
+    assert sorted((r["call_id"], r["text"]) for r in stored_turns(stored, calls).collect()) == [(1, "from a"), (2, "from b")]
+
+
+def test_phrases_are_an_argument(spark):
+    from helpline.operators import outcomes as O
+    t = spark.createDataFrame([(1, 0, "assistant", "Asunto cerrado, gracias"), (1, 1, "assistant", "con la máquina")],
+                              "call_id long, pos long, role string, text string")
+    assert O.call_outcome(t).first()["outcome"] == "open"
+    assert O.call_outcome(t, [("asunto cerrado", "verified_resolved")]).first()["outcome"] == "verified_resolved"
+    assert [r["solution_source"] for r in O.solution_source(t, ["con la maquina"]).orderBy("pos").collect()] == ["none", "ai_generated"]
