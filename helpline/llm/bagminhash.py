@@ -22,7 +22,8 @@ Edge cases: words are what lies between the characters 0x20 and 0x09 to 0x0D,
 ASCII letters lower-cased; one to four words are one shingle; texts without words
 (null ones too) are copies only of texts equal to them; repeated rows are copies;
 a class of null ids has a null id; an empty table gives no rows; extra columns
-are ignored (``deduplicate`` keeps them).
+are ignored (``deduplicate`` keeps them); of rows with the least id one stays; a text of
+any length is one multiset, signed and packed whole in its row.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ counts per vector and a spanning set of its links, never all pairs.
 Edge cases: a null label, a null or zero vector, or one with null or non-finite
 components links with nothing and is its own component; repeated rows are equal
 vectors and link; a null id counts as a link but names no component; an empty
-table gives no rows; extra columns are ignored.
+table gives no rows; extra columns are ignored; equal projections share a window, so ties
+lose no pair; vectors of any length meet those of their own length only.
 """
 
 from __future__ import annotations

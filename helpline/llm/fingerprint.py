@@ -8,8 +8,8 @@ it meets a filled one and takes its value (optimal densification: every empty bi
 draws independently, with the same draws in all documents); should DRAWS draws
 all miss, the filled bin of the least hash with it ends the search. Of each bin's
 value, hashed once more with the bin's number (so that bins that borrow the same
-value stay independent), the low ``BITS`` bits, one hex digit, are stored; equal digits by chance (1 in 16) are
-taken out of the likeness.
+value stay independent), the low ``BITS`` bits are stored as one printable character;
+characters that are equal by chance (1 in 64) are taken out of the likeness.
 
 All of it is row-local: no shuffle, and work linear in the text but for the sort.
 
@@ -17,7 +17,9 @@ Edge cases: words are what lies between the characters 0x20 and 0x09 to 0x0D,
 lower-cased; a text of one to four words is one shingle; a null
 text or one without words has the empty fingerprint, like another empty one to
 1 and any other to 0; equal texts have equal fingerprints; rows that repeat give
-one output row each; an empty table gives no rows; extra columns are ignored.
+one output row each; an empty table gives no rows; extra columns are ignored; a text of
+any length is hashed whole in its row (its hashes, 8 bytes a word, must fit one). In
+``with_next`` all rows of one id (or without id) are ordered in one window.
 """
 
 from __future__ import annotations

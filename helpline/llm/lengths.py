@@ -8,7 +8,8 @@ rows as the longest text has tokens, whatever the number of documents; suffix
 sums run per band of lengths, and only one row per band meets in one window.
 
 Edge cases: null and empty texts have length 0 and are counted; repeated rows
-count as often as they occur; an empty table gives an empty histogram.
+count as often as they occur; an empty table gives an empty histogram; columns beyond
+those named are ignored; a text of any length is one more length.
 """
 
 from __future__ import annotations
