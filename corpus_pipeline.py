@@ -9,7 +9,8 @@ but the last stage keep the columns of ``documents``.
 A null text stays null and counts as empty; repeated rows are copies of each
 other, so one stays; an empty table passes every stage; without labels of both
 classes nothing is rejected; columns beyond those of ``documents`` pass through
-to the stage before the last. The fold of held-out labels is not used to train.
+to the stage before the last; a text of any length passes. The fold of held-out labels is
+not used to train.
 """
 
 from __future__ import annotations
@@ -54,8 +55,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", remove_toxic), ("near duplicates", deduplicate), ("personal data", blank_personal_data),
           ("mixing", mix_sources), ("encoding", encode)]
 
-# A trained classifier, MinHash classes and byte-pair merges have no SQL form;
-# the tests replay the stages by brute force.
+# A trained classifier, MinHash classes and byte-pair merges have no SQL form; the tests
+# replay every stage on its own input by brute force (tests/llm/test_pipeline.py).
 ORACLE_SQL = None
 
 
