@@ -15,7 +15,8 @@ spark = (SparkSession.builder.master("local[2]").config("spark.sql.shuffle.parti
          .config("spark.ui.enabled", "false").getOrCreate())
 import __spark_entry__ as E
 q = E.queries()
-for k in ["vector_join", "approx_search", "lexical_join"]:
+for k in ["vector_join", "approx_search", "lsh_search", "vector_join_pruned", "lexical_join", "language_policy", "embed",
+          "persist_index", "ask_index", "stream_outcomes", "evaluate_calls"]:
     assert q[k](spark, {SF!r}).count() > 0, k
 print("portable-ok")
 """
