@@ -22,7 +22,7 @@ from helpline.plans.q_calls import REQUEST_ID
 from helpline.plans.q_kb import ALL, CORPUS_SQL, P5_SQL, corpus
 from helpline.plans.q_kb import _t as kb_tables
 from helpline.plans.q_text import CHUNK_SQL, STEP
-from helpline.plans.rebuild import ask, index_folder, rebuild_index
+from helpline.plans.rebuild import answer_from_index, ask, index_folder, rebuild_index
 from helpline.plans.sqltext import components_sql, page, vector_sql
 from helpline.schemas import CALLS
 from helpline.session import materialize, scratch_path
@@ -193,15 +193,21 @@ def q_s6(spark, d):
 
 
 # ------------------------------------------------------------- ask the index
-@register("ask_index", f"""WITH nodes AS ({CHUNK_SQL}),
-    nv AS ({vector_sql("SELECT node_id, text FROM nodes")}), qv AS ({vector_sql("SELECT item_id AS node_id, text FROM benchmark")}),
+def _ask_sql(questions: str) -> str:
+    """CTEs ``nodes`` and ``ranked(query_id, item_id, score, hit_rank)`` for ``questions(node_id,
+    text)``: every node by cosine of the token vectors."""
+    return f"""nodes AS ({CHUNK_SQL}),
+    nv AS ({vector_sql("SELECT node_id, text FROM nodes")}), qv AS ({vector_sql(questions)}),
     nn AS (SELECT node_id, sqrt(sum(x * x)) AS n FROM nv GROUP BY 1), qn AS (SELECT node_id, sqrt(sum(x * x)) AS n FROM qv GROUP BY 1),
     dots AS (SELECT qv.node_id AS query_id, nv.node_id AS item_id, sum(qv.x * nv.x) AS dot FROM qv JOIN nv USING (b) GROUP BY 1, 2),
     scored AS (SELECT qn.node_id AS query_id, nn.node_id AS item_id, coalesce(dot, 0) / (qn.n * nn.n) AS score
-      FROM qn CROSS JOIN nn LEFT JOIN dots ON dots.query_id = qn.node_id AND dots.item_id = nn.node_id)
-    SELECT query_id, CAST(hit_rank AS INTEGER) AS hit_rank, item_id, ref_doc_id, round(score, 6) AS score FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS hit_rank FROM scored) r
-    JOIN nodes ON nodes.node_id = r.item_id WHERE hit_rank <= {DEFAULT_TOP_K}""")
+      FROM qn CROSS JOIN nn LEFT JOIN dots ON dots.query_id = qn.node_id AND dots.item_id = nn.node_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS hit_rank FROM scored)"""
+
+
+@register("ask_index", f"""WITH {_ask_sql("SELECT item_id AS node_id, text FROM benchmark")}
+    SELECT query_id, CAST(hit_rank AS INTEGER) AS hit_rank, item_id, ref_doc_id, round(score, 6) AS score
+    FROM ranked r JOIN nodes ON nodes.node_id = r.item_id WHERE hit_rank <= {DEFAULT_TOP_K}""")
 def q_ask(spark, d):
     """Every benchmark passage asked of an index of all documents that was
     written and loaded: node, source document and score of its best hits."""
@@ -212,6 +218,25 @@ def q_ask(spark, d):
     return hits.select("query_id", F.col("hit_rank").cast("int"), "item_id", "ref_doc_id", F.round("score", 6).alias("score"))
 
 
+_ASKED = f"""SELECT item_id AS node_id, text FROM benchmark UNION ALL
+    SELECT item_id + {fx.NOT_FOUND_OFFSET}, '¿' || repeat('?', CAST(item_id % 5 AS BIGINT)) FROM benchmark"""
+
+
+@register("answer_from_index", f"""WITH {_ask_sql(_ASKED)}
+    SELECT q.node_id AS query_id, CASE WHEN r.item_id IS NULL THEN 'error' ELSE 'ok' END AS status, r.item_id AS answer_doc_id,
+      CASE WHEN r.item_id IS NULL THEN 'ERROR: no matching document' ELSE 'SEARCH RESULTS:' || chr(10) || n.text END AS answer
+    FROM ({_ASKED}) q LEFT JOIN (SELECT * FROM ranked WHERE hit_rank = 1) r ON r.query_id = q.node_id LEFT JOIN nodes n ON n.node_id = r.item_id""")
+def q_answer(spark, d):
+    """The whole ask path: every benchmark passage, and for each a question without words,
+    answered from a stored index of all documents, with status and prefix."""
+    base = scratch_path(spark, "index")
+    _persist(spark, base, "v1", read_table(spark, d, "documents", ["doc_id", "text"]))
+    q = read_table(spark, d, "benchmark", ["item_id", "text"]).withColumnRenamed("item_id", "query_id")
+    mute = q.select((F.col("query_id") + F.lit(fx.NOT_FOUND_OFFSET)).alias("query_id"),
+                    F.concat(F.lit("¿"), F.expr("repeat('?', CAST(query_id % 5 AS INT))")).alias("text"))
+    return answer_from_index(spark, base, q.unionByName(mute))
+
+
 # ------------------------------------------------------------ X10 rebuild
 _REBUILT = f"""SELECT CAST(doc_id AS VARCHAR) || '#' || CAST(i AS VARCHAR) AS node_id, doc_id AS ref_doc_id,
         CAST(i AS INTEGER) AS chunk_no, substr(body, CAST(i * {STEP} + 1 AS BIGINT), {CH.CHUNK_SIZE}) AS text,
