@@ -126,7 +126,7 @@ class Block:
     is (left, right) of word codes, a trigram (pair, last) of a bigram and a word; ``pair_at``
     and ``triple_at`` tell the bigram and trigram that end at a token (-1: none)."""
 
-    def __init__(self, r):
+    def __init__(self, r, trigrams: bool = True):
         self.codes = unpack(r["codes"]).astype(np.int64)
         self.keys = np.frombuffer(r["keys"], dtype="<u8")
         self.size = np.asarray(r["size"], dtype=np.int64)
@@ -142,6 +142,8 @@ class Block:
         self.pair_counts = np.bincount(inverse[train[at]], minlength=len(pairs))
         self.pair_at = np.full(len(self.codes), -1)
         self.pair_at[at] = inverse
+        if not trigrams:
+            return
         at = np.flatnonzero(place >= 2)
         triples, inverse = distinct((self.pair_at[at - 1] << 32) | self.codes[at])
         self.pair, self.last = triples >> 32, triples & 0xFFFFFFFF
@@ -155,7 +157,8 @@ class Block:
         return mix(self.keys[self.left], self.keys[self.right])
 
     def triple_keys(self) -> np.ndarray:
-        return mix(self.pair_keys()[self.pair], self.keys[self.last] ^ np.uint64(0x5851F42D4C957F2D))
+        last = self.keys ^ np.uint64(0x5851F42D4C957F2D)  # not the key of a word that follows a word
+        return mix(self.pair_keys()[self.pair], last[self.last])
 
 
 def ask(block: int, keys: np.ndarray, counts: np.ndarray, owned: np.ndarray | None, buckets: int):
@@ -294,7 +297,7 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
         return ask(left["block"].iloc[0], x.pair_keys(), x.pair_counts, owned, buckets)
 
     def ask_words(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x = Block(left.iloc[0])
+        x = Block(left.iloc[0], trigrams=False)
         owner = gather(right, x.pair_keys(), buckets)[2]
         owned = np.bincount(x.left[owner > 0], minlength=len(x.keys))
         return ask(left["block"].iloc[0], x.keys, x.word_counts, owned, buckets)
