@@ -214,9 +214,11 @@ def q_c7_words(spark, d):
 
 def _trigrams_sql(rows: str) -> str:
     """``(id, bucket, n)`` of ``rows(id, t)``, padded texts."""
-    return f"""SELECT id, bucket, count(*) AS n FROM (
-      SELECT id, ({LG.A} * unicode(t[p:p]) + {LG.B} * unicode(t[p + 1:p + 1]) + unicode(t[p + 2:p + 2])) % {LG.BUCKETS} AS bucket
-      FROM (SELECT id, t, unnest(range(1, length(t) - 1)) AS p FROM ({rows}) r) x) y GROUP BY 1, 2"""
+    return f"""SELECT id, ({LG.A} * unicode(a) + {LG.B} * unicode(b) + unicode(c)) % {LG.BUCKETS} AS bucket, count(*) AS n FROM (
+      SELECT id, ch AS a, lead(ch) OVER w AS b, lead(ch, 2) OVER w AS c FROM (
+        SELECT id, row, unnest(string_split(t, '')) AS ch, unnest(range(length(t))) AS p
+        FROM (SELECT id, t, row_number() OVER () AS row FROM ({rows}) r) x) y WINDOW w AS (PARTITION BY row ORDER BY p)) z
+      WHERE c IS NOT NULL GROUP BY 1, 2"""
 
 
 _PADDED = "' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g')) || ' '"
