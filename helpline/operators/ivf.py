@@ -92,7 +92,8 @@ def train_cells(items: DataFrame, cells: int | None = None, rounds: int = ROUNDS
                     np.add.at(total, own, m)
                     count += np.bincount(own, minlength=len(count))
             own = np.flatnonzero(count)
-            yield pd.DataFrame({"cell": own, "total": list(total[own])})
+            if len(own):  # a task without vectors: an empty list column has no Arrow type
+                yield pd.DataFrame({"cell": own, "total": list(total[own])})
         parts = sample.select("vector").mapInPandas(add_up, "cell int, total array<double>")
         sums = parts.select("cell", F.posexplode("total").alias("pos", "x")).groupBy("cell", "pos").agg(F.sum("x").alias("x"))
         moved = sums.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).collect()

@@ -84,3 +84,12 @@ def test_pruned_search_keeps_everything_without_clusters(spark):
         want = V.vector_join(q, t, k, exclude_self=True)
         assert sorted(map(str, got.select("query_id", "hit_rank", "item_id").collect())) == \
             sorted(map(str, want.select("query_id", "hit_rank", "item_id").collect())) and share <= 1
+
+
+def test_tasks_without_vectors(spark):
+    rng = np.random.default_rng(3)
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((20, 8)))], VEC).repartition(60)  # most are empty
+    q = t.select(F.col("item_id").alias("query_id"), "vector")
+    assert recall(spark, t, search(t)) > 0
+    got, _ = I.pruned_search(q, t, I.train_cells(t), 3, exclude_self=True)
+    assert got.count() == 60
