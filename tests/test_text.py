@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpline.operators import chunk as CH
 from helpline.operators import lexical as L
@@ -137,3 +138,23 @@ def test_blocks_below_the_threshold_are_not_scored(spark, monkeypatch):
     monkeypatch.setattr(L, "top_k_rows", lambda *a: calls.add(1) or plain(*a))
     got = [(r["query_id"], r["item_id"]) for r in L.lexical_join(q, d, k=1).collect()]
     assert got == [(1, 0)] and calls.value == 1 < 60 // 3  # the first block holds the best score any other could reach
+
+
+def test_embedding_time_grows_with_the_texts_not_with_their_words(spark):
+    """Texts that share no words: the cost of one does not depend on the words of those before."""
+    import time
+
+    from helpline.operators.embed import bucket_of, fit_corpus, token_embedder
+    own = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(79)), lambda i: F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("x"), i.cast("string"))), " ")
+    texts = spark.range(0, 8000, 1, 1).select("id", own.alias("text"))
+    begun = time.perf_counter()
+    texts_done = token_embedder(64)(texts).agg(F.sum(F.size("embedding")).alias("n")).first()["n"]
+    assert texts_done == 8000 * 64 and time.perf_counter() - begun < 15
+    few = spark.createDataFrame([(1, " Ana, ana y B\u00e9a! "), (2, None), (3, "?!"), (4, "")], "id long, text string")
+    got = {r["id"]: r["embedding"] for r in token_embedder(16)(few).collect()}
+    want = np.zeros(16)
+    for w in ("ana", "ana", "y", "b\u00e9a"):
+        want[bucket_of(w, 16)] += 1
+    assert np.allclose(got[1], want / np.linalg.norm(want)) and not any(got[2] + got[3] + got[4])
+    model = fit_corpus(few.repartition(9), dim=16)  # some tasks without texts
+    assert model.n_docs == 4 and list(model.held) == [int(x > 0) for x in want]
