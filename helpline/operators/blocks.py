@@ -65,15 +65,38 @@ def top_k_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, valid
 
 
+BLOCK_NUMBERS = 1 << 22  # vector components that a block holds at most
+LEAST_ROWS = 1024        # smaller blocks are not worth a task
+
+
+def block_counts(nq: int, ni: int, most: int, pairs: int) -> tuple[int, int]:
+    """Query and item blocks of at most ``most`` rows, and about ``pairs`` pairs of them.
+    The larger block is cut first: that copies the fewest rows."""
+    n_qb, n_ib = _blocks(nq, most), _blocks(ni, most)
+    while n_qb * n_ib < pairs and max(nq / n_qb, ni / n_ib) > LEAST_ROWS:
+        if nq / n_qb > ni / n_ib:
+            n_qb += 1
+        else:
+            n_ib += 1
+    return n_qb, n_ib
+
+
 def blocked_top_k(queries: DataFrame, items: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame, int], pd.DataFrame],
-                  k: int, q_block_rows: int = 1024, i_block_rows: int = 8192,
+                  k: int, q_block_rows: int | None = None, i_block_rows: int | None = None,
                   n_queries: int | None = None, n_items: int | None = None) -> DataFrame:
     """Best ``k`` items per query. ``queries`` needs ``query_id``, ``items``
     needs ``item_id``; the kernel gets both blocks and returns rows of
-    ``hits_schema`` (at most k per query, or the query's own ``k`` if it has one). Result: ``query_id, item_id, score, hit_rank``."""
+    ``hits_schema`` (at most k per query, or the query's own ``k`` if it has one). Result: ``query_id, item_id, score, hit_rank``.
+    Without block rows, blocks of vectors hold up to ``BLOCK_NUMBERS`` components and their
+    number follows the cores (``block_counts``), so that up to that size the copies grow as the rows do."""
     nq = n_queries if n_queries is not None else queries.count()
-    ni = n_items if n_items is not None else items.count()
-    n_qb, n_ib = _blocks(nq, q_block_rows), _blocks(ni, i_block_rows)
+    if q_block_rows is None and i_block_rows is None:
+        ni, dim = items.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+        n_qb, n_ib = block_counts(nq, ni, max(LEAST_ROWS, BLOCK_NUMBERS // max(1, dim or 1)),
+                                  4 * items.sparkSession.sparkContext.defaultParallelism)
+    else:
+        ni = n_items if n_items is not None else items.count()
+        n_qb, n_ib = _blocks(nq, q_block_rows or LEAST_ROWS), _blocks(ni, i_block_rows or 8 * LEAST_ROWS)
     # fresh attributes on both sides: a self-search (queries and items from one
     # scan) must not share expression ids across the cogroup
     queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
@@ -98,25 +121,73 @@ def stack(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.values]) if len(col) else np.zeros((0, 0))
 
 
+MARGIN = 1e-5  # more than single precision errs in a product of unit vectors
+TILE = (1024, 8192)  # queries and items that are scored at once
+
+
+def _unit(m: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in single precision; rows without a direction are NaN."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        return (m / norm[:, None]).astype(np.float32)
+
+
 def cosine_kernel(exclude_self: bool = False):
-    """Dense cosine: normalise both blocks in float64, one matrix product."""
+    """Dense cosine of two blocks, tile by tile: single precision tells which items of a
+    tile may come near the k-th best so far, and only these are scored in double. A query
+    with many of them (copies, the first tile) has the whole tile scored."""
     def kernel(qpdf: pd.DataFrame, ipdf: pd.DataFrame, k: int) -> pd.DataFrame:
-        qm, im = stack(qpdf["vector"]), stack(ipdf["vector"])
-        qn = np.linalg.norm(qm, axis=1)
-        inn = np.linalg.norm(im, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = (qm @ im.T) / np.outer(qn, inn)
-        s[~np.isfinite(s)] = -np.inf  # zero vectors have no cosine
         qids, iids = id_array(qpdf["query_id"]), id_array(ipdf["item_id"])
-        if exclude_self:
-            s[qids[:, None] == iids[None, :]] = -np.inf
-        idx, valid = top_k_rows(s, iids, k)
-        if "k" in qpdf:  # each query's own k
-            valid &= np.arange(idx.shape[1]) < qpdf["k"].to_numpy()[:, None]
-        rows = np.repeat(np.arange(len(qids)), idx.shape[1])
-        flat, ok = idx.ravel(), valid.ravel()
-        return pd.DataFrame({"query_id": qids[rows][ok], "item_id": iids[flat][ok],
-                             "score": s[rows, flat][ok]})
+        qm, im = stack(qpdf["vector"]), stack(ipdf["vector"])
+        qn, inn = np.linalg.norm(qm, axis=1), np.linalg.norm(im, axis=1)
+        qu, iu = _unit(qm, qn), _unit(im, inn)
+        edges, size = [0], 512  # tiles grow as fewer items pass
+        while edges[-1] < len(iids):
+            edges.append(min(len(iids), edges[-1] + size))
+            size = min(TILE[1], size * 2)
+        found = [(qids[:0], iids[:0], np.zeros(0))]
+        for lo in range(0, len(qids), TILE[0]):
+            rows = slice(lo, lo + TILE[0])
+            ids = qids[rows]
+            n = len(ids)
+            row, item, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            kth = np.full(n, -np.inf)
+            for a, b in zip(edges, edges[1:]):
+                s = qu[rows] @ iu[a:b].T
+                maybe = s >= (kth - MARGIN).astype(np.float32)[:, None]
+                many = maybe.sum(axis=1) > 64 + 4 * k
+                maybe[many] = False
+                r, c = np.nonzero(maybe)
+                c = c + a
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cos = np.einsum("ij,ij->i", qm[rows][r], im[c]) / (qn[rows][r] * inn[c])
+                ok = np.isfinite(cos)  # zero vectors have no cosine
+                if exclude_self:
+                    ok &= ids[r] != iids[c]
+                parts = [(row, item, score), (r[ok], c[ok], cos[ok])]
+                dense = np.flatnonzero(many)
+                if len(dense):
+                    full = qm[rows][dense] @ im[a:b].T
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        full = full / np.outer(qn[rows][dense], inn[a:b])
+                    full[~np.isfinite(full)] = -np.inf
+                    if exclude_self:
+                        full[ids[dense][:, None] == iids[None, a:b]] = -np.inf
+                    idx, valid = top_k_rows(full, iids[a:b], k)
+                    at = np.repeat(np.arange(len(dense)), idx.shape[1])[valid.ravel()]
+                    col = idx.ravel()[valid.ravel()]
+                    parts.append((dense[at], col + a, full[at, col]))
+                row, item, score = (np.concatenate(x) for x in zip(*parts))
+                order = np.lexsort((iids[item], -np.round(score, RANK_DIGITS), row))
+                row, item, score = row[order], item[order], score[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, item, score, place = (x[place < k] for x in (row, item, score, place))
+                kth[row[place == k - 1]] = np.round(score[place == k - 1], RANK_DIGITS)
+            if "k" in qpdf:  # each query's own k
+                own = place < qpdf["k"].to_numpy()[rows][row] if len(row) else np.zeros(0, bool)
+                row, item, score = row[own], item[own], score[own]
+            found.append((ids[row], iids[item], score))
+        q, i, s = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"query_id": q, "item_id": i, "score": s})
     return kernel
 
 

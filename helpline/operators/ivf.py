@@ -152,7 +152,7 @@ def pruned_search(queries: DataFrame, items: DataFrame, cells: Cells, k: int, ex
     items = items.select("item_id", "vector").where(F.col("vector").isNotNull())
     n = len(cells.centroids)
     if n == 0:
-        return blocked_top_k(queries, items, cosine_kernel(exclude_self), k, q_block_rows, i_block_rows), 1.0
+        return blocked_top_k(queries, items, cosine_kernel(exclude_self), k), 1.0
     sent = queries.sparkSession.sparkContext.broadcast(cells.centroids)
 
     @F.pandas_udf("double")

@@ -33,7 +33,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_join(queries: DataFrame, items: DataFrame, k: int = DEFAULT_TOP_K, exclude_self: bool = False,
-                q_block_rows: int = 1024, i_block_rows: int = 8192) -> DataFrame:
+                q_block_rows: int | None = None, i_block_rows: int | None = None) -> DataFrame:
     """J5 + W1: best k items per query by cosine. ``queries(query_id, vector)``,
     ``items(item_id, vector)``; ids are integers or texts; a column ``k`` of the
     queries holds a lower k of their own. Exact; see ``blocks.blocked_top_k``."""

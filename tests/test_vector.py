@@ -101,3 +101,45 @@ def test_index_stats_single_aggregate(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0]) for i in [42, 7, 19, 3, 88]], "item_id long, vector array<float>")
     r = V.index_stats(df.repartition(3)).collect()
     assert [(x["n_items"], x["sample_ids"]) for x in r] == [(5, "3, 7, 19")]
+
+
+def _plain(qm, qids, im, iids, k, own):
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = (qm @ im.T) / np.outer(np.linalg.norm(qm, axis=1), np.linalg.norm(im, axis=1))
+    out = []
+    for i, q in enumerate(qids):
+        hits = [(-round(s[i, j], 9), iids[j]) for j in range(len(iids)) if np.isfinite(s[i, j]) and iids[j] != q]
+        out += [(q, x) for _, x in sorted(hits)[:own[i]]]
+    return out
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_kernel_of_many_tiles_equals_brute_force(text):
+    """More rows than a tile, copies past what is scored singly, zero and NaN vectors, own k."""
+    import pandas as pd
+
+    from helpline.operators.blocks import cosine_kernel
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(1800, 6)).astype(np.float32)
+    m[100:400] = m[7]
+    m[500:503], m[600:602] = 0, np.nan
+    ids = rng.permutation(1800)
+    ids = [f"n{i}" for i in ids] if text else ids.tolist()
+    own = [1 + i % 4 for i in range(1800)]
+    q = pd.DataFrame({"query_id": ids, "vector": list(m), "k": own})
+    got = cosine_kernel(True)(q, pd.DataFrame({"item_id": ids, "vector": list(m)}), 4)
+    d = m.astype(np.float64)
+    some = list(range(0, 1800, 9)) + [7, 100, 399, 500, 600]
+    want = _plain(d[some], [ids[i] for i in some], d, ids, 4, [own[i] for i in some])
+    asked = {ids[i] for i in some}
+    assert sorted((a, b) for a, b in zip(got["query_id"], got["item_id"]) if a in asked) == sorted(set(want))
+    none = cosine_kernel()(q.iloc[:0], pd.DataFrame({"item_id": ids[:0], "vector": []}), 4)
+    assert len(none) == 0
+
+
+def test_copies_grow_with_the_rows_not_with_their_square():
+    from helpline.operators.blocks import block_counts
+    moved = {n: sum(b * n for b in block_counts(n, n, 65_536, 48)) for n in (10_000, 100_000, 400_000)}
+    assert moved[100_000] == 10 * moved[10_000] and moved[400_000] == 4 * moved[100_000]
+    assert block_counts(600_000, 600_000, 65_536, 48) == (10, 10)
+    assert block_counts(200, 5_000_000, 16_384, 48)[0] == 1 and block_counts(0, 0, 10, 48) == (1, 1)
