@@ -65,3 +65,16 @@ def test_dropped_by_join(spark):
     got = {(r[0], r[1]) for r in kb.dropped_by_join(clients, cc, comp, services, protocols, reasons).collect()}
     assert got == {("client_without_company", 2), ("pair_without_company", 9),
                    ("service_without_company", 5), ("protocol_without_reason", 1)}
+
+
+def test_dropped_by_join_joins_distinct_keys_of_the_pairs(spark):
+    empty = spark.createDataFrame([], "Id long, CompanyId long, ReasonId long")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (None, 2), (None, 2), (4, None)], "ClienteId long, EmpresaId long")
+    clients = spark.createDataFrame([(1,), (9,), (9,), (None,)], "Id long")
+    companies = spark.createDataFrame([(2,)], "Id long")
+    out = kb.dropped_by_join(clients, pairs, companies, empty, empty, empty)
+    assert out._jdf.queryExecution().analyzed().toString().count("Deduplicate [k") == 3  # keys, before the joins
+    key = lambda r: (r[0], -1 if r[1] is None else r[1])
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(
+        [("client_without_company", 9)] * 2 + [("client_without_company", None), ("pair_without_client", 4), ("pair_without_client", None),
+                                               ("pair_without_company", 3), ("pair_without_company", None)], key=key)
