@@ -88,3 +88,15 @@ def test_index_of_a_folder_equals_the_index_of_its_documents(spark, tmp):
     K.write_documents(docs, f"{tmp}/kb/json")
     with pytest.raises(ValueError, match="more than one file"):
         R.index_folder(spark, f"{tmp}/kb", f"{tmp}/a", "v2")
+
+
+def test_documents_are_written_compressed_and_stored_ones_once(spark, tmp, monkeypatch):
+    again = []
+    monkeypatch.setattr(K, "materialize", lambda df, name, f=K.materialize: again.append(name) or f(df, name))
+    docs = folder(spark, f"{tmp}/kb")
+    assert len(again) == 2
+    files = [f for d, _, fs in os.walk(f"{tmp}/kb") for f in fs if f.startswith("part-")]
+    assert files and all(f.endswith(".gz") for f in files)
+    docs.write.parquet(f"{tmp}/stored")
+    K.write_documents(spark.read.parquet(f"{tmp}/stored").where("doc_kind = 'note'"), f"{tmp}/kb/json", stored=True)
+    assert len(again) == 2 and S.scan_documents(spark, f"{tmp}/kb").count() == len(BODIES) * 2
