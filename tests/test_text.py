@@ -140,6 +140,65 @@ def test_blocks_below_the_threshold_are_not_scored(spark, monkeypatch):
     assert got == [(1, 0)] and calls.value == 1 < 60 // 3  # the first block holds the best score any other could reach
 
 
+def _ranked(hits):
+    out = {}
+    for r in sorted(hits.collect(), key=lambda r: (r["query_id"], r["hit_rank"])):
+        out.setdefault(r["query_id"], []).append(r["item_id"])
+    return out
+
+
+def test_large_query_table_meets_the_documents_once(spark):
+    """Batches of queries share the blocks: no document is copied or tokenised a second time."""
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(rng.choice(WORDS, size=rng.integers(1, 30)))) for i in range(80)]
+    asked = [(i // 2, " ".join(rng.choice(WORDS, size=3))) for i in range(30)]  # every id twice
+    read = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda t: read.add(1) or t, "string").asNondeterministic()
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("text", told("text"))
+    q = spark.createDataFrame([*asked, (None, "alpha"), (99, None), (98, "?")], "query_id long, text string")
+    large = L.lexical_join(q, d, k=3, max_query_terms=40)  # three batches
+    got = _ranked(large)
+    assert read.value == len(docs)
+    assert "CoGroup" not in large._jdf.queryExecution().toString()
+    assert got == _ranked(L.lexical_join(q, d, k=3)) and set(got) == set(range(15))
+
+
+@pytest.mark.parametrize("dense", [1, 10 ** 9])
+def test_equal_documents_are_scored_once_in_bounded_tiles(spark, monkeypatch, dense):
+    """Terms by matrix product or by postings; a block keeps the k smallest ids of documents
+    that no query tells apart and counts all of them, and a task scores few at once."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(WORDS, size=rng.integers(1, 6))) for _ in range(12)]
+    docs = {int(i): texts[j % 12] + f" other{i}" for j, i in enumerate(rng.permutation(240))}
+    queries = {i: " ".join(rng.choice(WORDS, size=4)) for i in range(25)}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string").coalesce(1)
+    q = spark.createDataFrame(list(queries.items()), "query_id long, text string")
+    monkeypatch.setattr(L, "DENSE", dense)
+    monkeypatch.setattr(L.score_blocks, "__defaults__", (*L.score_blocks.__defaults__[:-1], 200))
+    cells = spark.sparkContext.accumulator(0)
+    wide = spark.sparkContext.accumulator(0)
+    plain = L.top_k_rows
+    monkeypatch.setattr(L, "top_k_rows", lambda s, *a: (cells.add(s.size), wide.add(int(s.size > 200))) and plain(s, *a))
+    assert _ranked(L.lexical_join(q, d, k=4)) == {k: v for k, v in _bm25(queries, docs, 4).items() if v}
+    assert wide.value == 0 and cells.value <= 25 * 4 * 12 < 25 * 240
+    terms = spark.sparkContext.broadcast({w: i for i, w in enumerate(WORDS)})
+    blocks = L.index_blocks(d.withColumnRenamed("doc_id", "item_id"), terms, "bigint", 4).collect()
+    held = Counter(w for t in docs.values() for w in set(t.split()) & set(WORDS))
+    assert sum(b["n"] for b in blocks) == 240 and sum(len(b["ids"]) for b in blocks) <= 4 * 12
+    assert {WORDS[c]: h for b in blocks for c, h in zip(b["code"], b["held"])} == held
+
+
+def test_protocols_below_the_threshold_are_not_scored(spark, monkeypatch):
+    issues = spark.createDataFrame([(1, "printer broken"), (2, "hello the"), (3, "")], "call_id long, text string")
+    pages = spark.createDataFrame([(i, "the printer manual" if i == 7 else "the hello page") for i in range(40)], "entity_id long, body string").coalesce(1)
+    tries = spark.sparkContext.accumulator(0)
+    plain = L.top_k_rows
+    monkeypatch.setattr(L, "top_k_rows", lambda s, *a: tries.add(len(s)) or plain(s, *a))
+    got = {r["call_id"]: (r["protocol_id"], r["verdict"]) for r in M.protocol_match(issues, pages, 1.0).collect()}
+    assert got == {1: (7, M.VERIFIED), 2: (None, M.NO_SOLUTION), 3: (None, M.NO_SOLUTION)}
+    assert tries.value == 1
+
+
 def test_embedding_time_grows_with_the_texts_not_with_their_words(spark):
     """Texts that share no words: the cost of one does not depend on the words of those before."""
     import time
