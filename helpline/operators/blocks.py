@@ -131,40 +131,54 @@ def _unit(m: np.ndarray, norm: np.ndarray) -> np.ndarray:
         return (m / norm[:, None]).astype(np.float32)
 
 
-def cosine_kernel(exclude_self: bool = False):
+def cosine_kernel(exclude_self: bool = False, looks: Callable | None = None):
     """Dense cosine of two blocks, tile by tile: single precision tells which items of a
     tile may come near the k-th best so far, and only these are scored in double. A query
-    with many of them (copies, the first tile) has the whole tile scored."""
+    with many of them (copies, the first tile) has the whole tile scored. The items' column
+    ``cell`` cuts tiles where the cell changes, and ``looks(queries, query vectors, cells)``
+    tells which query looks into which of these cells (a boolean matrix): then every cell
+    gives its best ``k``, an item counts once, and hits below the queries' ``floor`` are left out."""
     def kernel(qpdf: pd.DataFrame, ipdf: pd.DataFrame, k: int) -> pd.DataFrame:
+        if looks:
+            ipdf = ipdf.sort_values("cell", kind="stable")
         qids, iids = id_array(qpdf["query_id"]), id_array(ipdf["item_id"])
         qm, im = stack(qpdf["vector"]), stack(ipdf["vector"])
         qn, inn = np.linalg.norm(qm, axis=1), np.linalg.norm(im, axis=1)
         qu, iu = _unit(qm, qn), _unit(im, inn)
+        cuts = [len(iids)]
+        if looks:
+            cells, starts = np.unique(ipdf["cell"].to_numpy(), return_index=True)
+            open_to, cuts = looks(qpdf, qm, cells), [*starts[1:], len(iids)]
+        ends = set(cuts)
         edges, size = [0], 512  # tiles grow as fewer items pass
         while edges[-1] < len(iids):
-            edges.append(min(len(iids), edges[-1] + size))
+            edges.append(min(next(c for c in cuts if c > edges[-1]), edges[-1] + size))
             size = min(TILE[1], size * 2)
         found = [(qids[:0], iids[:0], np.zeros(0))]
         for lo in range(0, len(qids), TILE[0]):
             rows = slice(lo, lo + TILE[0])
             ids = qids[rows]
             n = len(ids)
-            row, item, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            kth = np.full(n, -np.inf)
+            row, item, score = none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            least = np.round(qpdf["floor"].fillna(-np.inf).to_numpy(np.float64)[rows], RANK_DIGITS) if looks else np.full(n, -np.inf)
+            kth, best = least.copy(), none  # of the cell, and of the cells before it
             for a, b in zip(edges, edges[1:]):
-                s = qu[rows] @ iu[a:b].T
-                maybe = s >= (kth - MARGIN).astype(np.float32)[:, None]
+                own = np.arange(n) if looks is None else np.flatnonzero(open_to[rows, np.searchsorted(starts, a, "right") - 1])
+                if not len(own) and (b not in ends or not len(row)):
+                    continue
+                s = (qu[rows] if len(own) == n else qu[rows][own]) @ iu[a:b].T
+                maybe = s >= (kth[own] - MARGIN).astype(np.float32)[:, None]
                 many = maybe.sum(axis=1) > 64 + 4 * k
                 maybe[many] = False
                 r, c = np.nonzero(maybe)
-                c = c + a
+                r, c = own[r], c + a
                 with np.errstate(divide="ignore", invalid="ignore"):
                     cos = np.einsum("ij,ij->i", qm[rows][r], im[c]) / (qn[rows][r] * inn[c])
                 ok = np.isfinite(cos)  # zero vectors have no cosine
                 if exclude_self:
                     ok &= ids[r] != iids[c]
                 parts = [(row, item, score), (r[ok], c[ok], cos[ok])]
-                dense = np.flatnonzero(many)
+                dense = own[many]
                 if len(dense):
                     full = qm[rows][dense] @ im[a:b].T
                     with np.errstate(divide="ignore", invalid="ignore"):
@@ -181,7 +195,19 @@ def cosine_kernel(exclude_self: bool = False):
                 row, item, score = row[order], item[order], score[order]
                 place = np.arange(len(row)) - np.searchsorted(row, row)
                 row, item, score, place = (x[place < k] for x in (row, item, score, place))
-                kth[row[place == k - 1]] = np.round(score[place == k - 1], RANK_DIGITS)
+                kth[row[place == k - 1]] = np.maximum(least[row[place == k - 1]], np.round(score[place == k - 1], RANK_DIGITS))
+                if looks and b in ends:
+                    row, item, score = (np.concatenate(x) for x in zip(best, (row, item, score)))
+                    order = np.lexsort((iids[item], -np.round(score, RANK_DIGITS), row))
+                    row, item, score = row[order], item[order], score[order]
+                    once = np.sort(np.unique(np.stack([row, np.unique(iids[item], return_inverse=True)[1]]), axis=1, return_index=True)[1])
+                    row, item, score = row[once], item[once], score[once]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    best = row, item, score = row[place < k], item[place < k], score[place < k]
+                    last = row[place[place < k] == k - 1]
+                    least[last] = np.maximum(least[last], np.round(score[place[place < k] == k - 1], RANK_DIGITS))
+                    (row, item, score), kth = none, least.copy()
+            row, item, score = best if looks else (row, item, score)
             if "k" in qpdf:  # each query's own k
                 own = place < qpdf["k"].to_numpy()[rows][row] if len(row) else np.zeros(0, bool)
                 row, item, score = row[own], item[own], score[own]

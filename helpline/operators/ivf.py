@@ -24,7 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helpline.operators.blocks import RANK_DIGITS, blocked_top_k, bucketed_top_k, cosine_kernel, stack
+from helpline.operators.blocks import (BLOCK_NUMBERS, LEAST_ROWS, RANK_DIGITS, block_counts, blocked_top_k, bucketed_top_k,
+                                       cosine_kernel, hits_schema, stack)
 from helpline.session import materialize
 
 MAX_CELLS = 65_536      # bounds what is broadcast: cells x dimensions numbers
@@ -140,42 +141,109 @@ def ivf_search(queries: DataFrame, items: DataFrame, cells: Cells, k: int, exclu
 SLACK = 1e-7  # angles are compared with this much room, so rounding prunes no hit
 
 
+def _deal(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of every cell: cells in turn share blocks of about
+    ``rows`` items, a larger cell has blocks of its own. No items: no block."""
+    first, count = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    block, filled = 0, 0
+    for c in np.flatnonzero(sizes):
+        count[c] = -(-sizes[c] // rows)
+        if filled and filled + sizes[c] > rows:
+            block, filled = block + 1, 0
+        first[c] = block
+        block, filled = (block + count[c], 0) if count[c] > 1 else (block, filled + sizes[c])
+    return first, count
+
+
 def pruned_search(queries: DataFrame, items: DataFrame, cells: Cells, k: int, exclude_self: bool = False,
-                  q_block_rows: int = 1024, i_block_rows: int = 8192) -> tuple[DataFrame, float]:
+                  q_block_rows: int | None = None, i_block_rows: int | None = None) -> tuple[DataFrame, float]:
     """Exact best ``k`` by cosine (the rows of ``vector.vector_join``), and the share of all
     pairs that was scored. Angles obey the triangle inequality: an item of a cell is no
     nearer to a query than the cell's centroid less the cell's radius. A first pass over
     each query's nearest cell bounds its k-th hit; a second one scores only the cells that
     can still beat it. Vectors that are null or zero hit nothing. On vectors without
-    clusters nothing can be pruned, and the plain join is cheaper."""
+    clusters nothing can be pruned, and the plain join is cheaper.
+
+    Which cells a query looks into is never a row: cells share blocks, a query is copied
+    once per block that holds a cell for it, and within a block its cells are told again
+    from the centroids. So at most as much is moved as by the plain join in blocks."""
     queries = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
     items = items.select("item_id", "vector").where(F.col("vector").isNotNull())
     n = len(cells.centroids)
     if n == 0:
         return blocked_top_k(queries, items, cosine_kernel(exclude_self), k), 1.0
-    sent = queries.sparkSession.sparkContext.broadcast(cells.centroids)
+    spark = queries.sparkSession
+    sent = spark.sparkContext.broadcast(cells.centroids)
 
     @F.pandas_udf("double")
     def angle(v: pd.Series, cell: pd.Series) -> pd.Series:
         m = unit_rows(v)
         return pd.Series(np.arccos(np.clip((m * unit_rows(pd.Series(list(sent.value[cell])))).sum(axis=1), -1, 1)) if len(v) else [], dtype=float)
     own = materialize(cells.assign(items, 1).withColumn("angle", angle("vector", "cell")).drop("place"), "pruned-items")
-    radius = own.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"))  # a row per cell
-    places = materialize(cells.assign(queries, n).withColumn("angle", angle("vector", "cell")).join(F.broadcast(radius), "cell")
-                         .drop("vector"), "pruned-places")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
-    first = places.withColumn("r", rank).where("r = 1").select("query_id", "cell")  # the nearest cell that holds items
-
-    def scored(some: DataFrame) -> DataFrame:
-        return bucketed_top_k(queries.join(some, "query_id"), own.drop("angle"), cosine_kernel(exclude_self), k, ("cell",), MAX_CELLS,
-                              q_block_rows, i_block_rows)
-    near = materialize(scored(first), "pruned-first")
-    bound = near.where(F.col("hit_rank") == k).select("query_id", F.acos(F.least(F.col("score"), F.lit(1.0))).alias("kth"))
-    rest = places.join(first, ["query_id", "cell"], "left_anti").join(bound, "query_id", "left").where(
-        F.col("kth").isNull() | (F.col("angle") - F.col("radius") <= F.col("kth") + SLACK))
-    rest = materialize(rest.select("query_id", "cell", "n"), "pruned-rest")
-    looked = rest.select("n").unionAll(first.join(F.broadcast(radius), "cell").select("n")).agg(F.sum("n")).first()[0] or 0
-    share = looked / max(1, queries.count() * items.count())
-    both = near.drop("hit_rank").unionByName(scored(rest.drop("n")).drop("hit_rank"))
+    radius, size, dim = np.zeros(n), np.zeros(n, np.int64), 1
+    for r in own.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).collect():
+        radius[r["cell"]], size[r["cell"]], dim = r["radius"], r["n"], max(dim, r["dim"])  # a row per cell
+    nq, ni = queries.count(), int(size.sum())
+    if not nq or not ni:
+        return blocked_top_k(queries, items, cosine_kernel(exclude_self), k), 0.0
+    most = max(LEAST_ROWS, BLOCK_NUMBERS // dim)
+    n_qb, n_ib = block_counts(nq, ni, most, 4 * spark.sparkContext.defaultParallelism)
+    n_qb = math.ceil(nq / q_block_rows) if q_block_rows else n_qb
+    block, blocks = _deal(size, i_block_rows or math.ceil(ni / n_ib))
+    told = spark.sparkContext.broadcast((radius, size, block, blocks))
+
+    def beats(m: np.ndarray, some: np.ndarray, first: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """Which of ``some`` cells may hold a hit for each row, its first one apart."""
+        far = np.arccos(np.clip(m @ unit_rows(pd.Series(list(sent.value[some]))).T, -1, 1)) - told.value[0][some]
+        kth = np.where(np.isnan(floor), np.inf, np.arccos(np.minimum(floor, 1.0)))
+        return (far <= kth[:, None] + SLACK) & (some[None, :] != first[:, None])
+
+    def parts(v: pd.Series):
+        """Rows that are met with all cells at once."""
+        step = max(1, BLOCK_NUMBERS // n)
+        for lo in range(0, len(v), step):
+            yield slice(lo, lo + step), unit_rows(v.iloc[lo:lo + step])
+
+    @F.pandas_udf("int")
+    def nearest_held(v: pd.Series) -> pd.Series:
+        held = told.value[1] > 0
+        return pd.Series([c for _, m in parts(v) for c in np.argmax(np.where(held, m @ sent.value.T, -np.inf), axis=1)], dtype="int32")
+
+    @F.pandas_udf("blocks array<int>, looked bigint")
+    def places(v: pd.Series, cell: pd.Series, floor: pd.Series) -> pd.DataFrame:
+        _, size, block, blocks = told.value
+        held = np.flatnonzero(size)
+        start = np.flatnonzero(np.r_[True, np.diff(block[held]) > 0])  # cells of one block follow each other
+        found, looked = [], []
+        for rows, m in parts(v):
+            first = cell.to_numpy(np.int64)[rows]
+            open_to = beats(m, held, first, floor.to_numpy(np.float64)[rows])
+            looked.extend(open_to @ size[held] + size[first])
+            per_block = np.repeat(np.logical_or.reduceat(open_to, start, axis=1), blocks[held][start], axis=1)
+            found.extend(np.flatnonzero(x).astype(np.int32) for x in per_block)
+        return pd.DataFrame({"blocks": pd.Series(found, dtype=object), "looked": pd.Series(looked, dtype="int64")})
+
+    asked = queries.withColumn("cell", nearest_held("vector"))
+    # the nearest cell that holds items
+    near = materialize(bucketed_top_k(asked, own.drop("angle"), cosine_kernel(exclude_self), k, ("cell",), MAX_CELLS,
+                                      q_block_rows or LEAST_ROWS, i_block_rows or 8 * LEAST_ROWS), "pruned-first")
+    bound = near.where(F.col("hit_rank") == k).select("query_id", F.col("score").alias("floor"))
+    todo = materialize(asked.join(bound, "query_id", "left").withColumn("to", places("vector", "cell", "floor")), "pruned-rest")
+    share = todo.agg(F.sum("to.looked")).first()[0] / (nq * ni)
+    q = todo.select("query_id", "vector", "cell", "floor", F.explode("to.blocks").alias("ib"),
+                    F.pmod(F.xxhash64("query_id"), F.lit(n_qb)).cast("int").alias("qb"))
+    at = spark.createDataFrame([(c, int(block[c]), int(blocks[c])) for c in np.flatnonzero(size).tolist()], "cell int, block int, blocks int")
+    it = own.join(F.broadcast(at), "cell").select(
+        "item_id", "vector", "cell", (F.col("block") + F.pmod(F.xxhash64("item_id"), F.col("blocks"))).cast("int").alias("ib"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"))
+    kernel = cosine_kernel(exclude_self, lambda qpdf, qm, some: np.concatenate(
+        [beats(m, some, qpdf["cell"].to_numpy(np.int64)[rows], qpdf["floor"].to_numpy(np.float64)[rows]) for rows, m in parts(qpdf["vector"])]))
+
+    def run(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
+        return kernel(qpdf, ipdf, k) if len(qpdf) and len(ipdf) else pd.DataFrame(
+            {"query_id": qpdf["query_id"].iloc[:0], "item_id": ipdf["item_id"].iloc[:0], "score": pd.Series([], dtype="float64")})
+    rest = q.groupBy("qb", "ib").cogroup(it.groupBy("qb", "ib")).applyInPandas(run, hits_schema(queries, items))
+    both = near.drop("hit_rank").withColumn("_pass", F.lit(1)).unionByName(rest.withColumn("_pass", F.lit(2)))
+    best = both.repartition("query_id").groupBy("query_id", "item_id", "_pass").agg(F.max("score").alias("score")).drop("_pass")
     w = Window.partitionBy("query_id").orderBy(F.round("score", RANK_DIGITS).desc(), F.col("item_id").asc())
-    return both.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= k), share
+    return best.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= k), share

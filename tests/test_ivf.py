@@ -93,3 +93,27 @@ def test_tasks_without_vectors(spark):
     assert recall(spark, t, search(t)) > 0
     got, _ = I.pruned_search(q, t, I.train_cells(t), 3, exclude_self=True)
     assert got.count() == 60
+
+
+def test_pruned_search_has_no_row_per_query_and_cell(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(I, "materialize", lambda df, name, f=I.materialize: rows.append(f(df, name)) or rows[-1])
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((300, 8))
+    x[:120] = x[0] + 0.01 * x[:120]  # a cell with more than a block
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC)
+    q = t.select(F.col("item_id").alias("query_id"), "vector")
+    cells = I.train_cells(t)
+    want = sorted(map(str, V.vector_join(q, t, 3, exclude_self=True).select("query_id", "hit_rank", "item_id").collect()))
+    for sizes in ({}, {"q_block_rows": 64, "i_block_rows": 25}):
+        got, share = I.pruned_search(q, t, cells, 3, exclude_self=True, **sizes)
+        assert sorted(map(str, got.select("query_id", "hit_rank", "item_id").collect())) == want and 0 < share < 1
+    assert max(df.count() for df in rows) <= 3 * 300 < 300 * len(cells.centroids)
+    q_with_copies, with_copies = q.unionAll(q.limit(40)), t.unionAll(t.limit(40))  # ids that come twice are one pair
+    got = I.pruned_search(q_with_copies, with_copies, cells, 3, exclude_self=True)[0].collect()
+    assert len({(r.query_id, r.item_id) for r in got}) == len(got)
+
+
+def test_cells_are_dealt_to_blocks_in_turn():
+    first, count = I._deal(np.array([3, 0, 4, 25, 2, 9, 0, 1]), 10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 5, 0, 5] and count.tolist() == [1, 0, 1, 3, 1, 1, 0, 1]
