@@ -12,6 +12,7 @@ from helpline.plans import rebuild as R
 from helpline.sinks import writers as K
 from helpline.sources import files as S
 from helpline.sources.files import load_index
+from tests.conftest import SF
 
 
 def tables(spark, n):
@@ -100,3 +101,22 @@ def test_documents_are_written_compressed_and_stored_ones_once(spark, tmp, monke
     docs.write.parquet(f"{tmp}/stored")
     K.write_documents(spark.read.parquet(f"{tmp}/stored").where("doc_kind = 'note'"), f"{tmp}/kb/json", stored=True)
     assert len(again) == 2 and S.scan_documents(spark, f"{tmp}/kb").count() == len(BODIES) * 2
+
+
+def test_documents_come_with_their_file(spark, tmp):
+    folder(spark, tmp, file_bytes=40)
+    files = {r["file_path"]: r for r in S.scan_document_dir(spark, tmp, recursive=True).where("file_size > 0").collect()}
+    assert {r["file_type"] for r in files.values()} == {"application/json", "text/plain"}
+    docs = S.scan_documents(spark, tmp).collect()
+    assert len(docs) == len(BODIES) * 2 and {d["file_path"] for d in docs} <= set(files)
+    for d in docs:
+        f = files[d["file_path"]]
+        assert (d["file_name"], d["file_size"], d["last_modified"]) == (f["file_name"], f["file_size"], f["last_modified"])
+        assert d["doc_kind"] != "note" or d["doc_id"] in f["text"] or json.dumps(d["doc_id"])[1:-1] in f["text"]
+
+
+def test_the_folder_query_reads_every_file_whole(spark):
+    from __spark_entry__ import queries
+    rows = queries()["scan_document_dir"](spark, SF).collect()
+    assert rows and all(r["file_known"] and r["file_whole"] for r in rows)
+    assert {r["file_dir"] for r in rows} == {"json/doc_kind=company", "json/doc_kind=client", "json/doc_kind=services", "md/doc_kind=protocol"}
