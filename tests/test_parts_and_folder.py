@@ -120,3 +120,23 @@ def test_the_folder_query_reads_every_file_whole(spark):
     rows = queries()["scan_document_dir"](spark, SF).collect()
     assert rows and all(r["file_known"] and r["file_whole"] for r in rows)
     assert {r["file_dir"] for r in rows} == {"json/doc_kind=company", "json/doc_kind=client", "json/doc_kind=services", "md/doc_kind=protocol"}
+
+
+def test_documents_are_written_where_they_lie(spark, tmp):
+    docs = spark.range(400).select(F.concat(F.lit("d"), "id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "a/b").otherwise("c").alias("doc_kind"),
+                                   F.repeat(F.lit("x"), F.when(F.col("id") % 4 == 0, 1000).otherwise(10).cast("int")).alias("body"))
+    docs.coalesce(1).write.parquet(f"{tmp}/stored")
+    stored = spark.read.parquet(f"{tmp}/stored")
+    K.write_documents(stored, f"{tmp}/out", file_bytes=10_000, stored=True)
+    # files follow each kind's own size: 100 documents of 1,000 bytes, 300 of 10
+    parts = [d for d, _, fs in os.walk(f"{tmp}/out") for f in fs if f.startswith("part-") and f.endswith(".gz")]
+    assert sum("c" == d.split("=")[-1] for d in parts) == 1 and len(parts) == 11
+    back = spark.read.json(f"{tmp}/out")
+    assert sorted(map(str, back.select("doc_id", "doc_kind", "body").collect())) == sorted(map(str, docs.collect()))
+    K.write_documents(stored.where("doc_kind = 'c'"), f"{tmp}/out", stored=True)  # the other kind goes
+    assert spark.read.json(f"{tmp}/out").count() == 300
+    K.write_documents(stored.where("doc_kind = 'c'"), f"{tmp}/out", mode="append", stored=True)
+    K.write_documents(stored, f"{tmp}/out", mode="ignore", stored=True)
+    assert spark.read.json(f"{tmp}/out").count() == 600
+    with pytest.raises(Exception, match="already exists"):
+        K.write_documents(stored, f"{tmp}/out", mode="error", stored=True)
